@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,8 +57,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def zip_package() -> str:
-    """A zip of this package, for `addPyFile`."""
-    here = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="lettermill-zip-"), "lettermill")
-    return shutil.make_archive(out, "zip", os.path.dirname(here), os.path.basename(here))
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once for each application: they need not have it on their path."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        here = os.path.dirname(os.path.abspath(__file__))
+        out = os.path.join(tempfile.mkdtemp(prefix="lettermill-zip-"), "lettermill_package.zip")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(here):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.write(path, os.path.join("lettermill", os.path.relpath(path, here)))
+        spark.sparkContext.addPyFile(out)
+        _SHIPPED.add(app)
