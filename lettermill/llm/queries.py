@@ -4,12 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lettermill.llm.canonical import canonical_hosts
+from lettermill.llm.encoding import garbled_records
 from lettermill.llm.leakage import leaked_items
 from lettermill.llm.reading import reading_levels
 from lettermill.llm.tokenizer import encode_corpus
 from lettermill.session import table
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical host of each freely typed one."""
+    return canonical_hosts(table(spark, sf_dir, "addresses"), table(spark, sf_dir, "common_hosts"))
+
+
+def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled records with their text as far as it could be had back."""
+    return garbled_records(table(spark, sf_dir, "message_headers"), table(spark, sf_dir, "messages"), table(spark, sf_dir, "addresses"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled records."""
+    return p6_restored(spark, sf_dir).select("field_name", "rec_id").dropDuplicates()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k, without special tokens."""
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -25,5 +42,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_restored": p6_restored, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
