@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Characters that mean something in code and nothing in a literal, and what masks them (private use area).
 _SPECIAL = ",;|@<>:() "
 _MASKED = "".join(chr(0xE010 + i) for i in range(len(_SPECIAL)))
-_ESC_QUOTE, _ESC_BACKSLASH = "", ""
+_ESC_QUOTE, _ESC_BACKSLASH = "\ue001", "\ue002"
 #: A value: a URL as it stands, or local@host; both are written over masked text.
 _URL = r"[Hh][Tt][Tt][Pp][Ss]?://[^\s<>,;|\"]+"
 _ADDRESS = r"(?:\"[^\"]*\"|[^\s<>@,;|\"():]+)@(?:\[[^\]\s]*\]|[^\s<>@,;|\"()]+)"
