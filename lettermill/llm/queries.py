@@ -7,11 +7,22 @@ from pyspark.sql import DataFrame, SparkSession
 from lettermill.llm.canonical import canonical_hosts
 from lettermill.llm.encoding import garbled_records
 from lettermill.llm.leakage import leaked_items
+from lettermill.llm.new_text import new_text, old_lines
 from lettermill.llm.reading import reading_levels
 from lettermill.llm.tokenizer import encode_corpus
 from lettermill.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each mail that its sender did not newly write."""
+    return old_lines(table(spark, sf_dir, "messages"))
+
+
+def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sender's new text of each mail."""
+    return new_text(table(spark, sf_dir, "messages"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical host of each freely typed one."""
     return canonical_hosts(table(spark, sf_dir, "addresses"), table(spark, sf_dir, "common_hosts"))
@@ -42,5 +53,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_restored": p6_restored, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p2_text": p2_text, "p5_found": p5_found, "p6_found": p6_found, "p6_restored": p6_restored, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
