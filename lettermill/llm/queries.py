@@ -8,6 +8,7 @@ from lettermill.llm.canonical import canonical_hosts
 from lettermill.llm.encoding import garbled_records
 from lettermill.llm.leakage import leaked_items
 from lettermill.llm.new_text import new_text, old_lines
+from lettermill.llm.personal import find_personal, mask_personal
 from lettermill.llm.reading import reading_levels
 from lettermill.llm.tokenizer import encode_corpus
 from lettermill.session import table
@@ -23,6 +24,16 @@ def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new_text(table(spark, sf_dir, "messages"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in each mail."""
+    return find_personal(table(spark, sf_dir, "messages"), table(spark, sf_dir, "accounts"), table(spark, sf_dir, "addresses"))
+
+
+def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each mail with its personal data replaced by placeholders."""
+    return mask_personal(table(spark, sf_dir, "messages"), p3_found(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical host of each freely typed one."""
     return canonical_hosts(table(spark, sf_dir, "addresses"), table(spark, sf_dir, "common_hosts"))
@@ -53,5 +64,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_text": p2_text, "p5_found": p5_found, "p6_found": p6_found, "p6_restored": p6_restored, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p6_found": p6_found, "p6_restored": p6_restored, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
