@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lettermill.functions._udf import kernel_udf
 from lettermill.kernels import address as K
 from lettermill.types import ADDRESS, ADDRESS_LIST
 
@@ -23,7 +24,7 @@ def _rows(found: list[tuple | None]) -> pd.DataFrame:
 
 
 def _parse_kernel(strict: bool, spec_only: bool):
-    @F.pandas_udf(ADDRESS)
+    @kernel_udf(ADDRESS)
     def parse(texts: pd.Series) -> pd.DataFrame:
         return _rows([K.parse(t, spec_only, strict) for t in texts])
 
@@ -51,7 +52,7 @@ def is_email(text: Column) -> Column:
     return F.coalesce(parse_address(text, addr_spec_only=True)["addr_type"] == "email", F.lit(False))
 
 
-@F.pandas_udf(ADDRESS_LIST)
+@kernel_udf(ADDRESS_LIST)
 def _list_kernel(texts: pd.Series) -> pd.DataFrame:
     found = [K.parse_discrete_list(t) for t in texts]
     as_row = lambda a: dict(zip(_FIELDS, a, strict=True))
@@ -64,7 +65,7 @@ def parse_address_list(text: Column) -> Column:
 
 
 def _items_kernel(strict: bool):
-    @F.pandas_udf(ADDRESS_LIST)
+    @kernel_udf(ADDRESS_LIST)
     def parse(lists: pd.Series) -> pd.DataFrame:
         found = [K.parse_list(None if x is None else list(x), strict) for x in lists]
         as_row = lambda a: dict(zip(_FIELDS, a, strict=True))
@@ -108,20 +109,20 @@ def to_unicode(a: Column) -> Column:
 
 def _on_parts(name: str, f, columns: int):
     if columns == 1:
-        @F.pandas_udf("string")
+        @kernel_udf("string")
         def one(x: pd.Series) -> pd.Series:
             return x.map(f, na_action="ignore")
 
         return one
 
     if columns == 2:
-        @F.pandas_udf("string")
+        @kernel_udf("string")
         def two(x: pd.Series, y: pd.Series) -> pd.Series:
             return pd.Series([f(a, b) for a, b in zip(x, y, strict=True)], dtype=object)
 
         return two
 
-    @F.pandas_udf("string")
+    @kernel_udf("string")
     def three(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
         return pd.Series([f(a, b, c) for a, b, c in zip(x, y, z, strict=True)], dtype=object)
 
@@ -255,7 +256,7 @@ def list_to_unicode(xs: Column, delimiter: str = ", ") -> Column:
     return F.array_join(F.transform(xs, to_unicode), delimiter)
 
 
-@F.pandas_udf("array<string>")
+@kernel_udf("array<string>")
 def _specs_kernel(lists: pd.Series) -> pd.Series:
     spec = lambda a: a["address"] if a["addr_type"] == "url" else K.full_spec(a["display_name"], a["mailbox"], a["hostname"])
     return pd.Series([None if xs is None else [spec(a) for a in xs] for xs in lists], dtype=object)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lettermill.functions.addresses import is_email
+from lettermill.functions._udf import kernel_udf
 from lettermill.kernels import body as B
 from lettermill.kernels import build as Z
 from lettermill.kernels import headers as H
@@ -27,7 +27,7 @@ def _part(p: tuple) -> dict:
 def parse_mime(raw: Column, recover: bool = False) -> Column:
     """Struct of the parts of a message in pre-order, an error, and which parser read it. A bad message never fails the task."""
 
-    @F.pandas_udf(PARSED)
+    @kernel_udf(PARSED)
     def kernel(texts: pd.Series) -> pd.DataFrame:
         found = [parse_message(t, recover) for t in texts]
         return pd.DataFrame([(None if rows is None else [_part(p) for p in rows], error, parser) for rows, error, parser in found], columns=["parts", "error", "parser"])
@@ -35,7 +35,7 @@ def parse_mime(raw: Column, recover: bool = False) -> Column:
     return kernel(raw)
 
 
-@F.pandas_udf(f"array<struct<{','.join(f.replace(' ', ':', 1) for f in HEADER.split(', '))}>>")
+@kernel_udf(f"array<struct<{','.join(f.replace(' ', ':', 1) for f in HEADER.split(', '))}>>")
 def _headers_kernel(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else [dict(zip(_HEAD, h, strict=True)) for h in H.parse_headers(t)[0]] for t in texts], dtype=object)
 
@@ -102,7 +102,7 @@ def headers_changed(old: Column, new: Column) -> Column:
     return ~flat(old).eqNullSafe(flat(new))
 
 
-@F.pandas_udf("string")
+@kernel_udf("string")
 def _headers_text(lists: pd.Series) -> pd.Series:
     return pd.Series([None if hs is None else "".join(f"{h['name']}: {H.encode_header(h['name'], h['value'], dict(h['params'] or {}))}\r\n" for h in hs) for hs in lists], dtype=object)
 
@@ -119,7 +119,7 @@ def unfold(s: Column) -> Column:
     return F.regexp_replace(s, r"\n\r?|\r\n?", "")
 
 
-@F.pandas_udf("string")
+@kernel_udf("string")
 def _decode_kernel(values: pd.Series) -> pd.Series:
     return values.map(decode_words, na_action="ignore")
 
@@ -130,7 +130,7 @@ def decode_header(value: Column) -> Column:
     return F.when(coded, _decode_kernel(F.when(coded, value))).otherwise(unfold(value))
 
 
-@F.pandas_udf("struct<value:string,params:map<string,string>>")
+@kernel_udf("struct<value:string,params:map<string,string>>")
 def _parametrised_kernel(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(None, {}) if v is None else H.parametrised(v) for v in values], columns=["value", "params"])
 
@@ -149,7 +149,7 @@ def is_address_header(name: Column, value: Column) -> Column:
 
 
 def encode_header(name: str, value: Column) -> Column:
-    @F.pandas_udf("string")
+    @kernel_udf("string")
     def kernel(values: pd.Series) -> pd.Series:
         return values.map(lambda v: H.encode_header(name, v), na_action="ignore")
 
@@ -262,7 +262,7 @@ def part_text(raw: Column, start: Column, end: Column) -> Column:
     return F.substr(raw, start + 1, end - start)
 
 
-@F.pandas_udf("struct<text:string,data:binary>")
+@kernel_udf("struct<text:string,data:binary>")
 def _body_kernel(body: pd.Series, encoding: pd.Series, main: pd.Series, sub: pd.Series, charset: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([B.decode_body(*row) for row in zip(body, encoding, main, sub, charset, strict=True)], columns=["text", "data"])
 
@@ -304,7 +304,7 @@ def choose_text_encoding(charset: Column, preferred: Column, text: Column) -> Co
 
 
 def build_text(subtype: str, body: Column, charset: str | None = None) -> Column:
-    @F.pandas_udf("string")
+    @kernel_udf("string")
     def kernel(bodies: pd.Series) -> pd.Series:
         return bodies.map(lambda b: Z.leaf(f"text/{subtype}", b, charset=charset), na_action="ignore")
 
@@ -312,7 +312,7 @@ def build_text(subtype: str, body: Column, charset: str | None = None) -> Column
 
 
 def build_attachment(content_type: Column, body: Column, file_name: Column) -> Column:
-    @F.pandas_udf("string")
+    @kernel_udf("string")
     def kernel(types: pd.Series, bodies: pd.Series, names: pd.Series) -> pd.Series:
         return pd.Series([None if b is None else Z.leaf(t, b if isinstance(b, str) else bytes(b), n, "attachment") for t, b, n in zip(types, bodies, names, strict=True)], dtype=object)
 
@@ -331,7 +331,7 @@ def build_message_container(message: Column) -> Column:
 
 
 def canonical_body(body: Column, form: str = "relaxed") -> Column:
-    @F.pandas_udf("binary")
+    @kernel_udf("binary")
     def kernel(bodies: pd.Series) -> pd.Series:
         return bodies.map(lambda b: _canonical_body(b.encode() if isinstance(b, str) else bytes(b), form), na_action="ignore")
 
@@ -344,7 +344,7 @@ def body_hash(body: Column) -> Column:
 
 
 def sign_dkim(message: Column, pem: bytes, selector: str, domain: str, now: int, **options) -> Column:
-    @F.pandas_udf("string")
+    @kernel_udf("string")
     def kernel(messages: pd.Series) -> pd.Series:
         return messages.map(lambda m: dkim_signature(m.encode() if isinstance(m, str) else bytes(m), pem, selector, domain, now=now, **options).decode(), na_action="ignore")
 
@@ -352,12 +352,10 @@ def sign_dkim(message: Column, pem: bytes, selector: str, domain: str, now: int,
 
 
 def sign_domainkey(message: Column, pem: bytes, selector: str, domain: str) -> Column:
-    @F.pandas_udf("string")
+    @kernel_udf("string")
     def kernel(messages: pd.Series) -> pd.Series:
         return messages.map(lambda m: domainkey_signature(m.encode() if isinstance(m, str) else bytes(m), pem, selector, domain).decode(), na_action="ignore")
 
     return kernel(message)
 
 
-__all__ = [n for n, v in list(globals().items()) if callable(v) and not n.startswith("_") and n not in ("Column",)]
-_ = is_email

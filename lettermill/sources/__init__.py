@@ -1 +1,52 @@
-"""sources"""
+"""Messages from files and back."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_eml(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each file: path, modified_at, raw (bytes)."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("modificationTime").alias("modified_at"), F.col("content").alias("raw"))
+
+
+def read_mbox(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each message of mailboxes: path, pos, raw. A file is split at its `From ` lines as it is read, by Spark's own reader."""
+    lines = spark.read.option("lineSep", "\nFrom ").text(path, wholetext=False)
+    parts = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
+    raw = F.regexp_replace(F.regexp_replace("value", r"^(?:From )?[^\r\n]*\r?\n", ""), r"(?m)^>(>*From )", "$1")
+    return parts.select("path", "block", F.col("n").alias("pos"), raw.alias("raw")).where(F.length("raw") > 0)
+
+
+def write_eml(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
+    """Write each message to `path`/<key>.eml from the executors; returns key, file, size. `path` is a folder that all executors share."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+
+        os.makedirs(path, exist_ok=True)
+        for batch in batches:
+            out = []
+            for k, body in zip(batch[key], batch[text], strict=True):
+                if body is None:
+                    continue
+                name = os.path.join(path, re.sub(r"[^\w.-]", "_", str(k)) + ".eml")
+                data = body.encode() if isinstance(body, str) else bytes(body)
+                # Written aside and moved, so that a task that runs twice leaves one whole file.
+                with open(f"{name}.{os.getpid()}", "wb") as f:
+                    f.write(data)
+                os.replace(f"{name}.{os.getpid()}", name)
+                out.append((k, name, len(data)))
+            yield pd.DataFrame(out, columns=[key, "file", "size"])
+
+    return df.select(key, text).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, file string, size bigint")
+
+
+def write_messages(df: DataFrame, path: str) -> None:
+    """Messages as Parquet."""
+    df.write.mode("overwrite").parquet(path)
