@@ -1,4 +1,410 @@
-"""Queries of the mail operators."""
+"""Queries of the mail operators, with the SQL they must equal where SQL can say it."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lettermill.functions import addresses as A
+from lettermill.functions import messages as M
+from lettermill.operators.addresses import explode_addresses, members, suggest_domains, validate_addresses
+from lettermill.operators.mail import attached_message, detect_bounces, explode_parts, part_bodies, subtree_changed
+from lettermill.operators.threads import build_threads
+from lettermill.session import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL."""
+
+    def wrap(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return wrap
+
+
+# Grammar in SQL: the characters of an atom, an address, and white space of the JVM.
+_AT = r"[A-Za-z0-9!#$%&''*+/=?^_`{|}~\x{80}-\x{10FFFF}-]+"
+_SPEC = rf"{_AT}(\.{_AT})*@({_AT}(\.{_AT})*|\[[\x21-\x5a\x5e-\x7e]*\])"
+_MAILS = "SELECT * FROM addresses WHERE addr_type = 'email' AND address IS NOT NULL"
+
+
+def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "addresses").where((F.col("addr_type") == "email") & F.col("address").isNotNull() & ~F.lower("address").contains("xn--"))
+    return a.withColumn("a", A.parse_address(F.col("address"), strict=True)).where(F.col("a").isNotNull())
+
+
+_STRICT = rf"SELECT *, lower(regexp_extract(t, '@(.*)$', 1)) AS host, regexp_extract(t, '^([^@]*)@', 1) AS local FROM (SELECT *, regexp_replace(address, '^[\s\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{3000}}]+|[\s\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{3000}}]+$', '', 'g') AS t FROM ({_MAILS})) WHERE regexp_full_match(t, '{_SPEC}') AND NOT address ILIKE '%xn--%' AND length(t) <= 1024"
+
+
+@query(f"SELECT host, count(*) AS n FROM ({_STRICT}) GROUP BY host")
+def addr_host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed addresses of the address book by host."""
+    return emails(spark, sf_dir).groupBy(F.col("a.hostname").alias("host")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT addr_id, local AS mailbox, host AS hostname, local || '@' || host AS address FROM ({_STRICT})")
+def addr_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emails(spark, sf_dir).select("addr_id", F.col("a.mailbox").alias("mailbox"), F.col("a.hostname").alias("hostname"), F.col("a.address").alias("address"))
+
+
+@query(rf"SELECT addr_id, coalesce(regexp_full_match(trim(address), '{_SPEC}'), false) AS strict_ok FROM addresses WHERE addr_type = 'email' AND NOT coalesce(address, '') ILIKE '%xn--%' AND NOT regexp_matches(coalesce(address, ''), '[\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{3000}}\[]')")
+def addr_is_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which typed addresses are addr-specs; nulls are none."""
+    a = table(spark, sf_dir, "addresses").where((F.col("addr_type") == "email") & ~F.lower(F.coalesce("address", F.lit(""))).contains("xn--") & ~F.coalesce("address", F.lit("")).rlike(r"[\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}\[]"))
+    return a.select("addr_id", A.parse_address(F.col("address"), strict=True, addr_spec_only=True).isNotNull().alias("strict_ok"))
+
+
+@query()
+def addr_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free text with an address as its last word."""
+    a = emails(spark, sf_dir).select("addr_id", F.concat(F.lit("call me at "), F.col("a.address")).alias("text"))
+    return a.select("addr_id", A.parse_address(F.col("text"))["address"].alias("relaxed"), A.parse_address(F.col("text"), strict=True).isNull().alias("strict_null"))
+
+
+@query(f"SELECT addr_id, c_name, local || '@' || host AS address FROM (SELECT addr_id, local, host, 'Person ' || (addr_id % 97) AS c_name FROM ({_STRICT}))")
+def addr_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name and address, put together in four ways and parsed again."""
+    name = F.concat(F.lit("Person "), (F.col("addr_id") % 97).cast("string"))
+    spec = F.col("a.address")
+    text = (
+        F.when(F.col("addr_id") % 4 == 0, F.concat(name, F.lit(" <"), spec, F.lit(">"))).when(F.col("addr_id") % 4 == 1, F.concat(F.lit('"'), name, F.lit('" <'), spec, F.lit(">")))
+        .when(F.col("addr_id") % 4 == 2, F.concat(name, F.lit("   < "), spec, F.lit(" > (a comment)"))).otherwise(F.concat(F.lit("(first) "), name, F.lit(" <"), spec, F.lit(">")))
+    )
+    p = A.parse_address(text, strict=True)
+    return emails(spark, sf_dir).select("addr_id", p["display_name"].alias("c_name"), p["address"].alias("address"))
+
+
+@query(rf"SELECT msg_id, count(*) AS listed FROM ({_STRICT}) WHERE msg_id IS NOT NULL GROUP BY msg_id")
+def addr_list_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of a message joined to one text with mixed delimiters, parsed as a list."""
+    lists = emails(spark, sf_dir).where(F.col("msg_id").isNotNull()).groupBy("msg_id").agg(F.array_join(F.sort_array(F.collect_list(F.col("a.address"))), " ;, ").alias("text"))
+    return lists.select("msg_id", F.size(A.parse_address_list(F.col("text"))["parsed"]).cast("bigint").alias("listed"))
+
+
+@query("SELECT coalesce(msg_id, -1) AS msg_id, count(*) FILTER (WHERE ok) AS good, count(*) FILTER (WHERE NOT ok) AS bad FROM (SELECT msg_id, regexp_full_match(trim(address), '" + _SPEC + "') AS ok FROM addresses WHERE addr_type = 'email' AND address IS NOT NULL AND NOT address ILIKE '%xn--%' AND NOT regexp_matches(address, '[\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{3000}\\[<>\"(]')) GROUP BY 1")
+def addr_list_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of texts item by item: good ones and bad ones."""
+    a = table(spark, sf_dir, "addresses").where((F.col("addr_type") == "email") & F.col("address").isNotNull() & ~F.lower("address").contains("xn--") & ~F.col("address").rlike(r'[\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}\[<>"(]'))
+    # Lists are cut at the limit of items, so a hot key makes many lists, not one.
+    part = (F.xxhash64("addr_id") % 1000).alias("part")
+    lists = a.groupBy(F.coalesce("msg_id", F.lit(-1)).alias("msg_id"), part).agg(F.collect_list("address").alias("items"))
+    parsed = lists.select("msg_id", A.parse_address_items(F.col("items"), strict=True).alias("l"))
+    return parsed.groupBy("msg_id").agg(F.sum(F.size("l.parsed")).alias("good"), F.sum(F.size("l.unparsed")).alias("bad"))
+
+
+@query()
+def addr_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each parsed address of the To fields."""
+    to = table(spark, sf_dir, "message_headers").where(F.lower("hname") == "to").select("msg_id", "hpos", "raw").dropDuplicates()
+    return explode_addresses(to, "raw").select("msg_id", "hpos", "pos", A.to_unicode(F.col("address")).alias("address"))
+
+
+@query(f"SELECT account_key, array_to_string(list_sort(list(DISTINCT host)), ',') AS hosts FROM ({_STRICT}) GROUP BY account_key")
+def addr_distinct_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emails(spark, sf_dir).groupBy("account_key").agg(F.array_join(F.sort_array(F.collect_set("a.hostname")), ",").alias("hosts"))
+
+
+@query(f"SELECT addr_id FROM ({_STRICT}) WHERE host IN (SELECT lower(hostname) FROM common_hosts)")
+def addr_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = emails(spark, sf_dir)
+    return members(e, F.col("a.hostname"), table(spark, sf_dir, "common_hosts"), F.lower("hostname")).select("addr_id")
+
+
+@query(f"SELECT addr_id FROM ({_STRICT}) WHERE host NOT IN (SELECT lower(hostname) FROM common_hosts)")
+def addr_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = emails(spark, sf_dir)
+    return members(e, F.col("a.hostname"), table(spark, sf_dir, "common_hosts"), F.lower("hostname"), inside=False).select("addr_id")
+
+
+@query(f"SELECT lower(local || '@' || host) AS key, count(*) AS n FROM ({_STRICT}) GROUP BY 1")
+def addr_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emails(spark, sf_dir).groupBy(A.address_key(F.col("a")).alias("key")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT msg_id, count(*) AS n, count(DISTINCT lower(local || '@' || host)) AS different, count(DISTINCT host) AS hosts FROM ({_STRICT}) WHERE msg_id IS NOT NULL GROUP BY msg_id")
+def addr_list_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of lists after concatenation with itself and removal of one, as sets, and their hosts."""
+    xs = emails(spark, sf_dir).where(F.col("msg_id").isNotNull()).groupBy("msg_id").agg(F.collect_list("a").alias("xs"))
+    xs = xs.withColumn("twice", A.list_concat(F.col("xs"), F.col("xs")))
+    same = A.list_equals(F.col("xs"), F.col("twice")) & A.list_contains(F.col("xs"), F.col("xs")[0])
+    n = F.size(A.list_append(A.list_remove(F.col("xs"), F.col("xs")[0]), F.col("xs")[0]))
+    return xs.where(same).select("msg_id", n.cast("bigint").alias("n"), F.size(F.array_distinct(F.transform("twice", A.address_key))).cast("bigint").alias("different"), F.size(A.list_hostnames(F.col("xs"))).cast("bigint").alias("hosts"))
+
+
+@query(f"SELECT addr_id, NOT regexp_full_match(address_, '[\\x00-\\x7F]*') AS non_ascii, starts_with(host, '[') AND ends_with(host, ']') AS literal FROM (SELECT *, local || '@' || host AS address_ FROM ({_STRICT}))")
+def addr_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emails(spark, sf_dir).select("addr_id", A.contains_non_ascii(F.col("a")).alias("non_ascii"), A.contains_domain_literal(F.col("a")).alias("literal"))
+
+
+@query()
+def addr_full_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses with their display names in ASCII."""
+    named = emails(spark, sf_dir).select("addr_id", F.struct(F.lit("email").alias("addr_type"), F.col("display_name"), F.col("a.mailbox").alias("mailbox"), F.col("a.hostname").alias("hostname"), F.col("a.address").alias("address")).alias("a"))
+    return named.select("addr_id", A.full_spec(F.col("a")).alias("spec"), A.ace_hostname(F.col("a.hostname")).alias("ace"), A.requires_non_ascii(F.col("a")).alias("needs_unicode"))
+
+
+@query("SELECT lower(regexp_extract(address, '^https?://([^/:?#]+)', 1)) AS host, count(*) AS n FROM addresses WHERE addr_type = 'url' AND regexp_full_match(address, '(?i)https?://[^\\s<>{}|^~\\[\\]`;,]+') GROUP BY 1")
+def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = table(spark, sf_dir, "addresses").where((F.col("addr_type") == "url") & A.is_url(F.col("address")))
+    return u.groupBy(A.url_hostname(F.col("address")).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT addr_id, lower(regexp_extract(address, '^(https?)://', 1)) AS scheme, regexp_extract(address, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM addresses WHERE addr_type = 'url' AND regexp_full_match(address, '(?i)https?://[^\\s<>{}|^~\\[\\]`;,]+')")
+def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = table(spark, sf_dir, "addresses").where((F.col("addr_type") == "url") & A.is_url(F.col("address")))
+    return u.select("addr_id", A.url_scheme(F.col("address")).alias("scheme"), A.url_path(F.col("address")).alias("path"))
+
+
+_PROVIDER_SQL = r"""
+WITH m AS (SELECT DISTINCT mailbox FROM addresses WHERE addr_type = 'email' AND mailbox IS NOT NULL), b AS (SELECT mailbox, split_part(mailbox, '+', 1) AS base FROM m)
+SELECT mailbox,
+ length(replace(base, '.', '')) BETWEEN 6 AND 30 AND regexp_full_match(base, '(?:[A-Za-z0-9]|[^\x00-\x7F])+(?:\.(?:[A-Za-z0-9]|[^\x00-\x7F])+)*') AS gmail,
+ length(base) <= 64 AND regexp_full_match(base, '(?:[A-Za-z0-9_\-''.]|[^\x00-\x7F])+') AND NOT starts_with(base, '.') AND NOT ends_with(base, '.') AS google,
+ length(base) BETWEEN 1 AND 64 AND regexp_matches(base, '^(?:[A-Za-z0-9]|[^\x00-\x7F])') AND NOT ends_with(base, '.') AND length(mailbox) - length(replace(mailbox, '+', '')) <= 1 AND regexp_full_match(base, '(?:[A-Za-z0-9._\-]|[^\x00-\x7F])+') AS hotmail,
+ length(base) BETWEEN 3 AND 20 AND regexp_full_match(base, '(?:[A-Za-z]|[^\x00-\x7F])+(?:[._]?(?:[A-Za-z0-9]|[^\x00-\x7F])+)*[._]?') AND regexp_matches(base, '(?:[A-Za-z0-9]|[^\x00-\x7F])$') AND NOT ends_with(mailbox, '+') AS icloud,
+ length(mailbox) BETWEEN 3 AND 32 AND regexp_full_match(mailbox, '(?:[A-Za-z]|[^\x00-\x7F])+(?:[._]?(?:[A-Za-z0-9]|[^\x00-\x7F])+)*[._]?') AND regexp_matches(mailbox, '(?:[A-Za-z0-9]|[^\x00-\x7F])$') AS aol
+FROM b"""
+
+
+@query(_PROVIDER_SQL)
+def provider_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "addresses").where((F.col("addr_type") == "email") & F.col("mailbox").isNotNull()).select("mailbox").distinct()
+    return m.select("mailbox", *(A.provider_valid(F.lit(p), F.col("mailbox"), F.lit("x.example")).alias(p) for p in ("gmail", "google", "hotmail", "icloud", "aol")))
+
+
+@query()
+def provider_yahoo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "addresses").where((F.col("addr_type") == "email") & F.col("mailbox").isNotNull()).select("mailbox").distinct()
+    return m.select("mailbox", A.provider_valid(F.lit("yahoo"), F.col("mailbox"), F.lit("yahoo.com")).alias("managed"), A.provider_valid(F.lit("yahoo"), F.col("mailbox"), F.lit("x.example")).alias("other"))
+
+
+@query(f"SELECT a.addr_id, CASE WHEN a.address IS NULL OR a.address = '' THEN 'empty' WHEN NOT contains(a.address, '@') THEN 'no @' WHEN p.addr_id IS NULL THEN 'syntax' WHEN h.hostname IS NULL AND NOT starts_with(p.host, '[') THEN 'exchanger' END AS reject_reason FROM addresses a LEFT JOIN ({_STRICT}) p USING (addr_id) LEFT JOIN (SELECT DISTINCT lower(hostname) AS hostname FROM common_hosts) h ON h.hostname = p.host WHERE a.addr_type = 'email' AND NOT coalesce(a.address, '') ILIKE '%xn--%'")
+def addr_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation against a table of exchangers; those of the common hosts belong to no provider."""
+    a = table(spark, sf_dir, "addresses").where((F.col("addr_type") == "email") & ~F.lower(F.coalesce("address", F.lit(""))).contains("xn--"))
+    mx = table(spark, sf_dir, "common_hosts").select(F.col("hostname").alias("domain"), F.concat(F.lit("mx."), "hostname").alias("mx_host"))
+    return validate_addresses(a, "address", exchangers=mx).select("addr_id", "reject_reason")
+
+
+@query("SELECT * FROM (VALUES (0, 'a@gmail', 'a@gmail.com'), (1, 'b@gmail.com', NULL), (2, 'c@yahoo', 'c@yahoo.com'), (3, 'd@x@hotmail', 'd@hotmail.com'), (4, 'plain', NULL), (5, 'e@verizon', 'e@verizon.net')) t(k, address, suggestion)")
+def domain_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = spark.createDataFrame([(0, "a@gmail"), (1, "b@gmail.com"), (2, "c@yahoo"), (3, "d@x@hotmail"), (4, "plain"), (5, "e@verizon")], "k int, address string")
+    return suggest_domains(typed, "address")
+
+
+@query(r"""SELECT addr_id, CASE WHEN regexp_full_match(display_name, '(?:(?:[A-Za-z0-9!#$%&''*+/=?^_`{|}~.-]|[^\x00-\x7F])+(?:\s+(?:[A-Za-z0-9!#$%&''*+/=?^_`{|}~.-]|[^\x00-\x7F])+)*)?') THEN display_name ELSE '"' || replace(replace(display_name, '\', '\\'), '"', '\"') || '"' END AS quoted, trim(display_name, ';,''' || chr(13) || chr(10) || ' ') AS cleaned FROM addresses WHERE display_name IS NOT NULL""")
+def names_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "addresses").where(F.col("display_name").isNotNull())
+    return a.select("addr_id", A.smart_quote(F.col("display_name")).alias("quoted"), A.cleanup_display_name(F.col("display_name")).alias("cleaned"))
+
+
+@query("SELECT addr_id, display_name AS again FROM addresses WHERE display_name IS NOT NULL")
+def names_unquoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoting and unquoting gives the name back."""
+    a = table(spark, sf_dir, "addresses").where(F.col("display_name").isNotNull())
+    return a.select("addr_id", A.smart_unquote(A.smart_quote(F.col("display_name"))).alias("again"))
+
+
+@query("SELECT array_to_string(list_transform(string_split(lower(hname), '-'), lambda p: upper(p[1]) || p[2:]), '-') AS name, count(*) AS n FROM message_headers WHERE hname IS NOT NULL GROUP BY 1")
+def header_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "message_headers").where(F.col("hname").isNotNull()).groupBy(M.normalize_name(F.col("hname")).alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT msg_id, hpos, decoded AS subject FROM message_headers WHERE lower(hname) = 'subject' AND raw IS NOT NULL")
+def subject_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded words of subjects; the table has them decoded by other means."""
+    s = table(spark, sf_dir, "message_headers").where((F.lower("hname") == "subject") & F.col("raw").isNotNull())
+    return s.select("msg_id", "hpos", M.decode_header(F.col("raw")).alias("subject")).dropDuplicates()
+
+
+@query(r"SELECT DISTINCT msg_id, hpos, regexp_replace(coalesce(decoded, ''), '(?i)(?:(?:RE|FW|FWD|HA)(?:\[\d\])*:\s*)+', '', 'g') AS subject FROM message_headers WHERE lower(hname) = 'subject'")
+def subject_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "message_headers").where(F.lower("hname") == "subject")
+    return s.select("msg_id", "hpos", M.clean_subject(F.col("decoded")).alias("subject")).dropDuplicates()
+
+
+@query(r"SELECT DISTINCT msg_id, hpos, array_to_string(list_filter(regexp_extract_all(raw, '<([^<>\r\n]+)>', 1), lambda i: length(i) > 5 AND length(i) < 256), ' ') AS ids FROM message_headers WHERE lower(hname) = 'references' AND raw IS NOT NULL")
+def reference_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "message_headers").where((F.lower("hname") == "references") & F.col("raw").isNotNull())
+    return r.select("msg_id", "hpos", F.array_join(M.message_ids(F.col("raw")), " ").alias("ids")).dropDuplicates()
+
+
+@query(r"SELECT DISTINCT msg_id, hpos, regexp_replace(raw, '\n\r?|\r\n?', '', 'g') AS flat, replace(replace(raw, chr(13), ''), chr(10), '') AS bare FROM message_headers WHERE raw IS NOT NULL")
+def headers_unfolded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = table(spark, sf_dir, "message_headers").where(F.col("raw").isNotNull())
+    return h.select("msg_id", "hpos", M.unfold(F.col("raw")).alias("flat"), M.remove_newlines(F.col("raw")).alias("bare")).dropDuplicates()
+
+
+@query(r"SELECT msg_id, arg_max(raw, hpos) AS last, count(DISTINCT hpos) AS n FROM message_headers WHERE lower(hname) = 'received' AND raw IS NOT NULL GROUP BY msg_id")
+def header_multimap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of a message as an ordered multi-map: the last Received and how many there are."""
+    h = table(spark, sf_dir, "message_headers").where((F.lower("hname") == "received") & F.col("raw").isNotNull()).select("msg_id", "hpos", "hname", "raw").dropDuplicates(["msg_id", "hpos"])
+    one = F.struct("hpos", M.normalize_name(F.col("hname")).alias("name"), "raw")
+    params = F.create_map().cast("map<string,string>")
+    hs = h.groupBy("msg_id").agg(F.array_sort(F.collect_list(one)).alias("hs")).withColumn("hs", F.transform("hs", lambda x: F.struct(x["name"].alias("name"), x["raw"].alias("raw"), x["raw"].alias("value"), params.alias("params"))))
+    return hs.select("msg_id", M.header_get(F.col("hs"), "RECEIVED").alias("last"), F.size(M.header_all(F.col("hs"), "received")).cast("bigint").alias("n"))
+
+
+@query("SELECT msg_id, 2 AS after_set, 1 AS after_delete, true AS changed, true AS there FROM (SELECT DISTINCT msg_id FROM messages)")
+def header_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set, prepend and delete on a multi-map."""
+    none = F.array().cast("array<struct<name:string,raw:string,value:string,params:map<string,string>>>")
+    hs = M.header_prepend(M.header_prepend(M.header_prepend(none, "X-A", F.lit("1")), "x-a", F.lit("2")), "X-B", F.lit("3"))
+    m = table(spark, sf_dir, "messages").select("msg_id").distinct()
+    changed = M.header_set(hs, "X-a", F.lit("4"))
+    return m.select("msg_id", F.size(changed).alias("after_set"), F.size(M.header_delete(changed, "X-A")).alias("after_delete"), M.headers_changed(hs, changed).alias("changed"), M.header_has(changed, "x-b").alias("there"))
+
+
+@query(r"SELECT DISTINCT msg_id, hpos, lower(regexp_extract(raw, '^\s*([^;\s]+)', 1)) AS kind, coalesce(lower(nullif(regexp_extract(raw, '(?i)charset=\"?([^\";\s]+)', 1), '')), CASE WHEN raw ILIKE 'text/%' THEN 'ascii' END) AS charset FROM message_headers WHERE lower(hname) = 'content-type' AND raw IS NOT NULL AND contains(raw, '/')")
+def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "message_headers").where((F.lower("hname") == "content-type") & F.col("raw").contains("/")).select("msg_id", "hpos", "raw").dropDuplicates()
+    p = M.parametrised(F.col("raw"))
+    c = c.withColumn("p", p)
+    kind = M.fix_content_type(F.col("p.value"))
+    return c.select("msg_id", "hpos", kind.alias("kind"), M.part_charset(F.split(kind, "/")[0], F.col("p.params")).alias("charset"))
+
+
+@query(r"SELECT doc_id, coalesce(regexp_full_match(text, '(?s)[\x00-\x7F]*'), false) AS ascii FROM documents")
+def ascii_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", A.is_pure_ascii(F.col("text")).alias("ascii"))
+
+
+@query(r"SELECT doc_id, list_max(list_transform(regexp_split_to_array(text, '\r\n|\n|\r'), lambda l: strlen(l))) >= 599 AS long FROM documents WHERE text IS NOT NULL")
+def long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", M.has_long_lines(F.col("text")).alias("long"))
+
+
+@query(r"SELECT encoding, count(*) AS n FROM (SELECT CASE WHEN regexp_full_match(text, '(?s)[\x00-\x7F]*') AND list_max(list_transform(regexp_split_to_array(text, '\r\n|\n|\r'), lambda l: strlen(l))) < 599 THEN '7bit' ELSE 'quoted-printable' END AS encoding FROM documents WHERE text IS NOT NULL) GROUP BY encoding")
+def text_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    charset = F.when(A.is_pure_ascii(F.col("text")), "ascii").otherwise("utf-8")
+    return d.groupBy(M.choose_text_encoding(charset, F.lit("7bit"), F.col("text")).alias("encoding")).agg(F.count("*").alias("n"))
+
+
+def _mime_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message of a text and an attachment for each document."""
+    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
+    first = F.concat(F.lit("Content-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: 7bit\r\n\r\nhello "), F.col("doc_id").cast("string"))
+    second = F.concat(F.lit('Content-Type: text/plain; charset="utf-8"; name="a.txt"\r\nContent-Disposition: attachment; filename="a.txt"\r\nContent-Transfer-Encoding: base64\r\n\r\n'), F.base64(F.encode("text", "utf-8")))
+    head = F.concat(F.lit("From: a@b.example\r\nSubject: doc "), F.col("doc_id").cast("string"), F.lit("\r\n"))
+    return d.select("doc_id", F.concat(head, M.build_multipart("mixed", F.col("doc_id"), first, second)).alias("raw"))
+
+
+@query("SELECT doc_id, part_id, kind, depth FROM documents, (VALUES (0, 'multipart/mixed', 0), (1, 'text/plain', 1), (2, 'text/plain', 1)) p(part_id, kind, depth) WHERE text IS NOT NULL")
+def mime_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = explode_parts(_mime_source(spark, sf_dir), "doc_id", "raw")
+    return parts.select("doc_id", "part_id", F.concat_ws("/", "main", "sub").alias("kind"), "depth")
+
+
+@query("SELECT doc_id, md5(text) AS digest, length(text) AS n FROM documents WHERE text IS NOT NULL")
+def mime_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attachment decoded is the document."""
+    source = _mime_source(spark, sf_dir)
+    parts = explode_parts(source, "doc_id", "raw").where(M.is_attachment(F.col("disposition")))
+    bodies = part_bodies(source, parts, "doc_id", "raw")
+    return bodies.select("doc_id", F.md5(F.encode("text", "utf-8")).alias("digest"), F.length("text").cast("bigint").alias("n"))
+
+
+@query("SELECT doc_id, 'a.txt' AS name, false AS is_body, 'doc ' || doc_id AS subject FROM documents WHERE text IS NOT NULL")
+def mime_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = explode_parts(_mime_source(spark, sf_dir), "doc_id", "raw")
+    root = parts.where(F.col("part_id") == 0).select("doc_id", M.header_get(F.col("headers"), "subject").alias("subject"))
+    name = M.detected_file_name(F.col("params"), F.col("disposition_params"))
+    return parts.where(F.col("part_id") == 2).select("doc_id", name.alias("name"), M.is_body(F.col("main"), name).alias("is_body")).join(root, "doc_id")
+
+
+@query("SELECT DISTINCT msg_id, 'text/plain' AS kind, 'inner ' || msg_id AS body FROM messages")
+def mime_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The message inside a message."""
+    m = table(spark, sf_dir, "messages").select("msg_id").distinct()
+    inner = F.concat(F.lit("Subject: x\r\nContent-Type: text/plain\r\n\r\ninner "), F.col("msg_id").cast("string"))
+    outer = F.concat(F.lit("Subject: y\r\n"), M.build_multipart("mixed", F.col("msg_id"), F.concat(F.lit("Content-Type: text/plain\r\n\r\n"), F.lit("hello")), M.build_message_container(inner)))
+    source = m.select("msg_id", outer.alias("raw"))
+    found = attached_message(explode_parts(source, "msg_id", "raw"), "msg_id")
+    return part_bodies(source, found, "msg_id", "raw").select("msg_id", F.concat_ws("/", "main", "sub").alias("kind"), F.col("text").alias("body"))
+
+
+@query("SELECT doc_id, part_id, part_id <> 1 AS was_changed FROM documents, (VALUES (0), (1), (2)) p(part_id) WHERE text IS NOT NULL")
+def mime_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change of the second part makes the root a changed one."""
+    parts = explode_parts(_mime_source(spark, sf_dir), "doc_id", "raw").withColumn("touched", F.col("part_id") == 2)
+    return subtree_changed(parts, "doc_id", "touched")
+
+
+@query("SELECT msg_id, (msg_id % 8) / 8.0 AS score, (msg_id % 8) / 8.0 > 0.3 AS is_bounce FROM (SELECT DISTINCT msg_id FROM messages)")
+def bounce_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports with as many bounce headers as the id says."""
+    from lettermill.operators.mail import BOUNCE_HEADERS
+
+    m = table(spark, sf_dir, "messages").select("msg_id").distinct()
+    head: Column = F.lit("Subject: report\r\n")
+    for i, name in enumerate(BOUNCE_HEADERS):
+        head = F.concat(head, F.when(F.col("msg_id") % 8 > i, F.lit(f"{name}: 5.1.1 value\r\n")).otherwise(""))
+    return detect_bounces(m.select("msg_id", F.concat(head, F.lit("\r\nbody")).alias("raw")), "msg_id", "raw").select("msg_id", "score", "is_bounce")
+
+
+@query()
+def bounce_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delivery reports with a status part and a notification."""
+    m = table(spark, sf_dir, "messages").select("msg_id").distinct()
+    note = F.lit("Content-Description: Notification\r\nContent-Type: text/plain\r\n\r\nnot delivered")
+    status = F.concat(F.lit("Content-Type: message/delivery-status\r\n\r\nReporting-MTA: dns; x.example\r\n\r\nFinal-Recipient: rfc822; u@x.example\r\nStatus: 5."), (F.col("msg_id") % 7).cast("string"), F.lit(".1\r\nDiagnostic-Code: smtp; 550\r\n"))
+    return detect_bounces(m.select("msg_id", F.concat(F.lit("Subject: r\r\n"), M.build_multipart("report", F.col("msg_id"), note, status)).alias("raw")), "msg_id", "raw")
+
+
+@query(r"SELECT DISTINCT msg_id, to_base64(from_hex(sha256(regexp_replace(body, '(\r?\n)+$', '') || chr(13) || chr(10)))) AS digest FROM messages WHERE body IS NOT NULL")
+def body_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "messages").where(F.col("body").isNotNull()).select("msg_id", M.body_hash(F.col("body")).alias("digest")).dropDuplicates()
+
+
+@query()
+def body_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of the three canonical forms of each body."""
+    m = table(spark, sf_dir, "messages").where(F.col("body").isNotNull()).select("msg_id", "body").dropDuplicates()
+    return m.select("msg_id", *(F.sha2(M.canonical_body(F.col("body"), form), 256).alias(form) for form in ("simple", "relaxed", "nofws")))
+
+
+@query("SELECT count(DISTINCT message_id) AS n FROM messages WHERE message_id IS NOT NULL")
+def thread_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message is in one thread."""
+    t = build_threads(table(spark, sf_dir, "messages"))
+    return t.where(~F.col("is_dummy")).agg(F.count("*").alias("n"))
+
+
+_THREAD_SQL = """
+WITH one AS (SELECT message_id AS node, min({'o': received_at, 'r': refs}) AS m FROM messages WHERE message_id IS NOT NULL GROUP BY message_id),
+own AS (SELECT node, m.o AS o, list_filter(coalesce(m.r, []), lambda x: x IS NOT NULL AND x <> node) AS r FROM one),
+links AS (SELECT node, r[len(r)] AS parent, 0 AS k, o, 0 AS i FROM own UNION ALL
+  SELECT r[i] AS node, r[i - 1] AS parent, 1 AS k, o, i FROM (SELECT o, r, unnest(range(1, len(r) + 1)) AS i FROM own) WHERE r[i] IS NOT NULL),
+best AS (SELECT node, arg_min(parent, {'k': k, 'o': o, 'i': i, 'p': parent}) FILTER (WHERE parent IS NOT NULL AND parent <> node) AS parent FROM links GROUP BY node)
+SELECT b.node AS node_id, b.parent AS parent_id FROM best b JOIN one ON one.node = b.node JOIN one p ON p.node = b.parent"""
+
+
+@query(_THREAD_SQL)
+def thread_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages whose parent is a message that is there."""
+    m = table(spark, sf_dir, "messages")
+    t = build_threads(m)
+    there = m.where(F.col("message_id").isNotNull()).select(F.col("message_id").alias("parent_id")).distinct()
+    direct = m.where(F.col("message_id").isNotNull()).groupBy(F.col("message_id").alias("node_id")).agg(F.min(F.struct("received_at", "refs")).alias("x")).select("node_id", F.try_element_at(F.array_remove(F.filter(F.coalesce("x.refs", F.array().cast("array<string>")), lambda r: r.isNotNull()), F.col("node_id")), F.lit(-1)).alias("claim"))
+    linked = t.where(~F.col("is_dummy") & F.col("parent_id").isNotNull()).join(there, "parent_id").join(direct, "node_id")
+    return linked.where(F.col("claim").isNull() | (F.col("claim") == F.col("parent_id"))).select("node_id", "parent_id")
+
+
+@query()
+def thread_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many threads there are of each depth, with their dummies."""
+    t = build_threads(table(spark, sf_dir, "messages")).groupBy("thread_id").agg(F.max("depth").alias("deepest"), F.sum(F.col("is_dummy").cast("int")).alias("dummies"))
+    return t.groupBy("deepest").agg(F.count("*").alias("threads"), F.sum("dummies").alias("dummies"))
+
+
+@query("SELECT msg_id, count(*) AS copies, min(ingested_at) AS first FROM messages GROUP BY msg_id")
+def messages_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that were taken in twice."""
+    return table(spark, sf_dir, "messages").groupBy("msg_id").agg(F.count("*").alias("copies"), F.min("ingested_at").alias("first"))
