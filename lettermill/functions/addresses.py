@@ -293,7 +293,7 @@ def provider_valid(provider: Column, mailbox: Column, hostname: Column) -> Colum
     managed = hostname.isin("yahoo.com", "ymail.com", "rocketmail.com")
     primary = _len(mailbox, 4, 32) & (F.length(mailbox) - F.length(F.translate(mailbox, ".", "")) <= 1) & mailbox.rlike(r"^[A-Za-z0-9]++(?:[._]?[A-Za-z0-9]++)*+$")
     pieces = F.split(mailbox, "-", -1)
-    disposable = _len(mailbox, 3, 65) & (F.size(pieces) == 2) & _len(pieces[0], 1, 32) & _len(pieces[1], 1, 32) & pieces[0].rlike("^[A-Za-z0-9_]+$") & pieces[1].rlike("^[A-Za-z0-9]+$")
+    disposable = _len(mailbox, 3, 65) & (F.size(pieces) == 2) & _len(F.get(pieces, F.lit(0)), 1, 32) & _len(F.get(pieces, F.lit(1)), 1, 32) & F.get(pieces, F.lit(0)).rlike("^[A-Za-z0-9_]+$") & F.get(pieces, F.lit(1)).rlike("^[A-Za-z0-9]+$")
     yahoo = (~managed | mailbox.rlike("^[A-Za-z]")) & mailbox.rlike("[A-Za-z0-9]$") & F.when(mailbox.contains("-"), disposable).otherwise(primary)
     return F.when(provider == "yahoo", yahoo).when(provider == "gmail", gmail).when(provider == "aol", aol).when(provider == "icloud", icloud).when(provider == "hotmail", hotmail).when(provider == "google", google)
 
