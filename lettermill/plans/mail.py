@@ -10,7 +10,7 @@ from lettermill.functions import messages as M
 from lettermill.operators.addresses import explode_addresses, members, suggest_domains, validate_addresses
 from lettermill.operators.mail import attached_message, detect_bounces, explode_parts, part_bodies, subtree_changed
 from lettermill.operators.threads import build_threads
-from lettermill.session import table
+from lettermill.session import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -289,7 +289,7 @@ def text_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mime_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A message of a text and an attachment for each document."""
-    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", "text"))
     first = F.concat(F.lit("Content-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: 7bit\r\n\r\nhello "), F.col("doc_id").cast("string"))
     second = F.concat(F.lit('Content-Type: text/plain; charset="utf-8"; name="a.txt"\r\nContent-Disposition: attachment; filename="a.txt"\r\nContent-Transfer-Encoding: base64\r\n\r\n'), F.base64(F.encode("text", "utf-8")))
     head = F.concat(F.lit("From: a@b.example\r\nSubject: doc "), F.col("doc_id").cast("string"), F.lit("\r\n"))
