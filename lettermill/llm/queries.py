@@ -11,7 +11,7 @@ from lettermill.llm.new_text import new_text, old_lines
 from lettermill.llm.personal import find_personal, mask_personal
 from lettermill.llm.reading import reading_levels
 from lettermill.llm.tokenizer import encode_corpus
-from lettermill.session import table
+from lettermill.session import spread, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in each mail."""
-    return find_personal(table(spark, sf_dir, "messages"), table(spark, sf_dir, "accounts"), table(spark, sf_dir, "addresses"))
+    return find_personal(spread(table(spark, sf_dir, "messages").select("msg_id", "body")), table(spark, sf_dir, "accounts"), table(spark, sf_dir, "addresses"))
 
 
 def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,17 +51,17 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k, without special tokens."""
-    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return encode_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that give away items of the benchmark."""
-    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaked_items(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reading band of each English document."""
-    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+    return reading_levels(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "reading_labels"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p6_found": p6_found, "p6_restored": p6_restored, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
