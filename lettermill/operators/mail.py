@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lettermill.functions import messages as M
+from lettermill.session import materialise
 
 # Headers that speak of a bounce.
 BOUNCE_HEADERS = ["Action", "Content-Description", "Diagnostic-Code", "Final-Recipient", "Received", "Remote-Mta", "Reporting-Mta", "Status"]
@@ -54,7 +55,8 @@ def detect_bounces(df: DataFrame, key: str, raw: str, probability: float = 0.3)
     The score is the number of bounce headers found in parts, each name once for a part, and of all headers in the
     first three blocks of status reports, over eight; it may exceed one.
     """
-    parts = explode_parts(df, key, raw)
+    # Read once, used four times: the table of parts has no bodies, so it is small beside the messages.
+    parts = materialise(explode_parts(df, key, raw), "parts")
     own = parts.select(key, "part_id", F.explode(F.array(*map(F.lit, BOUNCE_HEADERS))).alias("name"), "headers").select(key, "part_id", F.lit(0).alias("n"), "name", M.header_get(F.col("headers"), F.col("name")).alias("value")).where(F.col("value").isNotNull())
     bodies = part_bodies(df, parts.where(M.is_delivery_status(F.col("main"), F.col("sub"))), key, raw)
     blocks = F.slice(F.split(F.regexp_replace("text", r"^\s+", ""), r"\r?\n[ \t]*\r?\n"), 1, 3)
