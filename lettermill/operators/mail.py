@@ -90,3 +90,30 @@ def serialise(df: DataFrame, raw: str, prepended: str | None = None, out: str =
     """Messages as text. Unchanged ones are their own text, with the headers of `prepended` (text) in front."""
     head = F.coalesce(F.col(prepended), F.lit("")) if prepended else F.lit("")
     return df.withColumn(out, F.concat(head, F.col(raw)))
+
+
+def part_edits(parts: DataFrame, key: str, headers: str | None = None, body: str | None = None) -> DataFrame:
+    """key, start, end, text: what replaces which slice of a message.
+
+    Where the column `headers` (array of headers) is not null it takes the place of a part's headers, where `body`
+    (encoded text) is not null that of its body. What is not replaced stays as it was written, to the letter.
+    """
+    found = []
+    if headers:
+        found.append(parts.where(F.col(headers).isNotNull()).select(key, "start", F.col("body_start").alias("end"), F.concat(M.headers_to_text(F.col(headers)), F.lit("\r\n")).alias("text")))
+    if body:
+        found.append(parts.where(F.col(body).isNotNull()).select(key, F.col("body_start").alias("start"), "end", F.col(body).alias("text")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def apply_edits(df: DataFrame, key: str, raw: str, edits: DataFrame, out: str = "text") -> DataFrame:
+    """key and each message with its edits: a fold over the slices in order, in the JVM. Messages without edits are as they were; slices must not overlap."""
+    by_message = edits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("_edits"))
+    joined = df.select(key, raw).join(by_message, key, "left")
+    begin = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+    step = lambda acc, e: F.struct(F.concat(acc["done"], M.part_text(F.col(raw), acc["at"], e["start"]), e["text"]).alias("done"), e["end"].alias("at"))
+    whole = F.aggregate("_edits", begin, step, lambda acc: F.concat(acc["done"], F.substr(F.col(raw), acc["at"] + 1, F.length(raw))))
+    return joined.select(key, F.when(F.col("_edits").isNull(), F.col(raw)).otherwise(whole).alias(out))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lettermill.functions import addresses as A
 from lettermill.functions import messages as M
 from lettermill.operators.addresses import explode_addresses, members, suggest_domains, validate_addresses
-from lettermill.operators.mail import attached_message, detect_bounces, explode_parts, part_bodies, subtree_changed
+from lettermill.operators.mail import apply_edits, attached_message, detect_bounces, explode_parts, part_bodies, part_edits, subtree_changed
 from lettermill.operators.threads import build_threads
 from lettermill.session import spread, table
 
@@ -337,6 +337,21 @@ def mime_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subtree_changed(parts, "doc_id", "touched")
 
 
+@query("SELECT doc_id, 'new ' || doc_id AS subject, 'bye ' || doc_id AS first, md5(text) AS second FROM documents WHERE text IS NOT NULL")
+def mime_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new subject and a new first body, written and read again; the attachment is as it was."""
+    source = _mime_source(spark, sf_dir)
+    parts = explode_parts(source, "doc_id", "raw")
+    parts = parts.withColumn("h", F.when(F.col("part_id") == 0, M.header_set(F.col("headers"), "Subject", F.concat(F.lit("new "), F.col("doc_id").cast("string")))))
+    parts = parts.withColumn("b", F.when(F.col("part_id") == 1, F.concat(F.lit("bye "), F.col("doc_id").cast("string"))))
+    again = apply_edits(source, "doc_id", "raw", part_edits(parts, "doc_id", "h", "b"))
+    read = explode_parts(again, "doc_id", "text")
+    bodies = part_bodies(again, read, "doc_id", "text")
+    one = bodies.groupBy("doc_id").agg(F.max(F.when(F.col("part_id") == 1, F.col("text"))).alias("first"), F.md5(F.encode(F.max(F.when(F.col("part_id") == 2, F.col("text"))), "utf-8")).alias("second"))
+    root = read.where(F.col("part_id") == 0).select("doc_id", M.header_get(F.col("headers"), "Subject").alias("subject"))
+    return one.join(root, "doc_id").select("doc_id", "subject", "first", "second")
+
+
 @query("SELECT msg_id, (msg_id % 8) / 8.0 AS score, (msg_id % 8) / 8.0 > 0.3 AS is_bounce FROM (SELECT DISTINCT msg_id FROM messages)")
 def bounce_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports with as many bounce headers as the id says."""

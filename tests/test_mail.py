@@ -109,6 +109,16 @@ def test_header_columns(spark):
     assert r.text.endswith("Received: x\r\n") and r.text.count("Received") == 1
 
 
+def test_edits_leave_the_rest(spark):
+    from lettermill.operators.mail import apply_edits, part_edits
+
+    raw = "Subject: a\r\n" + Z.multipart("mixed", [Z.leaf("text/plain", "one"), Z.leaf("text/plain", "two")], "k")
+    df = spark.createDataFrame([(1, raw), (2, raw), (3, None)], "k int, raw string")
+    parts = explode_parts(df, "k", "raw").where("k = 1").withColumn("b", F.when(F.col("part_id") == 2, F.lit("new body")))
+    got = {r.k: r.text for r in apply_edits(df, "k", "raw", part_edits(parts, "k", body="b")).collect()}
+    assert got == {1: raw.replace("two", "new body"), 2: raw, 3: None}
+
+
 def test_bounces(spark):
     status = "Content-Type: message/delivery-status\r\n\r\nReporting-MTA: dns; x\r\nArrival-Date: y\r\n\r\nFinal-Recipient: rfc822; u@x\r\nStatus: 5.1.1\r\nDiagnostic-Code: smtp; 550\r\n\r\nStatus: 4.0.0\r\n"
     note = "Content-Description: Notification\r\nContent-Type: text/plain\r\n\r\nsorry"
