@@ -189,13 +189,14 @@ def leaked_items(
 ) -> DataFrame:
     """`doc_key`, `item_key`: each document and item where a passage of the item stands in the document, once.
 
-    Null and empty texts hold nothing; items of fewer than `least` words cannot leak. The items are a stated test
+    Null and empty texts hold nothing; items of fewer than `least` words cannot leak; rows without a key give no row.
+    The items are a stated test
     set: they are read by the driver and go out in blocks of BLOCK_WORDS words. Other columns are dropped.
     """
     spark = documents.sparkSession
     schema = T.StructType([documents.schema[doc_key], items.schema[item_key]])
     rows = items.select(item_key, item_text).where(F.col(item_text).isNotNull()).dropDuplicates().toLocalIterator()
-    texts = sorted(((r[0], words(r[1])) for r in rows), key=lambda x: (x[0], x[1]))
+    texts = sorted(((r[0], words(r[1])) for r in rows), key=lambda x: (x[0] is None, str(x[0]), x[1]))
     found = [_block_leaks(documents, block, doc_key, doc_text, schema, least, one_in) for block in _blocks([x for x in texts if len(x[1]) >= least])]
     if not found:
         return spark.createDataFrame([], schema)

@@ -322,11 +322,24 @@ def test_leaks(spark):
         (6, " ".join(x if i % 3 else "wrong" for i, x in enumerate(w))), (7, " ".join(x if i % 6 else "wrong" for i, x in enumerate(w))), (8, None), (9, ""), (10, "filler " * 50_000 + item), (11, "al­pha0 " + " ".join(w[1:20])), (1, f"Intro. {item} end."), (12, "{{quote|" + item + "}}"),
     ]
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id bigint, text string, item_id string")
-    items = spark.createDataFrame([(7, item), (8, "too short"), (9, None)], "item_id bigint, text string")
+    items = spark.createDataFrame([(7, item), (8, "too short"), (9, None), (7, item)], "item_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in leakage.leaked_items(df, items).collect()} == {(k, 7) for k in (1, 2, 4, 5, 7, 10, 11, 12)}
     assert leakage.leaked_items(df.limit(0), items).count() == 0 and leakage.leaked_items(df, items.limit(0)).count() == 0
 
 
+def test_null_keys(spark):
+    text = " ".join(f"alpha{i} beta" for i in range(15))
+    df = spark.createDataFrame([(None, text), (1, "other")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, text), (2, text + " more")], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.leaked_items(df, items).collect()} == set()  # a null key joins with nothing
+    hosts = spark.createDataFrame([*HOSTS, (None, "x.test"), (9, None)], "host_id int, hostname string")
+    typed = spark.createDataFrame([(None, "ulfmola"), (1, "x.tset")], "addr_id bigint, hostname string")
+    assert {(r.addr_id, r.host_id) for r in canonical.canonical_hosts(typed, hosts).collect()} == {(None, 1), (1, -1)}
+    assert {r.doc_id for r in tokenizer.encode_corpus(df, "doc_id", "text").collect()} == {None, 1}
+    spans = personal.find_personal(spark.createDataFrame([(None, "write to a@b.test")], "msg_id bigint, body string"), spark.createDataFrame([], "k string, owner_name string"), spark.createDataFrame([], "addr_id bigint, display_name string"))
+    assert [(r.msg_id, r.pii_type) for r in spans.collect()] == [(None, "EMAIL")]
+
+
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_WORDS", 10)
     texts = [" ".join(f"w{k}x{i}" for i in range(18)) for k in range(3)]
