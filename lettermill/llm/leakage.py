@@ -255,4 +255,6 @@ def _block_leaks(documents: DataFrame, block: list, doc_key: str, doc_text: str,
                         out.append((k, keys[n]))
             yield pd.DataFrame(out, columns=schema.fieldNames())
 
-    return postings.join(candidates, "_key").select("_key", "terms", "positions", "items").mapInPandas(verify, schema)
+    # Few bytes, much work for each: the number of tasks follows the cluster, not the bytes.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return postings.join(candidates, "_key").select("_key", "terms", "positions", "items").repartition(tasks).mapInPandas(verify, schema)
