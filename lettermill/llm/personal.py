@@ -79,18 +79,34 @@ _DEVICE_BEFORE = re.compile(r"(?:my|mon|ma|meinem|mi|meu|minha|mojego|моего
 _WORDS_TOO = frozenset("will hope mark grace june rose may april august art bill frank faith joy dawn amber ivy olive penny ray rob sue pat don drew chase chance violet lily daisy iris ruby pearl victor max rich jack".split())
 
 
+#: Added to the role of a word that few name fields have, or that context alone takes for a name.
+WEAK = 8
+# Words in front of a name, and words there that are none.
+_TITLES = frozenset("mr mrs ms miss dr prof professor sir madam herr frau monsieur madame m mme señor señora sr sra dom pan pani г-н г-жа don doña".split())
+_GREETINGS = frozenset("hi hello dear hey hallo liebe lieber liebes hola querido querida bonjour salut cher chère olá oi caro cara cześć witaj drogi droga привет здравствуйте".split())
+_NO_NAME = ENGLISH | FOREIGN | _TITLES | _GREETINGS | frozenset(
+    "all team everyone everybody customer customers client colleague colleagues sirs friend friends folks both guys there members member partner user users subscriber support sales billing service services office info help desk admin news newsletter mailer daemon noreply please thanks regards best sincerely re fw fwd good morning monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december "
+    "kunde kundin kunden kollegen damen herren alle zusammen freunde todos todas equipo equipe équipe tous toutes clients amigos amigas cliente clientes państwo wszyscy коллеги друзья все".split()
+)
+_FROM_LINE = re.compile(r"[>|\s*]*(?i:from|von|de|от|da|od)\s?:[\s*\"]*(?:[^\W\d_][\w'’-]*\.?,? ){0,3}$")
+_NAME_OVER = re.compile(r"[ \t]*(?:[,!:]|\r?\n|$)")
+_PERSON_AFTER = re.compile(r"[ \t]*(?:[,!:]|\r?\n|$|[\"\s>|*]*[<(\[][^<>()\s]+@|(?:wrote|said|writes|schrieb|a écrit|escribió|escreveu|pisze|написал)\b)")
+
+
 class Names:
-    """Words of personal names by role, with how many name fields have them as such."""
+    """Words of personal names by role; `rare_given` and `rare_family` stand in few name fields."""
 
-    def __init__(self, given: frozenset[str], family: frozenset[str]):
+    def __init__(self, given: frozenset[str], family: frozenset[str], rare_given: frozenset[str] = frozenset(), rare_family: frozenset[str] = frozenset(), words_too: frozenset[str] = frozenset()):
         self.given, self.family = given, family
+        self.words_too = words_too  # what a rare word with lost letters may be as well
         self.memo: dict[str, int] = {}
         self.by_length: dict[int, list[str]] = {}
         for w in given | family:
             self.by_length.setdefault(len(w), []).append(w)
+        self.rare = Names(rare_given, rare_family, words_too=_NO_NAME | {"não"}) if rare_given or rare_family else None
 
     def role(self, token: str) -> int:
-        """1 given, 2 family, 3 either, 0 neither; garbled letters are read in every way that tables allow."""
+        """1 given, 2 family, 3 either, 0 neither, and WEAK if only rare words say so; garbled letters are read in every way that tables allow."""
         if (known := self.memo.get(token)) is not None:
             return known
         low = token.lower().replace("’", "'")
@@ -100,7 +116,7 @@ class Names:
         if not out and not low.isascii():
             if "�" in low:
                 shape = re.compile("".join("." if c == "�" else re.escape(c) for c in re.sub("�{2,4}", lambda m: "�" * (len(m.group()) // 2), low)))
-                hits = [w for w in self.by_length.get(len(re.sub("�{2,4}", lambda m: "�" * (len(m.group()) // 2), low)), ()) if shape.fullmatch(w)]
+                hits = [] if any(map(shape.fullmatch, self.words_too)) else [w for w in self.by_length.get(len(re.sub("�{2,4}", lambda m: "�" * (len(m.group()) // 2), low)), ()) if shape.fullmatch(w)]
                 out = any(w in self.given for w in hits) + 2 * any(w in self.family for w in hits)
             else:
                 for wrong, right in _TABLES:
@@ -108,6 +124,8 @@ class Names:
                     if t != low and (r := (t in self.given) + 2 * (t in self.family)):
                         out = r
                         break
+        if not out and self.rare and (r := self.rare.role(token)):
+            out = r + WEAK
         if len(self.memo) > 500_000:
             self.memo.clear()
         self.memo[token] = out
@@ -183,9 +201,34 @@ def _phone_end(text: str, start: int, end: int) -> int:
     return end
 
 
+def _by_context(text: str, word: str, s: int, e: int, last: tuple[int, int, int] | None) -> int:
+    """Role of a capitalised word that no name field has: after a title, as a greeting, in a From line, or as the rest of a
+    name that ends there; 0 if nothing says that it is one. `last` is the name word before."""
+    before = text[max(0, s - 20) : s].rstrip(" \t\r\n>|,").rsplit(None, 1)
+    front = before[-1].lower().rstrip(".") if before else ""
+    title, greeting = front in _TITLES, front in _GREETINGS
+    after_name = last is not None and last[2] & 1 and text[last[1] : s] == " "
+    line = text.rfind("\n", 0, s) + 1
+    sender = not (title or greeting) and ":" in text[line : min(s, line + 24)] and bool(_FROM_LINE.match(text[line:s]))
+    if not (title or greeting or after_name or sender) or len(word) < 2 or word.isupper() or word.lower() in _NO_NAME or _NAME_NO_AFTER.match(text, e):
+        return 0
+    if title and _TITLE.search(text[max(0, s - 26) : s]):
+        return WEAK + 2
+    if greeting and _GREET.search(text[max(0, s - 26) : s]) and _NAME_OVER.match(text, e):
+        return WEAK + 1
+    if after_name and _PERSON_AFTER.match(text, e):
+        return WEAK + 2
+    if sender:
+        if last is not None and last[0] >= line and last[1] < s and text[last[1] : s] == " ":
+            return WEAK + 2 if _PERSON_AFTER.match(text, e) else 0
+        n = TOKEN.match(text, e + 1) if text[e : e + 1] == " " else None
+        return WEAK + 1 if n and n.group().lower() not in _NO_NAME and _PERSON_AFTER.match(text, n.end()) else 0
+    return 0
+
+
 def _names(text: str, names: Names) -> Iterator[tuple[int, int, list[int]]]:
     """Runs of name words: (start, end, roles). `Family, Given` is one run; initials stand in the middle or in front."""
-    tokens = []
+    tokens: list[tuple[int, int, int]] = []
     for m in TOKEN.finditer(text):
         word, s, e = m.group(), m.start(), m.end()
         if s and text[s - 1] not in "'’-" and _IN_WORD.match(text, s - 1):
@@ -197,7 +240,7 @@ def _names(text: str, names: Names) -> Iterator[tuple[int, int, list[int]]]:
         if not word or word[0].islower():
             continue
         initial = len(word) == 1 and text[e : e + 1] == "." and word.isupper()
-        role = 4 if initial else names.role(word)
+        role = 4 if initial else names.role(word) or _by_context(text, word, s, e, tokens[-1] if tokens else None)
         if role:
             tokens.append((s, e + initial, role))
     gap, comma = _GAP, _COMMA
@@ -212,12 +255,12 @@ def _names(text: str, names: Names) -> Iterator[tuple[int, int, list[int]]]:
             if gap.fullmatch(between) and len(roles) < 4:
                 if "\n" in between and (text.rfind("\n", 0, s) == -1 and s == 0 or re.fullmatch(r"[>|\s]*", text[text.rfind("\n", 0, s) + 1 : s])):
                     break  # a name that fills its line is not carried on
-                has_family = any(x == 2 for x in roles) or (len(roles) > 1 and roles[-1] in (2, 3))
+                has_family = any(x & 7 == 2 for x in roles) or (len(roles) > 1 and roles[-1] & 7 in (2, 3))
                 if has_family and not (turned and r2 == 4):
                     break
-                if turned and r2 == 2:
+                if turned and r2 & 7 == 2:
                     break
-            elif comma.fullmatch(between) and len(roles) == 1 and r in (2, 3) and r2 in (1, 3) and not turned:
+            elif comma.fullmatch(between) and len(roles) == 1 and r & 7 in (2, 3) and r2 & 7 in (1, 3) and not turned:
                 turned = True
             else:
                 break
@@ -374,6 +417,7 @@ def candidates(body: str, names: Names, towns: frozenset[str] | None) -> list[Sp
     for s, e, roles in _names(text, names):
         before, after = text[max(0, s - 48) : s], text[e : e + 32]
         full = len(roles) > 1
+        weak = all(x & WEAK or x == 4 for x in roles)
         word = text[s:e].lower()
         near = before[-26:]
         device = False
@@ -381,14 +425,14 @@ def candidates(body: str, names: Names, towns: frozenset[str] | None) -> list[Sp
             line = text[text.rfind("\n", 0, s) + 1 : (text.find("\n", e) + len(text) + 1) % (len(text) + 1)]
             device = bool(DEVICE.match(line.strip("> |\r")))
         too = not full and word in _WORDS_TOO
-        yes = full  # of a whole name each word is the context of the other
-        if not full:
+        yes = full and not weak  # of a whole name each word is the context of the other
+        if not yes:
             line_start = bool(_LINE_START.search(near))
             yes = bool(_TITLE.search(near) or _GREET.search(near) or _SAYS.match(after) or (_LINE_OVER.match(after) and _SIGNED.search(before)) or (not (too and line_start) and _NAME_YES.search(near)) or (line_start and _NAME_AFTER.search(after)))
         dated = too and bool(_DAY_BEFORE.search(near) or _DAY_AFTER.match(after))
         sentence = too and bool(_SENTENCE_START.search(near)) and bool(_SMALL_NEXT.match(after))
         no = device or dated or sentence or bool(_NAME_NO_AFTER.match(after)) or text[s - 1 : s] in ("@", "/", ".") and not full
-        out.append(("NAME", s, e, (1 if full else 0, 1 if any(x in (1, 3) for x in roles) else 0, 1 if yes else 0, -1 if no else 0)))
+        out.append(("NAME", s, e, (1 if full else 0, 1 if any(x in (1, 3) for x in roles) else -1 if weak and not yes else 0, 1 if yes else 0, -1 if no else 0)))
     return [(t, at(s), at(e), v, _bucket(_shape(text[s:e])), _bucket(_word_before(text, s))) for t, s, e, v in out]
 
 
@@ -470,16 +514,18 @@ def choose(spans: list[Span], weights: list[float]) -> list[tuple[str, int, int]
 
 
 def name_words(accounts: DataFrame, addresses: DataFrame, least: int = 3) -> Names:
-    """Gazetteer of name words from fields that hold names; the MOST_NAME_WORDS most frequent."""
+    """Gazetteer of name words from fields that hold names; those of fewer than `least` fields are rare. The MOST_NAME_WORDS most frequent."""
     fields = accounts.select(F.col("owner_name").alias("n")).unionByName(addresses.select(F.col("display_name").alias("n"))).where(F.col("n").isNotNull())
     plain = fields.select(F.trim(F.regexp_replace("n", r"\s*(?:[|(–].*)?$", "")).alias("n"))
     turned = plain.select(F.when(F.col("n").contains(","), F.regexp_replace("n", r"^([^,]+),\s*(.+)$", "$2 $1")).otherwise(F.col("n")).alias("n"))
     parts = turned.where(F.col("n").rlike(r"^\p{L}[\p{L}'’\-]+(?: \p{L}\.)? \p{L}[\p{L}'’\-]+$")).select(F.lower(F.element_at(F.split("n", " "), 1)).alias("g"), F.lower(F.element_at(F.split("n", " "), -1)).alias("f"))
     words = parts.select(F.explode(F.array(F.struct(F.lit("g").alias("role"), F.col("g").alias("w")), F.struct(F.lit("f").alias("role"), F.col("f").alias("w")))).alias("x")).groupBy("x.role", "x.w").count()
-    rows = words.where(F.col("count") >= least).orderBy(F.desc("count"), "w").limit(MOST_NAME_WORDS).collect()
+    rows = words.orderBy(F.desc("count"), "w").limit(MOST_NAME_WORDS).collect()
     words_too = ENGLISH | FOREIGN | {"não", "responda", "responder", "noreply", "reply", "répondre", "antworten"}
-    given, family = (frozenset(r["w"] for r in rows if r["role"] == k and (r["w"] not in words_too or r["w"] in _WORDS_TOO)) for k in "gf")
-    return Names(given, family)
+    usual, rare = (
+        [frozenset(r["w"] for r in rows if r["role"] == k and (r["count"] >= least) == many and (r["w"] not in words_too or r["w"] in _WORDS_TOO)) for k in "gf"] for many in (True, False)
+    )
+    return Names(*usual, *rare)
 
 
 def find_personal(messages: DataFrame, accounts: DataFrame, addresses: DataFrame, sample: int = 15_000) -> DataFrame:

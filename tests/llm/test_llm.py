@@ -107,6 +107,26 @@ def test_spans(text, want):
     assert [(t, text[s:e]) for t, s, e in personal.choose(personal.candidates(text, NAMES, frozenset()), weights)] == want
 
 
+RARE = [
+    ("Dear Mr Wilmora,", ["Wilmora"]), ("Hi Ulvane,\nall is well", ["Ulvane"]), ("Dear Team,\n\nHello World of mail", []), ("From: Orla Dorwick <od@x.test>", ["Orla Dorwick"]), ("I am,\nRosa Wilmora\nClerk", ["Rosa Wilmora"]),
+    ("From: Support Desk <s@x.test>", []), ("I spoke with Kelmora about it", ["Kelmora"]), ("Dear Ms\nTeam", []),
+]
+
+
+@pytest.mark.parametrize("text,want", RARE)
+def test_names_that_few_fields_have(text, want):
+    """Found by title, greeting, From line or the name word before, or as words of a single name field."""
+    names = personal.Names(NAMES.given, NAMES.family, frozenset(), frozenset({"kelmora"}))
+    _, weights = fitted()
+    assert [text[s:e] for t, s, e in personal.choose(personal.candidates(text, names, frozenset()), weights) if t == "NAME"] == want
+
+
+def test_rare_name_words_are_kept(spark):
+    who = spark.createDataFrame([("k", "Rosa Quist")] * 3 + [("k", "Orla Kelmora")], "k string, owner_name string")
+    names = personal.name_words(who, spark.createDataFrame([], "addr_id bigint, display_name string"))
+    assert (names.role("Rosa"), names.role("Quist"), names.role("Orla"), names.role("Kelmora"), names.role("Dorwick")) == (1, 2, personal.WEAK + 1, personal.WEAK + 2, 0)
+
+
 def test_em_finds_the_reliable():
     rng = np.random.default_rng(3)
     counts: dict[str, int] = {}
