@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from lettermill.llm.encoding import SUSPECT, _byte_of, _table, _utf8_pattern, likely_codecs
 from lettermill.llm.new_text import DEVICE
 from lettermill.llm.reading import ENGLISH, FOREIGN
+from lettermill.session import materialise
 
 TYPES = ("EMAIL", "ID", "PHONE", "STREET", "NAME")
 #: Bounds of what the driver is given: name words, and distinct feature rows for the classifier.
@@ -364,13 +365,33 @@ def _numbers(text: str) -> tuple[list[re.Match], list[re.Match], list[re.Match]]
 
 
 Span = tuple[str, int, int, tuple[int, ...], int, int]
+#: A span with what it needs of the towns: names that must be among them, and names that must not, with the town it ends with.
+Proposal = tuple[str, int, int, tuple[int, ...], int, int, tuple[str, ...], tuple[str, ...], str]
 
 
-def candidates(body: str, names: Names, towns: frozenset[str] | None) -> list[Span]:
+def candidates(body: str, names: Names, towns: frozenset[str]) -> list[Span]:
     """Spans proposed for a body: type, start, end, votes, shape, word before. Positions are those of the body as it stands."""
+    return settle(proposals(body, names), towns)
+
+
+def settle(proposed: list[Proposal], towns: frozenset[str]) -> list[Span]:
+    """The spans, with the first reading of each street that the towns allow."""
+    out: list[Span] = []
+    street = -1
+    for t, s, e, votes, shape, word, need, shun, _ in proposed:
+        if t == "STREET":
+            if s == street or not all(x in towns for x in need) or any(x in towns for x in shun):
+                continue
+            street = s
+        out.append((t, s, e, votes, shape, word))
+    return out
+
+
+def proposals(body: str, names: Names) -> list[Proposal]:
+    """Spans proposed for a body. A street has one for each place where it may end, the one that needs most of the towns first."""
     text, begin = mapped(body)
     at = (lambda i: i) if begin is None else (lambda i: begin[i])
-    out: list[tuple[str, int, int, tuple[int, ...]]] = []
+    out: list[tuple] = []
 
     def around(s: int, e: int) -> tuple[str, str]:
         return text[max(0, s - 44) : s], text[e : e + 28]
@@ -397,23 +418,25 @@ def candidates(body: str, names: Names, towns: frozenset[str] | None) -> list[Sp
             strict = bool(_ID_STRICT.match(span))
             out.append(("ID", *m.span(), (1 if strict else -1, 0, 1 if strict and (_ID_YES.search(before[-36:]) or _ID_AFTER.match(after)) else 0, -1 if _NUMBER_NO.search(before[-26:]) or _NUMBER_NO_AFTER.match(after) or _ISO_DAY.match(span) else 0)))
         for m in streets:
-            s, e = m.span()
-            extra = ""
-            if towns is not None and (pair := _RUE.search(m.group())) and f"{pair.group(1)} {pair.group(3)}".lower() not in towns:
-                e = s + pair.end(1)  # the second word begins the next sentence
-            if t := _TOWN.match(text, e):
-                a, b = t.group("a"), t.group("b")
-                two = bool(b) and (towns is None or f"{a} {b}".lower() in towns)
-                one = towns is None or a.lower() in towns
-                if two or one or t.group("pre"):
-                    e = t.end() if two else t.end("a")
-                    extra = f"{a} {b or ''}"
-                    if not t.group("pre") and (p := _POST.match(text, e)):
-                        e = p.end()
-            before, after = map(flat, around(s, e))
-            out.append(("STREET", s, e, (1, 1 if extra else 0, 1 if _STREET_YES.search(before) else 0, -1 if _NUMBER_NO.search(text[text.rfind("\n", 0, s) + 1 : s]) else 0)))
-            if towns is None and extra:
-                out.append(("TOWN", s, e, (0, 0, 0, 0, extra)))  # type: ignore[arg-type]
+            s, whole = m.span()
+            before, _ = map(flat, around(s, whole))
+            yes, no = 1 if _STREET_YES.search(before) else 0, -1 if _NUMBER_NO.search(text[text.rfind("\n", 0, s) + 1 : s]) else 0
+            readings: list[tuple[int, tuple[str, ...], tuple[str, ...]]] = [(whole, (), ())]
+            if pair := _RUE.search(m.group()):  # where no town has both words, the second begins the next sentence
+                both = (f"{pair.group(1)} {pair.group(3)}".lower(),)
+                readings = [(whole, both, ()), (s + pair.end(1), (), both)]
+            for e, need, shun in readings:
+                if t := _TOWN.match(text, e):
+                    a, b, pre = t.group("a"), t.group("b"), t.group("pre")
+                    ends = [(t.end(), f"{a} {b}".lower())] if b else []
+                    for end, town in [*ends, (t.end("a"), a.lower())]:
+                        if not pre and (p := _POST.match(text, end)):
+                            end = p.end()
+                        wanted = () if pre and town == a.lower() else (town,)
+                        out.append(("STREET", s, end, (1, 1, yes, no), (*need, *wanted), shun, f"{a} {b or ''}".lower()))
+                    if pre:
+                        continue
+                out.append(("STREET", s, e, (1, 0, yes, no), need, shun, ""))
     for s, e, roles in _names(text, names):
         before, after = text[max(0, s - 48) : s], text[e : e + 32]
         full = len(roles) > 1
@@ -433,7 +456,7 @@ def candidates(body: str, names: Names, towns: frozenset[str] | None) -> list[Sp
         sentence = too and bool(_SENTENCE_START.search(near)) and bool(_SMALL_NEXT.match(after))
         no = device or dated or sentence or bool(_NAME_NO_AFTER.match(after)) or text[s - 1 : s] in ("@", "/", ".") and not full
         out.append(("NAME", s, e, (1 if full else 0, 1 if any(x in (1, 3) for x in roles) else -1 if weak and not yes else 0, 1 if yes else 0, -1 if no else 0)))
-    return [(t, at(s), at(e), v, _bucket(_shape(text[s:e])), _bucket(_word_before(text, s))) for t, s, e, v in out]
+    return [(t, at(s), at(e), v, _bucket(_shape(text[s:e])), _bucket(_word_before(text, s)), *(more or ((), (), ""))) for t, s, e, v, *more in out]
 
 
 def _pattern(t: str, votes: tuple[int, ...]) -> str:
@@ -531,62 +554,76 @@ def name_words(accounts: DataFrame, addresses: DataFrame, least: int = 3) -> Nam
 def find_personal(messages: DataFrame, accounts: DataFrame, addresses: DataFrame, sample: int = 15_000) -> DataFrame:
     """`msg_id`, `pii_type`, `start_pos`, `end_pos` of every span of personal data in `body`, without overlaps.
 
-    Null and empty bodies give no row; repeated messages count once. Labelers and classifier are fitted on about
-    `sample` messages, chosen by a hash of their id (never more than twice as many); every message is then looked at
-    by the fitted classifier. The gazetteer of names counts all name fields. What reaches the driver is bounded by the number of vote
-    patterns, MOST_ROWS feature rows and MOST_NAME_WORDS names.
+    Null and empty bodies give no row; repeated messages count once. Every body is read once for its proposals, which are
+    written to the shared folder. Patterns of votes and towns are counted over all of them, and the gazetteer counts all
+    name fields; the classifier alone is fitted on about `sample` messages, chosen by a hash of their id,
+    and decides for every message. The driver is given the vote patterns, MOST_ROWS feature rows,
+    MOST_NAME_WORDS names and the towns of at least three streets.
     """
     names = name_words(accounts, addresses)
     bodies = messages.where(F.col("body").isNotNull() & (F.col("body") != "")).select("msg_id", "body")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[tuple[str, str, int, int], int] = {}
-            for body in batch["body"]:
-                for t, _, _, votes, shape, word in candidates(body, names, None):
-                    row = ("TOWN", str(votes[-1]).lower(), 0, 0) if t == "TOWN" else (t, _pattern(t, votes), shape, word)
-                    seen[row] = seen.get(row, 0) + 1
-            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["t", "p", "s", "w", "n"])
-
-    share = max(1, messages.count() // sample)
-    fitted = bodies.where(F.pmod(F.xxhash64("msg_id"), F.lit(share)) == 0).limit(2 * sample)
-    counted = fitted.select("body").mapInPandas(count, "t string, p string, s int, w int, n bigint").groupBy("t", "p", "s", "w").agg(F.sum("n").alias("n"))
+            ids, columns = [], [[] for _ in range(9)]
+            offsets = [0]
+            for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = proposals(body, names)
+                for t, s, e, votes, *rest in found:
+                    for column, value in zip(columns, (t, s, e, _pattern(t, votes), *rest), strict=True):
+                        column.append(value)
+                ids.append(k)
+                offsets.append(len(columns[0]))
+            spans = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, _PROPOSED.values(), strict=True)], names=list(_PROPOSED))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)], names=["msg_id", "spans"])
+
+    proposed = materialise(bodies.mapInArrow(propose, "msg_id bigint, spans array<struct<t:string,s:int,e:int,p:string,shape:int,word:int,need:array<string>,shun:array<string>,town:string>>"), "personal")
+    # A street counts once, by its first reading.
+    once = proposed.select("msg_id", F.explode(F.filter("spans", lambda x, i: (x["t"] != "STREET") | (i == 0) | F.coalesce((F.get("spans", i - 1)["t"] != "STREET") | (F.get("spans", i - 1)["s"] != x["s"]), F.lit(True)))).alias("x")).select("msg_id", "x.*")
+    patterns = {r["p"]: r["n"] for r in once.groupBy("p").agg(F.count("*").alias("n")).collect()}
+    towns = _towns(once.where(F.col("town") != "").groupBy("town").agg(F.count("*").alias("n")))
+    share = max(1, proposed.count() // sample)
+    some = once.where(F.pmod(F.xxhash64("msg_id"), F.lit(share)) == 0)
+    counted = some.groupBy("t", "p", F.col("shape").alias("s"), F.col("word").alias("w")).agg(F.count("*").alias("n"))
     rows = [tuple(r) for r in counted.orderBy(F.desc("n"), "t", "p", "s", "w").limit(MOST_ROWS).toLocalIterator()]
-    patterns: dict[str, int] = {}
-    for t, p, _, _, n in rows:
-        if t != "TOWN":
-            patterns[p] = patterns.get(p, 0) + n
-    towns = _towns([(p, n) for t, p, _, _, n in rows if t == "TOWN"])
-    weights = train_classifier([r for r in rows if r[0] != "TOWN"], em_probabilities(patterns))
+    weights = train_classifier(rows, em_probabilities(patterns))
 
     plain = weights.tolist()
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        votes_of = {p: tuple("-0+".index(c) - 1 for c in p.partition(":")[2]) for p in patterns}
         for batch in batches:
             ids, types, starts, ends = [], [], [], []
-            for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for t, s, e in choose(candidates(body, names, towns), plain):
+            spans = batch.column(1)
+            flat = spans.flatten()
+            t, s, e, p, shape, word, need, shun, town = (flat.field(i).to_pylist() for i in range(9))
+            each = list(zip(t, s, e, [votes_of.get(x) or tuple("-0+".index(c) - 1 for c in x.partition(":")[2]) for x in p], shape, word, need, shun, town, strict=True))
+            at = 0
+            for k, n in zip(batch.column(0).to_pylist(), spans.value_lengths().to_pylist(), strict=True):
+                for kind, start, end in choose(settle(each[at : at + n], towns), plain):
                     ids.append(k)
-                    types.append(t)
-                    starts.append(s)
-                    ends.append(e)
+                    types.append(kind)
+                    starts.append(start)
+                    ends.append(end)
+                at += n
             columns = [pa.array(ids, pa.int64()), pa.array(types, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["msg_id", "pii_type", "start_pos", "end_pos"])
 
-    return bodies.mapInArrow(decide, "msg_id bigint, pii_type string, start_pos int, end_pos int").dropDuplicates()
+    return proposed.mapInArrow(decide, "msg_id bigint, pii_type string, start_pos int, end_pos int").dropDuplicates()
+
+
+#: Columns of a written proposal.
+_PROPOSED = {"t": pa.string(), "s": pa.int32(), "e": pa.int32(), "p": pa.string(), "shape": pa.int32(), "word": pa.int32(), "need": pa.list_(pa.string()), "shun": pa.list_(pa.string()), "town": pa.string()}
 
 
-def _towns(rows: list[tuple[str, int]], least: int = 3) -> frozenset[str]:
-    """Names of places after streets: of one word, or of two that stand together most of the time."""
-    first: dict[str, int] = {}
-    both: dict[tuple[str, str], int] = {}
-    for pair, n in rows:
-        a, _, b = pair.strip().partition(" ")
-        first[a] = first.get(a, 0) + n
-        if b:
-            both[a, b] = both.get((a, b), 0) + n
-    out = {f"{a} {b}" for (a, b), n in both.items() if n >= least and 2 * n > first[a]}
-    return frozenset(out | {a for a, n in first.items() if n >= least and not any(x.startswith(a + " ") for x in out)})
+def _towns(pairs: DataFrame, least: int = 3) -> frozenset[str]:
+    """Names of places after streets, from (town, n): of one word, or of two that stand together most of the time."""
+    words = pairs.select(F.split(F.trim("town"), " ", 2).alias("w"), "n").select(F.col("w")[0].alias("a"), F.get("w", F.lit(1)).alias("b"), "n")
+    first = words.groupBy("a").agg(F.sum("n").alias("all")).where(F.col("all") >= least)
+    both = words.where(F.col("b").isNotNull()).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    two = {(r["a"], r["b"]) for r in both.join(first, "a").where(2 * F.col("n") > F.col("all")).select("a", "b").collect()}
+    begun = {a for a, _ in two}
+    return frozenset({f"{a} {b}" for a, b in two} | {r["a"] for r in first.select("a").collect() if r["a"] not in begun})
 
 
 def mask_personal(messages: DataFrame, spans: DataFrame) -> DataFrame:

@@ -127,6 +127,17 @@ def test_rare_name_words_are_kept(spark):
     assert (names.role("Rosa"), names.role("Quist"), names.role("Orla"), names.role("Kelmora"), names.role("Dorwick")) == (1, 2, personal.WEAK + 1, personal.WEAK + 2, 0)
 
 
+def test_towns_of_all_bodies(spark):
+    """A town that a sample of the messages has too seldom, or not at all, still ends its streets."""
+    rows = [(i, f"Send to {i + 1} Copper Road now" if i % 10 == 0 else f"Hello {i}, nothing here") for i in range(4000)] + [(10_000 + i, f"Send to {i + 1} Copper Road, Selby now") for i in range(4)]
+    df = spark.createDataFrame(rows, "msg_id bigint, body string")
+    none = spark.createDataFrame([], "k string, owner_name string"), spark.createDataFrame([], "addr_id bigint, display_name string")
+    for sample in (5000, 400):
+        got = {r.msg_id: dict(rows)[r.msg_id][r.start_pos : r.end_pos] for r in personal.find_personal(df, *none, sample=sample).collect()}
+        assert len(got) == 404 and all(got[10_000 + i] == f"{i + 1} Copper Road, Selby" for i in range(4))
+    assert personal._towns(spark.createDataFrame([("selby now", 2), ("selby ", 2), ("st ives", 3), ("rare ", 2)], "town string, n bigint")) == {"selby", "st ives"}
+
+
 def test_em_finds_the_reliable():
     rng = np.random.default_rng(3)
     counts: dict[str, int] = {}
