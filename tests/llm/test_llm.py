@@ -250,6 +250,30 @@ def test_the_jvm_finds_the_same(spark):
     assert all(got[t] == bool(encoding.SUSPECT.search(t)) for t in texts)
 
 
+def test_usual_pairs_are_of_all_records(spark):
+    """Letters that a sample has too seldom, or only behind the first 4,000 characters, are usual and their lines stay as they are."""
+    plain = [(i, f"hello {i}") for i in range(4000)]
+    rare = [(10_000 + i, "x " * 2500 + f"\nthe word na\u00efvet\u00e9 {i}") for i in range(5)]
+    df = spark.createDataFrame([("", t) for _, t in plain + rare] + [("names", "Zo\u00eb \u017belwick")] * 3, "source string, text string")
+    got = encoding.usual_pairs(df)
+    brute: dict = {}
+    for source, text in df.collect():
+        for language, line in encoding._clean_lines(text, source):
+            for p in set(encoding.pairs(line)):
+                brute[language, p] = brute.get((language, p), 0) + 1
+    assert {(k, p) for k, v in got.items() for p in v} == {k for k, n in brute.items() if n >= 3} and got["names"] >= {"o\u00eb", " \u017c"}
+    assert encoding.train_dictionaries([], [], known=got)["en"][1] == got["en"]
+    messages = spark.createDataFrame(plain + rare, "msg_id bigint, body string")
+    headers, addresses = spark.createDataFrame([], "msg_id bigint, hname string, decoded string"), spark.createDataFrame([], "addr_id bigint, display_name string")
+    seen = []
+    keep, encoding.restore_texts = encoding.restore_texts, lambda r, d, *a: seen.append(d) or keep(r, d, *a)
+    try:
+        encoding.garbled_records(headers, messages, addresses, sample=100).count()
+    finally:
+        encoding.restore_texts = keep
+    assert seen[0]["en"][1] == got["en"] and len(got["en"]) > 3
+
+
 def test_garbled_records(spark):
     subjects = [(i, "Subject" if i % 2 else "SUBJECT", f"Réunion à l’entrepôt {i}") for i in range(40)] + [(50, "subject", "RÃ©union Ã\xa0 lâ€™entrepÃ´t"), (50, "subject", "RÃ©union Ã\xa0 lâ€™entrepÃ´t"), (51, "subject", None), (52, "To", "RÃ©union")]
     headers = spark.createDataFrame(subjects, "msg_id bigint, hname string, decoded string")
