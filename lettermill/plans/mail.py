@@ -198,6 +198,12 @@ def domain_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggest_domains(typed, "address")
 
 
+@query()
+def domain_suggest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions for every address of the address book; the ratio of matching blocks has no SQL."""
+    return suggest_domains(table(spark, sf_dir, "addresses").select("addr_id", "address"), "address")
+
+
 @query(r"""SELECT addr_id, CASE WHEN regexp_full_match(display_name, '(?:(?:[A-Za-z0-9!#$%&''*+/=?^_`{|}~.-]|[^\x00-\x7F])+(?:\s+(?:[A-Za-z0-9!#$%&''*+/=?^_`{|}~.-]|[^\x00-\x7F])+)*)?') THEN display_name ELSE '"' || replace(replace(display_name, '\', '\\'), '"', '\"') || '"' END AS quoted, trim(display_name, ';,''' || chr(13) || chr(10) || ' ') AS cleaned FROM addresses WHERE display_name IS NOT NULL""")
 def names_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "addresses").where(F.col("display_name").isNotNull())
@@ -261,6 +267,18 @@ def header_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("msg_id", F.size(changed).alias("after_set"), F.size(M.header_delete(changed, "X-A")).alias("after_delete"), M.headers_changed(hs, changed).alias("changed"), M.header_has(changed, "x-b").alias("there"))
 
 
+@query()
+def header_edits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set, prepend and delete on the headers of every message; of repeated rows one counts."""
+    h = table(spark, sf_dir, "message_headers").where(F.col("msg_id").isNotNull() & F.col("hname").isNotNull()).select("msg_id", "hpos", "hname", "raw").dropDuplicates()
+    params = F.create_map().cast("map<string,string>")
+    one = F.struct("hpos", M.normalize_name(F.col("hname")).alias("name"), "raw")
+    hs = h.groupBy("msg_id").agg(F.array_sort(F.collect_list(one)).alias("hs")).withColumn("hs", F.transform("hs", lambda x: F.struct(x["name"].alias("name"), x["raw"].alias("raw"), x["raw"].alias("value"), params.alias("params"))))
+    changed = M.header_set(M.header_prepend(F.col("hs"), "X-Seen", F.lit("1")), "Subject", F.lit("edited"))
+    e = hs.withColumn("changed", changed).withColumn("left", M.header_delete(F.col("changed"), "Received"))
+    return e.select("msg_id", F.size("hs").alias("before"), F.size("changed").alias("after_set"), F.size("left").alias("after_delete"), M.headers_changed(F.col("hs"), F.col("left")).alias("changed"), M.header_has(F.col("left"), "received").alias("there"), F.transform("left", lambda x: x["name"]).alias("names"))
+
+
 @query(r"SELECT DISTINCT msg_id, hpos, lower(regexp_extract(raw, '^\s*([^;\s]+)', 1)) AS kind, coalesce(lower(nullif(regexp_extract(raw, '(?i)charset=\"?([^\";\s]+)', 1), '')), CASE WHEN raw ILIKE 'text/%' THEN 'ascii' END) AS charset FROM message_headers WHERE lower(hname) = 'content-type' AND raw IS NOT NULL AND contains(raw, '/')")
 def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "message_headers").where((F.lower("hname") == "content-type") & F.col("raw").contains("/")).select("msg_id", "hpos", "raw").dropDuplicates()

@@ -105,3 +105,21 @@ def test_providers(spark):
     df = spark.createDataFrame([(p, m, "x.example", w) for p, m, w in cases], "p string, m string, h string, w boolean")
     for r in df.withColumn("ok", A.provider_valid(F.col("p"), F.col("m"), F.col("h"))).collect():
         assert r.ok == r.w, r
+
+
+def test_suggestions_for_the_whole_address_book(spark):
+    import difflib
+
+    from lettermill.operators.addresses import COMMON_DOMAINS, EXACT_FIXES
+    from lettermill.plans.mail import domain_suggest_all
+
+    sf = "/root/testdata/sf0.001"
+    want = {}
+    for k, text in spark.read.parquet(f"{sf}/addresses.parquet").select("addr_id", "address").collect():
+        better = None
+        if text is not None and "@" in text:
+            d = text.split("@")[-1]
+            close = EXACT_FIXES.get(d) or next(iter(difflib.get_close_matches(d, COMMON_DOMAINS, 1, 0.77)), d)
+            better = f"{text.split('@')[0]}@{close}" if close != d else None
+        want[k] = better
+    assert {r.addr_id: r.suggestion for r in domain_suggest_all(spark, sf).collect()} == want and len(want) > 100

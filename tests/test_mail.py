@@ -176,3 +176,22 @@ def test_signatures():
     assert pow(int.from_bytes(sig, "big"), e, n).to_bytes(len(sig), "big").endswith(hashlib.sha256(b"data").digest())
     line = D.dkim_signature(b"From: a\r\nSubject: b\r\n\r\nbody\r\n", pem, "s", "x.io", now=1)
     assert line.startswith(b"DKIM-Signature: v=1; a=rsa-sha256") and b"t=1" in line
+
+
+def test_header_edits_of_whole_messages(spark):
+    from pathlib import Path
+
+    from lettermill.plans.mail import header_edits_all
+
+    sf = "/root/testdata/sf0.001"
+    want = {}
+    rows = {tuple(r) for r in spark.read.parquet(f"{sf}/message_headers.parquet").select("msg_id", "hpos", "hname", "raw").collect() if r[0] is not None and r[2] is not None}
+    for k, _, name, _ in sorted(rows, key=lambda r: (r[0], r[1])):
+        want.setdefault(k, []).append("-".join(p.capitalize() for p in name.lower().split("-")))
+    got = {r.msg_id: r for r in header_edits_all(spark, sf).collect()}
+    assert Path(sf).exists() and got.keys() == want.keys() and len(got) > 100
+    for k, names in want.items():
+        rest = ["X-Seen", *names]
+        changed = [n for n in rest if n != "Subject"] + ["Subject"] if "Subject" in rest else ["Subject", *rest]
+        left = [n for n in changed if n != "Received"]
+        assert (got[k].before, got[k].after_set, got[k].after_delete, got[k].changed, got[k].there, got[k].names) == (len(names), len(changed), len(left), True, False, left)
