@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lettermill.functions import addresses as A
 from lettermill.functions import messages as M
+from lettermill.kernels.address import MAX_ITEMS
 from lettermill.operators.addresses import explode_addresses, members, suggest_domains, validate_addresses
 from lettermill.operators.mail import apply_edits, attached_message, detect_bounces, explode_parts, part_bodies, part_edits, subtree_changed
 from lettermill.operators.threads import build_threads
@@ -91,9 +92,16 @@ def addr_list_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def addr_list_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays of texts item by item: good ones and bad ones."""
     a = table(spark, sf_dir, "addresses").where((F.col("addr_type") == "email") & F.col("address").isNotNull() & ~F.lower("address").contains("xn--") & ~F.col("address").rlike(r'[\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}\[<>"(]'))
-    # Lists are cut at the limit of items, so a hot key makes many lists, not one.
+    return _list_counts(a)
+
+
+def _list_counts(a: DataFrame) -> DataFrame:
+    """Good and bad items of the lists of each message."""
+    # A hot key makes many lists, not one; each of them is cut at the limit of items, above which nothing would be parsed.
     part = (F.xxhash64("addr_id") % 1000).alias("part")
-    lists = a.groupBy(F.coalesce("msg_id", F.lit(-1)).alias("msg_id"), part).agg(F.collect_list("address").alias("items"))
+    gathered = a.groupBy(F.coalesce("msg_id", F.lit(-1)).alias("msg_id"), part).agg(F.collect_list("address").alias("items"))
+    cuts = F.transform(F.sequence(F.lit(1), F.size("items"), F.lit(MAX_ITEMS)), lambda i: F.slice("items", i, MAX_ITEMS))
+    lists = gathered.select("msg_id", F.explode(cuts).alias("items"))
     parsed = lists.select("msg_id", A.parse_address_items(F.col("items"), strict=True).alias("l"))
     return parsed.groupBy("msg_id").agg(F.sum(F.size("l.parsed")).alias("good"), F.sum(F.size("l.unparsed")).alias("bad"))
 

@@ -123,3 +123,16 @@ def test_suggestions_for_the_whole_address_book(spark):
             better = f"{text.split('@')[0]}@{close}" if close != d else None
         want[k] = better
     assert {r.addr_id: r.suggestion for r in domain_suggest_all(spark, sf).collect()} == want and len(want) > 100
+
+
+def _book(spark, at, rows):
+    spark.createDataFrame(rows, "addr_id bigint, addr_type string, msg_id bigint, address string").write.parquet(f"{at}/addresses.parquet")
+    return str(at)
+
+
+def test_lists_above_the_limit_are_cut(spark, tmp_path):
+    """Items that fall into one list by their hash are all counted."""
+    from lettermill.plans.mail import addr_list_partial
+
+    sf = _book(spark, tmp_path, [(1, "email", None, f"a{i}@b.test" if i % 5 else f"a{i} at b") for i in range(2500)])
+    assert [tuple(r) for r in addr_list_partial(spark, sf).collect()] == [(-1, 2000, 500)]
