@@ -61,6 +61,13 @@ def addr_is_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("addr_id", A.parse_address(F.col("address"), strict=True, addr_spec_only=True).isNotNull().alias("strict_ok"))
 
 
+@query()
+def addr_is_strict_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which typed addresses are addr-specs, of all of them, also those whose grammar SQL cannot say."""
+    a = table(spark, sf_dir, "addresses").where(F.col("addr_type") == "email")
+    return a.select("addr_id", A.parse_address(F.col("address"), strict=True, addr_spec_only=True).isNotNull().alias("strict_ok"))
+
+
 @query()
 def addr_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free text with an address as its last word."""
@@ -106,6 +113,12 @@ def _list_counts(a: DataFrame) -> DataFrame:
     return parsed.groupBy("msg_id").agg(F.sum(F.size("l.parsed")).alias("good"), F.sum(F.size("l.unparsed")).alias("bad"))
 
 
+@query()
+def addr_list_partial_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good and bad items of all addresses, also those whose grammar SQL cannot say."""
+    return _list_counts(table(spark, sf_dir, "addresses").where((F.col("addr_type") == "email") & F.col("address").isNotNull()))
+
+
 @query()
 def addr_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each parsed address of the To fields."""

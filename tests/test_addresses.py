@@ -136,3 +136,19 @@ def test_lists_above_the_limit_are_cut(spark, tmp_path):
 
     sf = _book(spark, tmp_path, [(1, "email", None, f"a{i}@b.test" if i % 5 else f"a{i} at b") for i in range(2500)])
     assert [tuple(r) for r in addr_list_partial(spark, sf).collect()] == [(-1, 2000, 500)]
+
+
+def test_hard_addresses_are_counted(spark, tmp_path):
+    """Blanks, brackets and ACE hosts, against the kernel row by row."""
+    from lettermill.kernels.address import parse
+    from lettermill.plans.mail import addr_is_strict_all, addr_list_partial_all
+
+    texts = ["a@b.test", "a@\u00a0b.test", "a@b.test>", "a@[1.2.3.4]", "A <a@b.test>", '"x y"@b.test', "a@xn--bcher-kva.test", "(c) a@b.test", "\u3000a@b.test", "plain", None]
+    sf = _book(spark, tmp_path, [(i, "email", i % 3, t) for i, t in enumerate(texts)])
+    strict = {r.addr_id: r.strict_ok for r in addr_is_strict_all(spark, sf).collect()}
+    assert strict == {i: t is not None and parse(t, strict=True, addr_spec_only=True) is not None for i, t in enumerate(texts)}
+    want = {k: [0, 0] for k in range(3)}
+    for i, t in enumerate(texts):
+        if t is not None:
+            want[i % 3][0 if parse(t, strict=True) else 1] += 1
+    assert {r.msg_id: [r.good, r.bad] for r in addr_list_partial_all(spark, sf).collect()} == want
