@@ -11,7 +11,6 @@ from lettermill.kernels.encodedword import decode_words, encode_unstructured, to
 PARAMETRISED = ("Content-Type", "Content-Disposition", "Content-Transfer-Encoding")
 ADDRESS_HEADERS = ("From", "To", "Delivered-To", "Cc", "Bcc", "Reply-To", "Sender")
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\n|\r|$)")
-_IS_HEADER = re.compile(r"From |[\x21-\x39\x3b-\x7e]+:|[\t ]")
 _VALUE = re.compile(r"\s*([^\s;]+(?:\s*/\s*[^\s;]+)?)[^;]*;?", re.S)
 _PARAM = re.compile(r"""[\s;]*(?P<key>[^\s=;*]+)(?P<part>\*\d+)?(?P<enc>\*)?\s*=\s*(?P<value>"(?:[^"\\]|\\.)*"|[^\s;"]*(?:[^;"\r\n]*[^\s;"])?)\s*(?=;|$|\s)""", re.S)
 
@@ -70,44 +69,61 @@ def parametrised(value: str) -> tuple[str | None, dict[str, str]]:
     return m.group(1).lower(), parameters(flat[m.end() :])
 
 
+def _in_section(line: str) -> bool:
+    """Whether a line belongs to a header section: it carries a header on, is an envelope line, or has a name and its colon."""
+    if line[0] in " \t" or line.startswith("From "):
+        return True
+    name, colon, _ = line.partition(":")
+    return bool(colon and name) and name.isascii() and name.isprintable() and " " not in name
+
+
 def split_section(text: str, start: int = 0, end: int | None = None) -> tuple[list[str], int]:
     """Unfolded header lines from `start`, and where the body begins. A line that is no header begins the body."""
     end = len(text) if end is None else end
-    lines: list[str] = []
+    lines: list[list[str]] = []
     at = start
     while at < end:
         m = _LINE.match(text, at, end)
         line = m.group()
         if not line.strip("\r\n"):
-            return lines, m.end()
-        if not _IS_HEADER.match(line):
-            return lines, at
+            at = m.end()
+            break
+        if not _in_section(line):
+            break
         at = m.end()
         if line[0] in " \t":
             if lines:
-                lines[-1] += line
+                lines[-1].append(line)
         elif not line.startswith("From "):
-            lines.append(line)
-    return lines, at
-
-
-def parse_headers(text: str, start: int = 0, end: int | None = None) -> tuple[list[tuple], int]:
-    """(name, raw, value, params) of each header in order, and where the body begins. Values are decoded text."""
+            lines.append([line])
+    return ["".join(x) for x in lines], at
+
+
+def parse_header(line: str, only: frozenset[str] | None = None) -> tuple | None:
+    """(name, raw, value, params) of one header with its folds; null without a colon, or if its name is not in `only`.
+
+    Raises ValueError for a name, or a described value, that is not ASCII.
+    """
+    name, colon, raw = line.rstrip("\r\n").partition(":")
+    if not colon:
+        return None
+    name, raw = normalize(name.rstrip()), raw.lstrip()
+    if only is not None and name not in only:
+        return None
+    if not name.isascii():
+        raise ValueError("the name of a header is not ASCII")
+    if name not in PARAMETRISED:
+        return name, unfold(raw), decode_words(raw), {}
+    value, params = parametrised(raw)
+    if name == "Content-Type":
+        value = "/".join(fix_content_type(value))
+    return name, unfold(raw), value, params
+
+
+def parse_headers(text: str, start: int = 0, end: int | None = None, only: frozenset[str] | None = None) -> tuple[list[tuple], int]:
+    """(name, raw, value, params) of each header in order (of those in `only`), and where the body begins. Values are decoded text."""
     lines, body = split_section(text, start, end)
-    out = []
-    for line in lines:
-        name, colon, raw = line.rstrip("\r\n").partition(":")
-        if not colon:
-            continue
-        name, raw = normalize(name.rstrip()), raw.lstrip()
-        if name in PARAMETRISED:
-            value, params = parametrised(raw)
-            if name == "Content-Type":
-                value = "/".join(fix_content_type(value))
-            out.append((name, unfold(raw), value, params))
-        else:
-            out.append((name, unfold(raw), decode_words(raw), {}))
-    return out, body
+    return [h for h in (parse_header(line, only) for line in lines) if h is not None], body
 
 
 def encode_param(key: str, value: str) -> str:

@@ -15,7 +15,9 @@ from email import message_from_string, policy
 from lettermill.kernels.encodedword import to_text
 from lettermill.kernels.headers import fix_content_type, parametrised, parse_headers
 
-_EVENT = re.compile(r"^content-type:(?P<ctype>[\x21-\x7e \t]+(?:(?:\r\n|\n)[ \t]+[\x20-\x7e\t]+)*)|^(?P<dashes>--.*)|^(?P<empty>\r?\n)", re.I | re.M)
+_TYPE_NAME = "content-type:"
+_UNPRINTED = re.compile(r"[^\t -~]")
+# The limit and the kinds of parts.
 #: Lines that matter in one message; more is an error, as no mail has so many parts.
 MOST_EVENTS = 5000
 MESSAGES = {("message", "rfc822"), ("message", "global"), ("message", "news")}
@@ -48,57 +50,84 @@ class Part:
         return self.children[-1]
 
 
+def _folded(text: str, at: int, stop: int) -> tuple[str, int]:
+    """The header that begins at `at`, with the lines that carry it on, and where the next line begins. It ends before
+    a character that is not printable ASCII."""
+    pieces = []
+    while True:
+        line = text[at:stop].rstrip("\r\n")
+        odd = _UNPRINTED.search(line)
+        pieces.append(line[: odd.start()] if odd else line)
+        at, stop = stop, text.find("\n", stop) + 1 or len(text)
+        if odd or text[at : at + 1] not in (" ", "\t"):
+            return "".join(pieces), at
+
+
 def scan(text: str) -> Part:
-    """The root part. Raises MalformedError for a multipart without boundary or without a first one, and for status reports that stand alone."""
+    """The root part. Raises MalformedError for a multipart without boundary or without a first one, and for status reports that stand alone.
+
+    Header sections are walked line by line; in a body the search jumps from one line that begins with `--` to the next.
+    """
     root = Part("root", 0)
-    stack, in_headers, events = [root], True, 0
-    for m in _EVENT.finditer(text):
-        if m.group("empty") is None and (events := events + 1) > MOST_EVENTS:
-            raise MalformedError("too many parts")
-        top = stack[-1]
-        if m.group("ctype") is not None:
-            if in_headers and not top.named:
-                value, params = parametrised(m.group("ctype").strip())
+    stack, in_headers, events, at = [root], True, 0, 0
+    while at < len(text):
+        if not in_headers and not text.startswith("--", at):
+            at = text.find("\n--", at) + 1
+            if not at:
+                break
+        stop = text.find("\n", at) + 1 or len(text)
+        top, begin, at = stack[-1], at, stop
+        if text.startswith("--", begin):
+            events += 1
+            in_headers = _boundary(text, begin, stop, stack, in_headers)
+        elif text[begin:stop] in ("\n", "\r\n"):
+            if top.rel == "headers":
+                continue
+            in_headers = False
+            if top.kind in STATUS and not (top.parent and top.parent.main == "multipart"):
+                raise MalformedError("status report that stands alone")
+            if top.kind in MESSAGES or top.kind in HEADERS_ONLY:
+                stack.append(top.child("enclosed" if top.kind in MESSAGES else "headers", stop))
+                in_headers = True
+        elif text[begin : begin + len(_TYPE_NAME)].lower() == _TYPE_NAME:
+            events += 1
+            if not top.named:
+                line, at = _folded(text, begin, stop)
+                value, params = parametrised(line[len(_TYPE_NAME) :].strip())
                 top.main, top.sub = fix_content_type(value)
                 top.params, top.named = params, True
                 if top.main == "multipart" and not params.get("boundary") and top.rel != "headers":
                     raise MalformedError("multipart without boundary")
-        elif m.group("empty") is not None:
-            if in_headers:
-                in_headers = False
-                if top.rel == "headers":
-                    in_headers = True
-                    continue
-                if top.kind in STATUS and not (top.parent and top.parent.main == "multipart"):
-                    raise MalformedError("status report that stands alone")
-                if top.kind in MESSAGES or top.kind in HEADERS_ONLY:
-                    stack.append(top.child("enclosed" if top.kind in MESSAGES else "headers", m.end()))
-                    in_headers = True
-        else:
-            line = m.group("dashes").rstrip("\t\r\n")[2:]
-            for depth in range(len(stack) - 1, -1, -1):
-                p = stack[depth]
-                boundary = p.params.get("boundary") if p.named and p.main == "multipart" and p.rel != "headers" else None
-                if boundary is not None and line in (boundary, boundary + "--"):
-                    begin, after = _line_start(text, m.start()), _line_end(text, m.end())
-                    for above in stack[depth + 1 :]:
-                        above.end = begin
-                    del stack[depth + 1 :]
-                    if line == boundary:
-                        stack.append(p.child("part", after))
-                        in_headers = True
-                    else:
-                        p.end, in_headers = after, False
-                        p.named, p.params = True, dict(p.params)
-                        if depth:
-                            stack.pop()
-                    break
+        if events > MOST_EVENTS:
+            raise MalformedError("too many parts")
     for p in stack:
         p.end = len(text) if p.end is None else p.end
     _check(root)
     return root
 
 
+def _boundary(text: str, begin: int, stop: int, stack: list[Part], in_headers: bool) -> bool:
+    """What the line at `begin` does if an open part has declared it: it ends what lies above that part, and the part
+    itself if it is the last one, else it opens the next. Returns whether headers follow."""
+    line = text[begin:stop].rstrip("\t\r\n")[2:]
+    for depth in range(len(stack) - 1, -1, -1):
+        p = stack[depth]
+        declared = p.params.get("boundary") if p.named and p.main == "multipart" and p.rel != "headers" else None
+        if declared is None or line not in (declared, declared + "--"):
+            continue
+        for above in stack[depth + 1 :]:
+            above.end = _line_start(text, begin)
+        del stack[depth + 1 :]
+        if line == declared:
+            stack.append(p.child("part", stop))
+            return True
+        p.end = stop
+        if depth:
+            stack.pop()
+        return False
+    return in_headers
+
+
 def _check(root: Part) -> None:
     todo = [root]
     while todo:
@@ -121,37 +150,48 @@ def _line_start(text: str, at: int) -> int:
     return at
 
 
-def _line_end(text: str, at: int) -> int:
-    return at + 2 if text.startswith("\r\n", at) else at + 1 if text.startswith("\n", at) else at
+#: Fields of a part that need its header section.
+SECTION = frozenset(["body_start", "disposition", "disposition_params", "encoding", "headers"])
+_DESCRIBING = frozenset(["Content-Disposition", "Content-Transfer-Encoding"])
 
 
-def rows(root: Part, text: str) -> list[tuple]:
-    """Parts before their children, as tuples of the fields of PART."""
+def rows(root: Part, text: str, fields: frozenset[str] | None = None) -> list[tuple]:
+    """Parts before their children, as tuples of the fields of PART. With `fields` only what these need is read; the others are null."""
     out: list[tuple] = []
     todo: list[tuple[Part, int | None, list[int]]] = [(root, None, [])]
+    whole = fields is None or "headers" in fields
     while todo:
         p, parent, path = todo.pop()
-        headers, body = parse_headers(text, p.start, p.end)
-        if p.rel == "headers":
-            body = p.end
-        get = lambda name: next((h for h in reversed(headers) if h[0] == name), None)
-        disposition, encoding = get("Content-Disposition"), get("Content-Transfer-Encoding")
+        headers, body, disposition, encoding = [], None, None, None
+        if whole or fields & SECTION:
+            headers, body = parse_headers(text, p.start, p.end, None if whole else _DESCRIBING)
+            body = p.end if p.rel == "headers" else min(body, p.end)
+            for h in headers:  # of several the last counts
+                if h[0] == "Content-Disposition":
+                    disposition = h
+                elif h[0] == "Content-Transfer-Encoding":
+                    encoding = h
         number = len(out)
         out.append((
-            number, parent, path, len(path), p.rel, p.start, p.end, min(body, p.end), p.main, p.sub, p.params,
-            disposition[2] if disposition else None, disposition[3] if disposition else {}, (encoding[2] if encoding and encoding[2] else "7bit"), headers,
+            number, parent, path, len(path), p.rel, p.start, p.end, body, p.main, p.sub, p.params,
+            disposition[2] if disposition else None, disposition[3] if disposition else {}, (encoding[2] if encoding and encoding[2] else "7bit"), headers if whole else None,
         ))
         todo.extend((c, number, [*path, i]) for i, c in reversed(list(enumerate(p.children))))
     return out
 
 
-def parse_message(raw: str | bytes | None, recover: bool = False) -> tuple[list[tuple] | None, str | None, str | None]:
+def serialised_size(text: str, start: int, end: int) -> int:
+    """Bytes of a part as it would be written: its slice of the message in UTF-8."""
+    return len(text[start:end].encode("utf-8", "surrogatepass"))
+
+
+def parse_message(raw: str | bytes | None, recover: bool = False, fields: frozenset[str] | None = None) -> tuple[list[tuple] | None, str | None, str | None]:
     """(rows, error, parser) of a message. With `recover` a malformed one is read by the standard library's lenient parser."""
     if raw is None:
         return None, None, None
     text = to_text(bytes(raw)) if isinstance(raw, (bytes, bytearray, memoryview)) else raw
     try:
-        return rows(scan(text), text), None, "scan"
+        return rows(scan(text), text, fields), None, "scan"
     except (MalformedError, RecursionError) as e:
         if not recover:
             return None, str(e)[:256], "scan"

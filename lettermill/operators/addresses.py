@@ -11,11 +11,33 @@ from pyspark.sql import functions as F
 
 from lettermill.functions import addresses as A
 
-# Domains that a bare word or a slip stands for. The list of common domains is an argument of the operator.
-EXACT_FIXES = {w: f"{w}.{t}" for t, ws in {"com": "yahoo gmail hotmail live outlook msn googlemail aol aim icloud me mac facebook", "net": "comcast sbcglobal bellsouth verizon earthlink cox charter bell", "ca": "shaw"}.items() for w in ws.split()}
-COMMON_DOMAINS = (
-    "yahoo.com gmail.com hotmail.com live.com outlook.com msn.com googlemail.com aol.com aim.com icloud.com me.com mac.com facebook.com comcast.net sbcglobal.net bellsouth.net verizon.net earthlink.net cox.net charter.net shaw.ca bell.net bell.ca rogers.com ymail.com rocketmail.com mail.com gmx.com gmx.de gmx.net web.de t-online.de freenet.de hotmail.co.uk hotmail.fr hotmail.it hotmail.de hotmail.es yahoo.co.uk yahoo.fr yahoo.de yahoo.it yahoo.es yahoo.ca yahoo.co.in yahoo.com.br yahoo.com.au yahoo.co.jp live.co.uk live.fr live.nl live.com.au live.ca btinternet.com btopenworld.com ntlworld.com sky.com talktalk.net virginmedia.com blueyonder.co.uk tiscali.co.uk orange.fr wanadoo.fr free.fr sfr.fr laposte.net neuf.fr libero.it virgilio.it alice.it tiscali.it tin.it bigpond.com bigpond.net.au optusnet.com.au mail.ru yandex.ru rambler.ru bk.ru list.ru inbox.ru qq.com 163.com 126.com sina.com naver.com hanmail.net daum.net uol.com.br bol.com.br terra.com.br ig.com.br globo.com rediffmail.com att.net juno.com netzero.net optonline.net windstream.net frontier.com frontiernet.net centurylink.net embarqmail.com mindspring.com roadrunner.com rr.com suddenlink.net prodigy.net pacbell.net ameritech.net swbell.net telus.net sympatico.ca videotron.ca ziggo.nl planet.nl chello.nl home.nl telenet.be skynet.be bluewin.ch telia.com protonmail.com zoho.com"
-).split()
+# Domains that a bare word stands for.
+EXACT_FIXES = {
+    "yahoo": "yahoo.com",
+    "gmail": "gmail.com",
+    "hotmail": "hotmail.com",
+    "live": "live.com",
+    "outlook": "outlook.com",
+    "msn": "msn.com",
+    "googlemail": "googlemail.com",
+    "aol": "aol.com",
+    "aim": "aim.com",
+    "icloud": "icloud.com",
+    "me": "me.com",
+    "mac": "mac.com",
+    "facebook": "facebook.com",
+    "comcast": "comcast.net",
+    "sbcglobal": "sbcglobal.net",
+    "bellsouth": "bellsouth.net",
+    "verizon": "verizon.net",
+    "earthlink": "earthlink.net",
+    "cox": "cox.net",
+    "charter": "charter.net",
+    "shaw": "shaw.ca",
+    "bell": "bell.net",
+}
+#: Domains that slips are compared with where the caller names no table of common ones.
+COMMON_DOMAINS = sorted(set(EXACT_FIXES.values()))
 
 
 def explode_addresses(df: DataFrame, text: str, out: str = "address", position: str = "pos") -> DataFrame:

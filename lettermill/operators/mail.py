@@ -1,47 +1,147 @@
-"""Operators on tables of messages: parts, headers, bounces."""
+"""Operators on tables of messages: parts, bodies, headers, bounces.
+
+A message is read once, in the Arrow batch where it lies: its parts come out as columns, with their decoded bodies if
+these are asked for, so the raw text is neither shuffled nor copied for each part.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from lettermill.functions import messages as M
-from lettermill.session import materialise
+from lettermill.kernels.body import decode_body
+from lettermill.kernels.bounce import BOUNCE_HEADERS, NO_REPORT, bounce_report
+from lettermill.kernels.encodedword import to_text
+from lettermill.kernels.scan import parse_message
+from lettermill.types import PART
+
+__all__ = ["BOUNCE_HEADERS", "apply_edits", "attached_message", "detect_bounces", "explode_bodies", "explode_parts"]
+
+_TEXTS = pa.map_(pa.string(), pa.string())
+_HEADER = pa.struct([("name", pa.string()), ("raw", pa.string()), ("value", pa.string()), ("params", _TEXTS)])
+_ARROW = {
+    "part_id": pa.int32(), "parent_id": pa.int32(), "path": pa.list_(pa.int32()), "depth": pa.int32(), "rel": pa.string(), "start": pa.int32(), "end": pa.int32(),
+    "body_start": pa.int32(), "main": pa.string(), "sub": pa.string(), "params": _TEXTS, "disposition": pa.string(), "disposition_params": _TEXTS, "encoding": pa.string(),
+    "headers": pa.list_(_HEADER), "size": pa.int64(), "text": pa.string(), "data": pa.binary(),
+}
+_FIELDS = [f for f in _ARROW if f not in ("size", "text", "data")]
+#: Characters of raw text after which a batch of parts is given out.
+_BATCH_CHARS = 16 << 20
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[str]:
+    """The messages of a batch as text; their offsets count characters of it."""
+    return (x if isinstance(x, str) else to_text(x) for x in batch.column(1).to_pylist())
+
+
+def _cleaned(x: object) -> object:
+    """Lone surrogates have no place in Arrow text."""
+    return x.encode("utf-8", "replace").decode() if isinstance(x, str) and not x.isascii() and any("\ud800" <= c <= "\udfff" for c in x) else x
+
+
+def _maps(values: list[dict | None]) -> pa.Array:
+    return pa.array([None if v is None else [(_cleaned(k), _cleaned(x)) for k, x in v.items()] for v in values], _TEXTS)
+
+
+def _headers(values: list[list[tuple] | None]) -> pa.Array:
+    offsets, flat = [0], []
+    for hs in values:
+        flat.extend(hs or ())
+        offsets.append(len(flat))
+    text = [pa.array([_cleaned(h[i]) for h in flat], pa.string()) for i in range(3)]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([*text, _maps([h[3] for h in flat])], fields=list(_HEADER)))
+
+
+def _column(name: str, values: list) -> pa.Array:
+    if name == "headers":
+        return _headers(values)
+    if name in ("params", "disposition_params"):
+        return _maps(values)
+    return pa.array([_cleaned(v) for v in values] if name in ("text", "disposition", "encoding") else values, _ARROW[name])
+
+
+def _body(text: str, p: tuple) -> tuple[str | None, bytes | None]:
+    """The decoded body of a part; multiparts and containers have none."""
+    main, sub = p[8], p[9]
+    if main == "multipart" or f"{main}/{sub}" in _NO_BODY:
+        return None, None
+    charset = p[10].get("charset", "ascii" if main == "text" else None)
+    return decode_body(text[p[7] : p[6]], p[13], main, sub, charset.lower() if charset else None)
+
+
+# Parts that hold a message or headers and so have no body of their own.
+_NO_BODY = frozenset(["message/rfc822", "message/global", "message/news", "text/rfc822-headers", "message/feedback-report", "message/external-body", "message/disposition-notification"])
+
+
+def _read(df: DataFrame, key: str, raw: str, fields: list[str], recover: bool, with_enclosed: bool, keep: Callable[[tuple], bool] | None = None) -> DataFrame:
+    """key and `fields` of each part of each readable message, in one pass."""
+    bodies = "text" in fields or "data" in fields
+    wanted = frozenset(fields) | ({"body_start", "encoding"} if bodies else set())
+    place = {f: i for i, f in enumerate(_FIELDS)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, columns, kept = [], [[] for _ in fields], 0
+            for n, text in enumerate(_texts(batch)):
+                found = parse_message(text, recover, wanted)[0]
+                kept += len(text)
+                hidden: set[int] = set()
+                for p in found or ():
+                    if p[4] == "headers" or p[1] in hidden or (p[4] == "enclosed" and not with_enclosed):
+                        hidden.add(p[0])
+                        continue
+                    if keep is not None and not keep(p):
+                        continue
+                    body = _body(text, p) if bodies else None
+                    at.append(n)
+                    for f, column in zip(fields, columns, strict=True):
+                        column.append(p[place[f]] if f in place else body[0] if f == "text" else body[1] if f == "data" else len(text[p[5] : p[6]].encode("utf-8", "replace")))
+                if kept > _BATCH_CHARS:
+                    yield give(batch, at, columns)
+                    at, columns, kept = [], [[] for _ in fields], 0
+            yield give(batch, at, columns)
+
+    def give(batch: pa.RecordBatch, at: list[int], columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(_column(f, c) for f, c in zip(fields, columns, strict=True))], names=[key, *fields])
+
+    kinds = {f.name: f.dataType for f in T._parse_datatype_string(f"struct<{PART},size:bigint,text:string,data:binary>").fields}
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(f, kinds[f]) for f in fields)])
+    return df.select(key, raw).where(F.col(raw).isNotNull()).mapInArrow(run, schema)
+
+
+def explode_parts(df: DataFrame, key: str, raw: str, recover: bool = False, with_self: bool = True, skip_enclosed: bool = False, fields: list[str] | None = None) -> DataFrame:
+    """One row for each part of each message, parents before children: key and the fields of a part (those named in `fields`).
+
+    A null message, or one that cannot be read, gives no row; `parse_errors` lists the latter. Children of headers-only parts
+    are not parts. `skip_enclosed` leaves out what lies in enclosed messages. Other columns of `df` are dropped; repeated
+    messages count each time. Ask for few fields: header sections are read only for those that need them. `size` is
+    the number of bytes of a part as it is written.
+    """
+    return _read(df, key, raw, fields or _FIELDS, recover, not skip_enclosed, None if with_self else _has_parent)
 
-# Headers that speak of a bounce.
-BOUNCE_HEADERS = ["Action", "Content-Description", "Diagnostic-Code", "Final-Recipient", "Received", "Remote-Mta", "Reporting-Mta", "Status"]
 
+def _has_parent(p: tuple) -> bool:
+    return p[1] is not None
 
-def explode_parts(df: DataFrame, key: str, raw: str, recover: bool = False, with_self: bool = True, skip_enclosed: bool = False) -> DataFrame:
-    """One row for each part of each message, parents before children: key and the fields of a part.
 
-    A message that cannot be read gives no row; `parse_errors` lists those. Children of headers-only parts are not
-    parts. `skip_enclosed` leaves out what lies in enclosed messages.
+def explode_bodies(df: DataFrame, key: str, raw: str, fields: list[str] | None = None, recover: bool = False, keep: Callable[[tuple], bool] | None = None) -> DataFrame:
+    """As `explode_parts`, with the decoded `text` (of text types) or `data` (of others) of each part, without a join.
+
+    `keep` is a test on the tuple of a part's fields, in their order, that is made before its body is decoded.
     """
-    parts = df.select(key, M.parse_mime(F.col(raw), recover).alias("_m")).select(key, F.explode("_m.parts").alias("_p")).select(key, "_p.*").where(F.col("rel") != "headers")
-    if not with_self:
-        parts = parts.where(F.col("parent_id").isNotNull())
-    if skip_enclosed:
-        tops = parts.where(F.col("rel") == "enclosed").select(F.col(key).alias("_k"), F.col("path").alias("_top"))
-        inside = (F.col(key) == F.col("_k")) & (F.slice(F.col("path"), 1, F.size("_top")) == F.col("_top"))
-        parts = parts.join(tops, inside, "left_anti")
-    return parts
+    return _read(df, key, raw, [*(fields or [f for f in _FIELDS if f != "headers"]), "text", "data"], recover, True, keep)
 
 
 def parse_errors(df: DataFrame, key: str, raw: str) -> DataFrame:
+    """key and the error of each message that cannot be read."""
     return df.select(key, M.parse_mime(F.col(raw)).alias("_m")).where(F.col("_m.error").isNotNull()).select(key, F.col("_m.error").alias("error"))
 
 
-def part_bodies(df: DataFrame, parts: DataFrame, key: str, raw: str) -> DataFrame:
-    """Parts with their decoded `text` or `data`; multiparts and containers have neither."""
-    joined = parts.join(df.select(key, F.col(raw).alias("_raw")), key)
-    leaf = M.is_singlepart(F.col("main"), F.col("sub")) | M.is_delivery_status(F.col("main"), F.col("sub"))
-    body = F.when(leaf, M.part_text(F.col("_raw"), F.col("body_start"), F.col("end")))
-    decoded = M.decode_body(body, F.col("encoding"), F.col("main"), F.col("sub"), M.part_charset(F.col("main"), F.col("params")))
-    return joined.withColumn("_b", decoded).select(*parts.columns, F.col("_b.text").alias("text"), F.col("_b.data").alias("data"))
-
-
 def attached_message(parts: DataFrame, key: str) -> DataFrame:
     """The first part inside the first enclosed message (not news) of each message."""
     holder = parts.where((F.col("main") == "message") & F.col("sub").isin("rfc822", "global")).groupBy(key).agg(F.min("part_id").alias("parent_id"))
@@ -53,30 +153,33 @@ def detect_bounces(df: DataFrame, key: str, raw: str, probability: float = 0.3)
     """key, score, status, diagnostic_code, notification, is_bounce of each readable message.
 
     The score is the number of bounce headers found in parts, each name once for a part, and of all headers in the
-    first three blocks of status reports, over eight; it may exceed one.
+    first three blocks of status reports, over eight; it may exceed one. Null and unreadable messages give no row,
+    repeated ones count each time. Each message is read once, where it lies.
     """
-    # Read once, used four times: the table of parts has no bodies, so it is small beside the messages.
-    parts = materialise(explode_parts(df, key, raw), "parts")
-    own = parts.select(key, "part_id", F.explode(F.array(*map(F.lit, BOUNCE_HEADERS))).alias("name"), "headers").select(key, "part_id", F.lit(0).alias("n"), "name", M.header_get(F.col("headers"), F.col("name")).alias("value")).where(F.col("value").isNotNull())
-    bodies = part_bodies(df, parts.where(M.is_delivery_status(F.col("main"), F.col("sub"))), key, raw)
-    blocks = F.slice(F.split(F.regexp_replace("text", r"^\s+", ""), r"\r?\n[ \t]*\r?\n"), 1, 3)
-    lines = bodies.select(key, "part_id", F.posexplode(blocks).alias("b", "block")).select(key, "part_id", "b", F.posexplode(M.message_headers(F.concat("block", F.lit("\n\n")))).alias("h", "header"))
-    status = lines.select(key, "part_id", (F.lit(1) + F.col("b") * 1000 + F.col("h")).alias("n"), F.col("header.name").alias("name"), F.col("header.value").alias("value"))
-    order = F.struct("part_id", "n")
-    scored = own.unionByName(status).groupBy(key).agg(
-        (F.count("*") / F.lit(8.0)).alias("score"),
-        F.min_by(F.when((F.col("name") == "Status") & F.col("value").rlike(r"^\d\.\d+\.\d+"), F.col("value")), F.when((F.col("name") == "Status") & F.col("value").rlike(r"^\d\.\d+\.\d+"), order)).alias("status"),
-        F.max_by(F.when(F.col("name") == "Diagnostic-Code", F.col("value")), F.when(F.col("name") == "Diagnostic-Code", order)).alias("diagnostic_code"),
-    )
-    noted = parts.where(F.col("parent_id").isNotNull() & (F.lower(M.header_get(F.col("headers"), "Content-Description")) == "notification"))
-    first = noted.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("part_id"))).where(F.col("_r") == 1).drop("_r")
-    notes = part_bodies(df, first, key, raw).select(key, F.col("text").alias("notification"))
-    every = parts.where(F.col("parent_id").isNull()).select(key)
-    out = every.join(scored, key, "left").join(notes, key, "left")
-    return out.select(
-        key, F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("status", F.lit("")).alias("status"), F.coalesce("diagnostic_code", F.lit("")).alias("diagnostic_code"),
-        F.coalesce("notification", F.lit("")).alias("notification"), (F.coalesce("score", F.lit(0.0)) > probability).alias("is_bounce"),
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for n, text in enumerate(_texts(batch)):
+                parts = parse_message(text)[0]
+                if parts is not None:
+                    at.append(n)
+                    found.append(bounce_report(text, [(p, _body(text, p)[0]) for p in parts if p[4] != "headers"]) if _may_speak(text) else NO_REPORT)
+            columns = [pa.array([x[0] for x in found], pa.float64()), *(pa.array([_cleaned(x[i]) for x in found], pa.string()) for i in (1, 2, 3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=[key, "score", "status", "diagnostic_code", "notification"])
+
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("score", T.DoubleType()), *(T.StructField(c, T.StringType()) for c in ("status", "diagnostic_code", "notification"))])
+    out = df.select(key, raw).where(F.col(raw).isNotNull()).mapInArrow(run, schema)
+    return out.withColumn("is_bounce", F.col("score") > probability)
+
+
+_SPEAKING = [f"{name.lower()}:" for name in BOUNCE_HEADERS]
+
+
+def _may_speak(text: str) -> bool:
+    """Whether any of the headers that the report reads can be there."""
+    low = text.lower()
+    return any(name in low for name in _SPEAKING) or "delivery-status" in low
 
 
 def subtree_changed(parts: DataFrame, key: str, changed: str) -> DataFrame:

@@ -9,7 +9,7 @@ from lettermill.functions import addresses as A
 from lettermill.functions import messages as M
 from lettermill.kernels.address import MAX_ITEMS
 from lettermill.operators.addresses import explode_addresses, members, suggest_domains, validate_addresses
-from lettermill.operators.mail import apply_edits, attached_message, detect_bounces, explode_parts, part_bodies, part_edits, subtree_changed
+from lettermill.operators.mail import BOUNCE_HEADERS, apply_edits, attached_message, detect_bounces, explode_bodies, explode_parts, part_edits, subtree_changed
 from lettermill.operators.threads import build_threads
 from lettermill.session import spread, table
 
@@ -337,16 +337,19 @@ def _mime_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, part_id, kind, depth FROM documents, (VALUES (0, 'multipart/mixed', 0), (1, 'text/plain', 1), (2, 'text/plain', 1)) p(part_id, kind, depth) WHERE text IS NOT NULL")
 def mime_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = explode_parts(_mime_source(spark, sf_dir), "doc_id", "raw")
+    parts = explode_parts(_mime_source(spark, sf_dir), "doc_id", "raw", fields=["part_id", "main", "sub", "depth"])
     return parts.select("doc_id", "part_id", F.concat_ws("/", "main", "sub").alias("kind"), "depth")
 
 
+def is_attached(part: tuple) -> bool:
+    """The test on a part's fields of `explode_bodies` for attachments."""
+    return part[11] == "attachment"
+
+
 @query("SELECT doc_id, md5(text) AS digest, length(text) AS n FROM documents WHERE text IS NOT NULL")
 def mime_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The attachment decoded is the document."""
-    source = _mime_source(spark, sf_dir)
-    parts = explode_parts(source, "doc_id", "raw").where(M.is_attachment(F.col("disposition")))
-    bodies = part_bodies(source, parts, "doc_id", "raw")
+    bodies = explode_bodies(_mime_source(spark, sf_dir), "doc_id", "raw", fields=["disposition"], keep=is_attached)
     return bodies.select("doc_id", F.md5(F.encode("text", "utf-8")).alias("digest"), F.length("text").cast("bigint").alias("n"))
 
 
@@ -365,8 +368,8 @@ def mime_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.concat(F.lit("Subject: x\r\nContent-Type: text/plain\r\n\r\ninner "), F.col("msg_id").cast("string"))
     outer = F.concat(F.lit("Subject: y\r\n"), M.build_multipart("mixed", F.col("msg_id"), F.concat(F.lit("Content-Type: text/plain\r\n\r\n"), F.lit("hello")), M.build_message_container(inner)))
     source = m.select("msg_id", outer.alias("raw"))
-    found = attached_message(explode_parts(source, "msg_id", "raw"), "msg_id")
-    return part_bodies(source, found, "msg_id", "raw").select("msg_id", F.concat_ws("/", "main", "sub").alias("kind"), F.col("text").alias("body"))
+    found = attached_message(explode_bodies(source, "msg_id", "raw", fields=["part_id", "parent_id", "main", "sub"]), "msg_id")
+    return found.select("msg_id", F.concat_ws("/", "main", "sub").alias("kind"), F.col("text").alias("body"))
 
 
 @query("SELECT doc_id, part_id, part_id <> 1 AS was_changed FROM documents, (VALUES (0), (1), (2)) p(part_id) WHERE text IS NOT NULL")
@@ -384,9 +387,8 @@ def mime_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = parts.withColumn("h", F.when(F.col("part_id") == 0, M.header_set(F.col("headers"), "Subject", F.concat(F.lit("new "), F.col("doc_id").cast("string")))))
     parts = parts.withColumn("b", F.when(F.col("part_id") == 1, F.concat(F.lit("bye "), F.col("doc_id").cast("string"))))
     again = apply_edits(source, "doc_id", "raw", part_edits(parts, "doc_id", "h", "b"))
-    read = explode_parts(again, "doc_id", "text")
-    bodies = part_bodies(again, read, "doc_id", "text")
-    one = bodies.groupBy("doc_id").agg(F.max(F.when(F.col("part_id") == 1, F.col("text"))).alias("first"), F.md5(F.encode(F.max(F.when(F.col("part_id") == 2, F.col("text"))), "utf-8")).alias("second"))
+    read = explode_bodies(again.withColumnRenamed("text", "raw"), "doc_id", "raw", fields=["part_id", "headers"])
+    one = read.groupBy("doc_id").agg(F.max(F.when(F.col("part_id") == 1, F.col("text"))).alias("first"), F.md5(F.encode(F.max(F.when(F.col("part_id") == 2, F.col("text"))), "utf-8")).alias("second"))
     root = read.where(F.col("part_id") == 0).select("doc_id", M.header_get(F.col("headers"), "Subject").alias("subject"))
     return one.join(root, "doc_id").select("doc_id", "subject", "first", "second")
 
@@ -394,8 +396,6 @@ def mime_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT msg_id, (msg_id % 8) / 8.0 AS score, (msg_id % 8) / 8.0 > 0.3 AS is_bounce FROM (SELECT DISTINCT msg_id FROM messages)")
 def bounce_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports with as many bounce headers as the id says."""
-    from lettermill.operators.mail import BOUNCE_HEADERS
-
     m = table(spark, sf_dir, "messages").select("msg_id").distinct()
     head: Column = F.lit("Subject: report\r\n")
     for i, name in enumerate(BOUNCE_HEADERS):
