@@ -16,7 +16,8 @@ _MASKED = "".join(chr(0xE010 + i) for i in range(len(_SPECIAL)))
 _ESC_QUOTE, _ESC_BACKSLASH = "\ue001", "\ue002"
 #: A value: a URL as it stands, or local@host; both are written over masked text.
 _URL = r"[Hh][Tt][Tt][Pp][Ss]?://[^\s<>,;|\"]+"
-_ADDRESS = r"(?:\"[^\"]*\"|[^\s<>@,;|\"():]+)@(?:\[[^\]\s]*\]|[^\s<>@,;|\"()]+)"
+# A local part begins where a word begins and its loops don't go back, so that a word of any length is read once.
+_ADDRESS = r"(?:\"[^\"]*+\"|(?<![^\s<>@,;|\"():])[^\s<>@,;|\"():]++)@(?:\[[^\]\s]*+\]|[^\s<>@,;|\"()]++)"
 
 
 def split_literals(text: Column) -> Column:
@@ -26,27 +27,29 @@ def split_literals(text: Column) -> Column:
     someone put in quotes; it is code. Unbalanced quotes: the last piece is code.
     """
     pieces = F.split(text, '"', -1)
-    last = F.size(pieces) - 1
-    before = lambda i: F.element_at(pieces, i)  # noqa: E731  (element_at counts from 1, so i is the piece before)
-    after = lambda i: F.element_at(pieces, i + F.lit(2))
+    # Each piece with its neighbours; the last has none after it. Made once, not once for each piece.
+    zipped = F.arrays_zip(F.concat(F.array(F.lit("")), pieces), pieces, F.slice(pieces, 2, 1 << 30))
 
-    def piece(p: Column, i: Column) -> Column:
-        odd = (i % 2 == 1) & (i < last)
-        listed = p.contains("@") & after(i).rlike(r"^\s*(?:[,;|]|$)") & before(i).rlike(r"(?:^|[,;|:])\s*$")
+    def piece(z: Column, i: Column) -> Column:
+        before, p, after = z["0"], z["1"], z["2"]
+        odd = (i % 2 == 1) & after.isNotNull()
+        listed = p.contains("@") & after.rlike(r"^\s*(?:[,;|]|$)") & before.rlike(r"(?:^|[,;|:])\s*$")
         masked = F.concat(F.lit('"'), F.translate(p, _SPECIAL, _MASKED), F.lit('"'))
         return F.when(odd & ~listed, masked).otherwise(p)
 
-    return F.array_join(F.transform(pieces, piece), "")
+    return F.array_join(F.transform(zipped, piece), "")
 
 
 def _prepared(raw: Column) -> Column:
     text = F.regexp_replace(raw, r"\r?\n[ \t]*|\r", " ")
     text = F.regexp_replace(text, r"\\\\", _ESC_BACKSLASH)
     text = F.regexp_replace(text, r'\\"', _ESC_QUOTE)
-    # Single quotes quote a name only where one begins, and before a bracket; elsewhere they are apostrophes.
-    text = F.regexp_replace(text, r"(^|[,;|>]\s*)'([^\"<>@]*?)'(?=\s*<)", '$1"$2"')
+    # Single quotes quote a name only where one begins, and before a bracket; elsewhere they are apostrophes. The pattern
+    # looks for a name of up to 256 characters, so its work does not grow with the square of the text.
+    text = F.regexp_replace(text, r"(^|[,;|>]\s*+)'([^\"<>@]{0,256}?)'(?=\s*+<)", '$1"$2"')
     # Comments go, but not what looks like one inside quotes.
-    text = F.regexp_replace(text, r'("[^"]*")|\((?:[^()"]|"[^"]*")*\)', "$1")
+    # The loops are possessive: others recurse in Java for each character of a comment.
+    text = F.regexp_replace(text, r'("[^"]*+")|\((?:[^()"]++|"[^"]*+")*+\)', "$1")
     text = split_literals(text)
     # The name of a group and a route are no values.
     text = F.regexp_replace(text, r"(^|[,;|])[^,;|:@<>]*:(?!//)", "$1")
@@ -82,5 +85,6 @@ def explode_packed(
     text = F.col(raw)
     marks = F.length(text) - F.length(F.translate(text, "@", "")) + F.when(text.contains("://"), least).otherwise(0)
     once = df.where(text.isNotNull() & (marks >= least)).select(*keys, raw).dropDuplicates()
-    found = once.select(*keys, packed_values(text).alias("_values")).where(F.size("_values") >= least)
+    # The array goes through a generator: a filter on it would else be pushed below and the values be made twice.
+    found = once.select(*keys, F.explode(F.array(packed_values(text))).alias("_values")).where(F.size("_values") >= least)
     return found.select(*keys, F.posexplode("_values").alias(position, value))
