@@ -1,23 +1,29 @@
 """Deeply nested records into flat tables by shared inlining.
 
-A schema graph has an edge for each element that occurs in another, with `one` or `many` as its cardinality.
-Shared inlining gives a table to the root and to each element that is repeated, shared by several parents or
-recursive; every other element occurs once below one parent and is inlined into its table as columns. The rows of
-a table carry a key, the key of the row of the parent table, and the role they have in it.
+A schema graph has an edge for each element that occurs in another, with `one` or `many` as its cardinality. It is
+found in the records themselves: names that hold alike objects are one element. Shared inlining gives a table to the
+root and to each element that is repeated, shared by several parents or recursive; every other element occurs once
+below one parent and is inlined into its table as columns. The rows of a table carry a key, the key of the row of the
+parent table, and the role they have in it. What the graph doesn't have is in no table.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from json.decoder import scanstring
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: An element with more names than this is a map from data to data, and a leaf of the graph.
+MOST_NAMES = 200
+
 
 @dataclass(frozen=True)
 class Edge:
@@ -80,18 +86,58 @@ class SchemaGraph:
         walk(element, [])
         return out
 
+    def tables(self) -> dict[str, dict[str, list[str]]]:
+        """Element to the columns of its table, for each element that has one."""
+        return {e: self.inlined(e) for e in sorted(self.relations())}
+
+
+    def links(self, element: str) -> list[tuple[list[str], Edge]]:
+        """Edges that lead from the table of `element` to another table, with the names of inlined elements on the way."""
+        tables, out = self.relations(), []
+
+        def walk(at: str, path: list[str]) -> None:
+            for e in self.children(at):
+                if e.child in tables:
+                    out.append((path, e))
+                else:
+                    walk(e.child, [*path, e.name])
+
+        walk(element, [])
+        return out
 
-#: The graph of a parsed mail: a part holds parts and at most one enclosed message, which is a part again.
-MAIL_GRAPH = SchemaGraph(
-    "part",
-    [
-        Edge("part", "parts", "part", True), Edge("part", "enclosed", "part"), Edge("part", "headers", "header", True),
-        Edge("part", "content_type", "content_type"), Edge("content_type", "main", "main"), Edge("content_type", "sub", "sub"),
-        Edge("content_type", "params", "ct_params"), Edge("part", "disposition", "disposition"),
-        Edge("disposition", "value", "disposition_value"), Edge("disposition", "params", "disposition_params"),
-        Edge("part", "body", "body"), Edge("part", "size", "size"), Edge("header", "name", "name"), Edge("header", "value", "value"),
-    ],
-)
+
+def unify(found: Iterable[tuple[str, str, bool]], root: str, alike: tuple[str, ...] = ()) -> SchemaGraph:
+    """The graph of observed (parent, name, many). Names in `alike` hold the root's element again; of others those whose
+    objects have more than half of their own names in common are one element, called by the first of its names."""
+    names: dict[str, set[str]] = defaultdict(set)
+    found = sorted(found)
+    for parent, name, _ in found:
+        names[parent].add(name)
+    same = {e: e for e in names} | {e: root for e in alike}
+
+    def of(e: str) -> str:
+        while same.get(e, e) != e:
+            e = same[e]
+        return e
+
+    holders = [root, *sorted(set(names) - {root})]
+    for i, a in enumerate(holders):
+        for b in holders[i + 1 :]:
+            if not {a, b} & {root, *alike} and of(a) != of(b) and 2 * len(names[a] & names[b]) > min(len(names[a]), len(names[b])):
+                same[of(b)] = of(a)
+    edges: dict[tuple[str, str, str], bool] = defaultdict(bool)
+    for parent, name, many in found:
+        # Leaves of one name below different elements are different columns, not one shared element.
+        child = of(name) if name in names or name in alike else f"{of(parent)}.{name}"
+        edges[of(parent), name, child] |= many
+    return SchemaGraph(root, [Edge(p, n, c, many) for (p, n, c), many in sorted(edges.items())])
+
+
+#: The columns of the table of parts and what they hold, whatever else the records have.
+PART_COLUMNS = {
+    "body": T.StringType(), "content_type_main": T.StringType(), "content_type_params": T.StringType(), "content_type_sub": T.StringType(),
+    "disposition_params": T.StringType(), "disposition_value": T.StringType(), "size": T.StringType(),
+}
 
 NODE_SCHEMA = T.StructType(
     [
@@ -105,8 +151,101 @@ def _as_list(x: object) -> list:
     return [] if x is None else x if isinstance(x, list) else [x]
 
 
+# JSON of any depth: the library's reader and writer recurse.
+
+_SKIP = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null|NaN|-?Infinity)")
+_OPEN, _CLOSE = object(), object()
+
+
+def loads(text: str) -> object:
+    """The value of a JSON text, however deep. Raises ValueError if it is none."""
+    try:
+        return json.loads(text, strict=False)
+    except RecursionError:
+        return _deep_loads(text)
+
+
+def _deep_loads(text: str) -> object:
+    top: list = []
+    stack: list[tuple[object, object]] = [(top, None)]  # container and the key that waits for its value
+    at, after = _SKIP.match(text).end(), False
+    while True:
+        holder, key = stack[-1]
+        if after:
+            if holder is top:
+                if at != len(text):
+                    raise ValueError("text after the value")
+                return top[0]
+            mark = text[at : at + 1]
+            if mark == ("]" if isinstance(holder, list) else "}"):
+                stack.pop()
+                at = _SKIP.match(text, at + 1).end()
+                continue
+            if mark != ",":
+                raise ValueError("no comma")
+            at = _SKIP.match(text, at + 1).end()
+        elif holder is not top and not holder and text[at : at + 1] == ("]" if isinstance(holder, list) else "}"):
+            stack.pop()
+            at, after = _SKIP.match(text, at + 1).end(), True
+            continue
+        if isinstance(holder, dict):
+            if text[at : at + 1] != '"':
+                raise ValueError("no name")
+            key, at = scanstring(text, at + 1, False)
+            at = _SKIP.match(text, at).end()
+            if text[at : at + 1] != ":":
+                raise ValueError("no colon")
+            at = _SKIP.match(text, at + 1).end()
+        mark = text[at : at + 1]
+        if mark in ("{", "["):
+            value: object = {} if mark == "{" else []
+            at, after = at + 1, False
+        elif mark == '"':
+            value, at = scanstring(text, at + 1, False)
+            after = True
+        elif m := _SCALAR.match(text, at):
+            value, at, after = json.loads(m.group()), m.end(), True
+        else:
+            raise ValueError("no value")
+        if isinstance(holder, dict):
+            holder[key] = value
+        else:
+            holder.append(value)
+        if not after:
+            stack.append((value, None))
+        at = _SKIP.match(text, at).end()
+
+
+def dumps(x: object) -> str:
+    """JSON of a value, however deep."""
+    try:
+        return json.dumps(x, ensure_ascii=False)
+    except RecursionError:
+        pass
+    out: list[str] = []
+    todo: list[object] = [x]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, tuple):
+            out.append(v[0])
+        elif isinstance(v, dict):
+            pieces: list[object] = [("{",)]
+            for i, (k, w) in enumerate(v.items()):
+                pieces += [((", " if i else "") + json.dumps(k, ensure_ascii=False) + ": ",), w]
+            todo.extend(reversed([*pieces, ("}",)]))
+        elif isinstance(v, list):
+            pieces = [("[",)]
+            for i, w in enumerate(v):
+                pieces += [(", ",), w] if i else [w]
+            todo.extend(reversed([*pieces, ("]",)]))
+        else:
+            out.append(json.dumps(v, ensure_ascii=False))
+    return "".join(out)
+
+
 def _text(x: object) -> str | None:
-    return x if x is None or isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+    return x if x is None or isinstance(x, str) else dumps(x)
 
 
 def header_pairs(headers: object) -> Iterator[tuple[str, object]]:
@@ -138,84 +277,165 @@ def content_type(x: object) -> dict:
     return x if isinstance(x, dict) else {}
 
 
-def readable(text: str | None) -> dict | None:
-    """The root object of a record, out of its wrapper if there is one; null if the text is no whole object."""
-    if not text:
-        return None
+_MESSAGE = {"headers", "parts", "content_type", "enclosed"}
+
+
+def unwrapped(x: object) -> dict | None:
+    """The object of a record, out of its wrappers (a text of JSON, a list of one, `message`), however many; null if there is none."""
     try:
-        root = json.loads(text, strict=False)
-        for _ in range(4):
-            if isinstance(root, str):
-                root = json.loads(root, strict=False)
-            elif isinstance(root, list) and len(root) == 1:
-                root = root[0]
-            elif isinstance(root, dict) and isinstance(root.get("message"), (dict, str)) and not {"headers", "parts", "content_type", "enclosed"} & set(root):
-                root = root["message"]
+        while True:
+            if isinstance(x, str):
+                x = loads(x)
+            elif isinstance(x, list) and len(x) == 1:
+                x = x[0]
+            elif isinstance(x, dict) and isinstance(x.get("message"), (dict, str)) and not _MESSAGE & set(x):
+                x = x["message"]
             else:
-                break
-    except (ValueError, RecursionError):
+                return x if isinstance(x, dict) else None
+    except ValueError:
         return None
-    return root if isinstance(root, dict) else None
 
 
-def shred_mail(text: str | None, with_fields: bool = True) -> Iterator[tuple]:
-    """The rows of NODE_SCHEMA for one record, parents before children. The walk keeps its own stack, so depth is no limit."""
-    root = readable(text)
-    if root is None:
-        return
-    todo = [(root, "0", "", "root", 0)]
-    plan = MAIL_GRAPH.inlined("part")
+def readable(text: str | None) -> dict | None:
+    """The root object of a record; null if the text is no whole object."""
+    return unwrapped(text) if text else None
+
+
+def mail_children(node: dict, name: str) -> list[object]:
+    """What an object of a parsed mail holds under a name, in one shape whichever writer wrote it; null entries keep their place."""
+    value = node.get(name)
+    if name == "headers":
+        return [{"name": n, "value": v} for n, v in header_pairs(value)]
+    if name == "content_type":
+        return [content_type(value)] if value is not None else []
+    if name == "params":  # a map from data to data
+        return [] if value is None else [_text(value)]
+    if name == "enclosed" and value is not None:
+        inner = unwrapped(value) if isinstance(value, (dict, str, list)) else None
+        return [inner] if inner is not None else []
+    return _as_list(value)
+
+
+#: Names under which a part holds parts.
+MAIL_ALIKE = ("parts", "enclosed")
+#: What the path of a row adds to that of its parent, by the name under which it lies.
+MAIL_STEPS = {"parts": ".{}", "enclosed": ".e", "headers": "#{}"}
+Children = Callable[[dict, str], list]
+
+
+def observed(root: dict, children: Children = mail_children) -> set[tuple[str, str, bool]]:
+    """(parent, name, many) of everything that a record has, under the names of its objects; the root is `root`."""
+    seen: set[tuple[str, str, bool]] = set()
+    todo = [("root", root)]
+    while todo:
+        element, node = todo.pop()
+        for name, value in node.items():
+            below = [x for x in children(node, name) if x is not None]
+            if below:
+                seen.add((element, name, isinstance(value, list) and name != "content_type" or (name == "headers")))
+                todo.extend((name, x) for x in below if isinstance(x, dict))
+    return seen
+
+
+def shred(root: dict, graph: SchemaGraph, steps: dict[str, str], children: Children = mail_children, with_fields: bool = True) -> Iterator[tuple]:
+    """(element, path, parent path, role, ordinal, fields) of the rows of all tables for one record, parents before children.
+
+    Rows are those of the elements to which the graph gives a table; an edge leads from the row of a parent to the rows
+    of its children and gives them their foreign key. The walk keeps its own stack, so depth is no limit.
+    """
+    tables = graph.tables()
+    links = {e: graph.links(e) for e in tables}
+    columns = {e: list(c.items()) for e, c in tables.items()}
+    todo: list[tuple] = [(graph.root, root, "0", "", "root", 0)]
     while todo:
-        node, path, parent, role, ordinal = todo.pop()
+        element, node, path, parent, role, ordinal = todo.pop()
         fields = None
         if with_fields:
-            node_view = node | {"content_type": content_type(node.get("content_type"))}
             fields = {}
-            for column, steps in plan.items():
-                at: object = node_view
-                for s in steps:
-                    at = at.get(s) if isinstance(at, dict) else None
+            for column, way in columns[element]:
+                at: object = node
+                for name in way:
+                    found = children(at, name) if isinstance(at, dict) else []
+                    at = found[0] if len(found) == 1 else at.get(name) if found else None
                 if at is not None:
                     fields[column] = _text(at)
-        yield "part", path, parent, role, ordinal, fields
-        for i, (name, value) in enumerate(header_pairs(node.get("headers"))):
-            yield "header", f"{path}#{i}", path, "header", i, {"name": name, "value": _text(value)} if with_fields else None
-        below = [(c, f"{path}.{i}", path, "part", i) for i, c in enumerate(_as_list(node.get("parts"))) if isinstance(c, dict)]
-        inner = node.get("enclosed")
-        if isinstance(inner, (dict, str, list)) and (message := inner if isinstance(inner, dict) and "message" not in inner else readable(inner if isinstance(inner, str) else json.dumps(inner))) is not None:
-            below.append((message, f"{path}.e", path, "enclosed", 0))
+        yield element, path, parent, role, ordinal, fields
+        below = []
+        for way, edge in links[element]:
+            holder: object = node
+            for name in way:
+                found = children(holder, name) if isinstance(holder, dict) else []
+                holder = found[0] if len(found) == 1 else None
+            if isinstance(holder, dict) and edge.name in holder:
+                step = steps.get(edge.name, "".join(f".{x}" for x in [*way, edge.name]) + ".{}")
+                below.extend((edge.child, x, path + step.format(i), path, edge.name, i) for i, x in enumerate(children(holder, edge.name)) if isinstance(x, dict))
         todo.extend(reversed(below))
 
 
-def flatten_records(df: DataFrame, key: str, record: str, with_fields: bool = True) -> DataFrame:
+def infer_graph(df: DataFrame, record: str, alike: tuple[str, ...] = MAIL_ALIKE) -> SchemaGraph:
+    """The schema graph that the records themselves show: distinct (parent, name, many) over all rows.
+
+    An element with more than MOST_NAMES names is a map and a leaf, so what reaches the driver is bounded by the schema
+    however many rows there are. Unreadable records show nothing; without any the graph is the root alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, str, bool]] = set()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                root = readable(text)
+                if root is not None:
+                    seen |= observed(root)
+        rows = sorted(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_()))], names=["parent", "name", "many"])
+
+    edges = df.select(record).where(F.col(record).isNotNull() & (F.col(record) != "")).mapInArrow(run, "parent string, name string, many boolean").groupBy("parent", "name").agg(F.max("many").alias("many"))
+    narrow = edges.groupBy("parent").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("name", "many"))).alias("names")).where(F.col("n") <= MOST_NAMES)
+    return unify(((r["parent"], x["name"], x["many"]) for r in narrow.select("parent", "names").collect() for x in r["names"]), "root", alike)
+
+
+def flatten_records(df: DataFrame, key: str, record: str, with_fields: bool = True, graph: SchemaGraph | None = None) -> DataFrame:
     """One row for each part and header of each readable record: `key` and the columns of NODE_SCHEMA.
 
-    Null, empty, cut-off and object-less records give no row; repeated records count once. `fields` has the inlined
-    columns. Records are read batch by batch where they lie; the one shuffle, for repeats, carries the flat rows.
-    Other columns of `df` are dropped first.
+    `graph` is inferred from the records unless it is given. The kind of a row is `part` for the root's element, else
+    the name under which the element lies (`header` for headers). Null, empty, cut-off and object-less records give no
+    row; of several records under one key one counts: of those with an end the longest, then the greatest. It is chosen
+    before anything is read, so the shuffle carries records and no rows. `fields` has the inlined columns. Other columns of `df` are dropped first.
     """
-    key_type = df.schema[key].dataType
-    schema = T.StructType([T.StructField(key, key_type), *NODE_SCHEMA.fields])
-    names = schema.fieldNames()
-    source = df.select(key, record)
+    source = df.select(key, record).where(F.col(record).isNotNull() & (F.col(record) != ""))
+    graph = graph or infer_graph(source, record)
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *NODE_SCHEMA.fields])
+    kinds = {graph.root: "part"}
+    kinds |= {e.child: "header" if e.name == "headers" else e.name for e in graph.edges if e.child != graph.root}
+    # A record that was cut off has lost its end.
+    best = F.max(F.struct(F.rtrim(record).rlike(r'[}\]"]\z').alias("ended"), F.length(record).alias("length"), F.col(record).alias("record")))
+    once = source.groupBy(key).agg(best.alias("m")).select(key, F.col("m.record").alias(record))
+    arrow = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def give(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+            columns = [[kinds[r[0]] for r in rows], *([r[i] for r in rows] for i in range(1, 5)), [None if r[5] is None else list(r[5].items()) for r in rows]]
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, arrow, strict=True))], names=schema.fieldNames())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows: list[tuple] = []
-            for k, text in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
-                rows.extend((k, *r) for r in shred_mail(text, with_fields))
-                if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            yield pd.DataFrame(rows, columns=names)
+            at, rows, size = [], [], 0
+            for n, text in enumerate(batch.column(1).to_pylist()):
+                root = readable(text)
+                for row in shred(root, graph, MAIL_STEPS, with_fields=with_fields) if root is not None else ():
+                    at.append(n)
+                    rows.append(row)
+                    size += len(row[1])
+                    if len(rows) > 20_000 or size > 8 << 20:
+                        yield give(batch, at, rows)
+                        at, rows, size = [], [], 0
+            yield give(batch, at, rows)
 
-    flat = source.where(F.col(record).isNotNull() & (F.col(record) != "")).mapInPandas(run, schema)
-    return flat.dropDuplicates([key, "node_kind", "node_path", "parent_path"])
+    return once.mapInArrow(run, schema)
 
 
 def part_table(nodes: DataFrame, key: str) -> DataFrame:
     """The table of parts: key, path, the foreign key to the parent part, role, and the inlined columns."""
-    columns = [F.col("fields")[c].alias(c) for c in MAIL_GRAPH.inlined("part")]
+    columns = [F.col("fields")[c].alias(c) for c in PART_COLUMNS]
     return nodes.where(F.col("node_kind") == "part").select(key, "node_path", "parent_path", "role", "ordinal", *columns)
 
 
@@ -224,30 +444,3 @@ def header_table(nodes: DataFrame, key: str) -> DataFrame:
     return nodes.where(F.col("node_kind") == "header").select(
         key, "node_path", "parent_path", "ordinal", F.col("fields")["name"].alias("name"), F.col("fields")["value"].alias("value")
     )
-
-
-def infer_graph(df: DataFrame, record: str, root: str = "root") -> SchemaGraph:
-    """The schema graph that the records themselves show: distinct (parent, name, many) over all rows.
-
-    Only distinct names of elements reach the driver, at most `LIMIT` of them; more than that is an error, since
-    then the names are data.
-    """
-    limit = 10_000
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen = set()
-            for text in batch.iloc[:, 0]:
-                todo = [(root, readable(text))]
-                while todo:
-                    name, node = todo.pop()
-                    for k, v in node.items() if isinstance(node, dict) else ():
-                        seen.add((name, k, isinstance(v, list)))
-                        todo.extend((k, x) for x in _as_list(v) if isinstance(x, dict))
-            yield pd.DataFrame(sorted(seen), columns=["parent", "name", "many"])
-
-    edges = df.select(record).mapInPandas(run, "parent string, name string, many boolean").groupBy("parent", "name").agg(F.max("many").alias("many"))
-    rows = edges.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("more element names than a schema can have")
-    return SchemaGraph(root, [Edge(r["parent"], r["name"], r["name"], r["many"]) for r in sorted(rows)])

@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and headers of every readable record, with their parents."""
     nodes = flatten_records(table(spark, sf_dir, "mime_records"), "msg_id", "record_json", with_fields=False)
-    return nodes.select("msg_id", "node_kind", "node_path", "parent_path")
+    return nodes.where(F.col("node_kind").isin("part", "header")).select("msg_id", "node_kind", "node_path", "parent_path")
 
 
 def p4_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ from zoneinfo import ZoneInfo
 
 from pyspark.sql import functions as F
 
-from lettermill.operators.nested_records import MAIL_GRAPH, Edge, SchemaGraph, flatten_records, header_table, infer_graph, part_table
+from lettermill.operators.nested_records import MAIL_ALIKE, Edge, SchemaGraph, dumps, flatten_records, header_table, infer_graph, loads, observed, part_table, readable, unify
+from lettermill.operators.nested_records import shred as shred_tables
 from lettermill.operators.packed_values import explode_packed, packed_values
 from lettermill.operators.timestamps import components, days_from_civil, normalise_timestamps
 
@@ -44,8 +45,9 @@ def test_packed_rows(spark):
 
 
 def test_graph():
-    assert MAIL_GRAPH.relations() == {"part", "header"}
-    assert MAIL_GRAPH.inlined("part")["content_type_main"] == ["content_type", "main"]
+    mail = unify(observed(json.loads('{"headers": [["A", "1"]], "content_type": "a/b", "enclosed": {"parts": [{"body": "x", "content_type": ["c/d", {"k": "v"}]}]}}')), "root", MAIL_ALIKE)
+    assert mail.relations() == {"root", "headers"}
+    assert mail.inlined("root")["content_type_main"] == ["content_type", "main"] and "body" in mail.inlined("root")
     g = SchemaGraph("a", [Edge("a", "b", "b"), Edge("b", "c", "c"), Edge("a", "d", "d"), Edge("d", "c", "c"), Edge("d", "e", "e", True)])
     assert g.relations() == {"a", "c", "e"} and g.recursive() == set()
 
@@ -102,7 +104,36 @@ def test_record_shapes(spark):
     assert parts[1, "0.0"].content_type_main == "text" and parts[1, "0.0"].content_type_sub == "html" and json.loads(parts[9, "0"].content_type_params) == {"charset": "x"}
     assert {(r.name, r.value) for r in header_table(nodes, "k").where("k = 1").collect()} == {("To", "a"), ("To", "b"), ("X", "1")}
     assert flatten_records(df.limit(0), "k", "j").count() == 0
-    assert {(e.parent, e.name, e.many) for e in infer_graph(df.where("k = 1"), "j").edges} >= {("root", "headers", False), ("headers", "To", True)}
+    assert {(e.parent, e.name, e.child, e.many) for e in infer_graph(df.where("k = 1"), "j").edges} >= {("root", "headers", "headers", True), ("root", "parts", "root", False)}
+    # Without the edges that the graph has, there are no rows below the root.
+    assert {r.node_path for r in flatten_records(df, "k", "j", graph=SchemaGraph("root")).collect()} == {"0"}
+
+
+def test_deep_records(spark):
+    """The reader and the writer do not recurse; rows come from any depth."""
+    n = 100_000
+    text = '{"enclosed": ' * n + '{"headers": [["A", "1"]]}' + "}" * n
+    root = readable(text)
+    depth = 0
+    while "enclosed" in root:
+        root, depth = root["enclosed"], depth + 1
+    assert depth == n and root["headers"]
+    rng = random.Random(2)
+    for _ in range(300):
+        x = json.loads(json.dumps([rng.choice([1, -2.5e3, None, True, "a\"\\\n", [], {}, {"k": [1, {"é": []}]}]) for _ in range(rng.randint(0, 4))]))
+        from lettermill.operators.nested_records import _deep_loads
+
+        assert _deep_loads(json.dumps(x, indent=rng.choice([None, 1]))) == x
+    for bad in ("[1,]", "{,}", "[1 2]", '{"a" 1}', "[", '{"a":', "1 2", "[}", '["a]'):
+        try:
+            _deep_loads(bad)
+            raise AssertionError(bad)
+        except ValueError:
+            pass
+    assert loads(dumps(loads("[" * 30_000 + "]" * 30_000)))  # and back
+    df = spark.createDataFrame([(1, '{"enclosed": ' * 3000 + '{"body": {"x": 1}}' + "}" * 3000), (1, '{"enclosed": '), (2, '{"parts": [{"parts": [{}]}]}')], "k int, j string")
+    rows = flatten_records(df, "k", "j").groupBy("k").agg(F.count("*").alias("n"), F.max(F.length("node_path")).alias("m")).collect()
+    assert {(r.k, r.n, r.m) for r in rows} == {(1, 3001, 6001), (2, 3, 5)}
 
 
 def test_days(spark):
