@@ -33,17 +33,21 @@ def _parse_kernel(strict: bool, spec_only: bool):
 
 def parse_address(text: Column, strict: bool = False, addr_spec_only: bool = False) -> Column:
     """Struct of an address, or null. Plain ASCII addresses are read by one regular expression in the JVM; only others go to the kernel."""
-    short = F.length(F.trim(text)) <= K.MAX_ADDRESS
-    simple = text.rlike(SIMPLE) & ~text.rlike(_NOT_SIMPLE) & short
+    # The pattern is run once: what it finds is put between marks that no such address has, and cut at these.
+    marked = F.regexp_replace(text, SIMPLE, "\x01$1\x01$2$4\x01$3$5")
+    simple = marked.startswith("\x01") & ~text.contains("\x01") & ~text.rlike(_NOT_SIMPLE) & (F.length(F.trim(text)) <= K.MAX_ADDRESS)
     if addr_spec_only:
         simple = simple & ~text.contains("<")
-    part = lambda i, j: F.when(F.regexp_extract(text, SIMPLE, i) != "", F.regexp_extract(text, SIMPLE, i)).otherwise(F.regexp_extract(text, SIMPLE, j))
-    local, host = part(2, 4), F.lower(part(3, 5))
     none = lambda t: F.lit(None).cast(t)
-    native = F.struct(
-        F.lit("email").alias("addr_type"), F.regexp_replace(F.regexp_extract(text, SIMPLE, 1), r"[ \t]+", " ").alias("display_name"), local.alias("mailbox"), host.alias("hostname"),
-        F.concat(local, F.lit("@"), host).alias("address"), none("string").alias("scheme"), none("int").alias("port"), none("string").alias("path"),
-    )
+
+    def address(found: Column) -> Column:
+        local, host = F.get(found, F.lit(2)), F.lower(F.get(found, F.lit(3)))
+        return F.struct(
+            F.lit("email").alias("addr_type"), F.regexp_replace(F.get(found, F.lit(1)), r"[ \t]+", " ").alias("display_name"), local.alias("mailbox"), host.alias("hostname"),
+            F.concat(local, F.lit("@"), host).alias("address"), none("string").alias("scheme"), none("int").alias("port"), none("string").alias("path"),
+        )
+
+    native = F.get(F.transform(F.array(F.split(marked, "\x01", -1)), address), F.lit(0))
     kernel = _parse_kernel(strict, addr_spec_only)(F.when(simple, None).otherwise(text))
     return F.when(simple, native).when(kernel["addr_type"].isNotNull(), kernel)
 
@@ -200,7 +204,7 @@ def url_hostname(u: Column) -> Column:
 
 
 def url_port(u: Column) -> Column:
-    return F.expr("try_cast(NULL as int)") if u is None else F.nullif(F.regexp_extract(u, r"^[^:]+://[^/?#]*:(\d+)(?:[/?#]|$)", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(u, r"^[^:]+://[^/?#]*:(\d+)(?:[/?#]|$)", 1), F.lit("")).cast("int")
 
 
 def url_scheme(u: Column) -> Column:

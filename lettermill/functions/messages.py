@@ -330,7 +330,17 @@ def build_message_container(message: Column) -> Column:
     return F.concat(F.lit("Content-Type: message/rfc822\r\nContent-Disposition: attachment\r\n\r\n"), message)
 
 
+#: Line ends at the end; the loop is possessive and begins where the run begins.
+_LAST_ENDS = r"(?<!\n)(?:\r?\n)++\z"
+
+
 def canonical_body(body: Column, form: str = "relaxed") -> Column:
+    """The bytes of a text body in a canonical form. `simple` and `nofws` are native; null gives null."""
+    if form == "simple":
+        return F.encode(F.concat(F.regexp_replace(body, _LAST_ENDS, ""), F.lit("\r\n")), "utf-8")
+    if form == "nofws":
+        return F.encode(F.concat(F.regexp_replace(F.regexp_replace(body, r"[ \t\x0b\x0c]+", ""), r"(?<![\r\n])[\r\n]++\z", ""), F.lit("\r\n")), "utf-8")
+
     @kernel_udf("binary")
     def kernel(bodies: pd.Series) -> pd.Series:
         return bodies.map(lambda b: _canonical_body(b.encode() if isinstance(b, str) else bytes(b), form), na_action="ignore")
@@ -340,7 +350,7 @@ def canonical_body(body: Column, form: str = "relaxed") -> Column:
 
 def body_hash(body: Column) -> Column:
     """Hash of the body in the simple canonical form, native."""
-    return F.base64(F.unhex(F.sha2(F.concat(F.regexp_replace(body, r"(?:\r?\n)+\z", ""), F.lit("\r\n")), 256)))
+    return F.base64(F.unhex(F.sha2(canonical_body(body, "simple"), 256)))
 
 
 def sign_dkim(message: Column, pem: bytes, selector: str, domain: str, now: int, **options) -> Column:

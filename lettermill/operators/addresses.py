@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import difflib
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lettermill.functions import addresses as A
+from lettermill.kernels.exchangers import connect_to_exchanger, find_exchanger, look_up_domain
 
 # Domains that a bare word stands for.
 EXACT_FIXES = {
@@ -38,6 +40,7 @@ EXACT_FIXES = {
 }
 #: Domains that slips are compared with where the caller names no table of common ones.
 COMMON_DOMAINS = sorted(set(EXACT_FIXES.values()))
+MOST_COMMON = 10_000
 
 
 def explode_addresses(df: DataFrame, text: str, out: str = "address", position: str = "pos") -> DataFrame:
@@ -75,21 +78,48 @@ def validate_addresses(
     return out.withColumn(reject, reason).select(*df.columns, "_address", reject)
 
 
-def suggest_domains(df: DataFrame, text: str, common: list[str] | None = None, cutoff: float = 0.77, out: str = "suggestion") -> DataFrame:
+def validate_lists(df: DataFrame, key: str, text: str, suffixes: DataFrame | None = None, exchangers: DataFrame | None = None) -> DataFrame:
+    """key, `valid` and `rejected` (arrays of addresses as text, in their order) of each delimited text.
+
+    A text that is no list is rejected whole; an address of a list is rejected for any of the reasons of `validate_addresses`.
+    Null and empty texts, and lists without any item, give two empty arrays; of rows with one key one counts. URLs have
+    no exchanger and are rejected by a table of these. Parsing cuts a list at its limit, so no key gathers more.
+    """
+    once = df.groupBy(key).agg(F.min(text).alias("_text")).withColumn("_list", A.parse_address_list(F.col("_text")))
+    item = F.explode(F.concat(
+        F.transform(F.coalesce("_list.parsed", F.array().cast(_parsed_type(once))), lambda a, i: F.struct(i.alias("pos"), a["address"].alias("item"), F.lit(True).alias("parsed"))),
+        F.transform(F.coalesce("_list.unparsed", F.array().cast("array<string>")), lambda u, i: F.struct((i + 1_000_000).alias("pos"), u.alias("item"), F.lit(False).alias("parsed"))),
+    ))
+    items = once.select(key, item.alias("_i")).select(key, "_i.*")
+    checked = validate_addresses(items, "item", suffixes, exchangers)
+    good = F.col("parsed") & F.col("reject_reason").isNull()
+    gather = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("pos", "item")))), lambda x: x["item"])
+    lists = checked.groupBy(key).agg(gather(good).alias("valid"), gather(~good).alias("rejected"))
+    none = F.array().cast("array<string>")
+    return once.select(key).join(lists, key, "left").select(key, F.coalesce("valid", none).alias("valid"), F.coalesce("rejected", none).alias("rejected"))
+
+
+def _parsed_type(df: DataFrame) -> str:
+    return df.select("_list.parsed").schema[0].dataType.simpleString()
+
+
+def suggest_domains(df: DataFrame, text: str, common: list[str] | DataFrame | None = None, cutoff: float = 0.77, out: str = "suggestion") -> DataFrame:
     """The rows of `df` with a better spelling of the address, null where none is needed.
 
     The local part is what stands before the first `@`, the domain what stands after the last. Each distinct domain is
-    looked at once: first in the table of exact fixes, then by the ratio of matching blocks with the common domains
-    (a bounded list). Of equal ratios the larger string holds.
+    looked at once: first in the table of exact fixes, then by the ratio of matching blocks with the common domains: a
+    list, or a table with the domains in its first column, of at most MOST_COMMON entries. Of equal ratios the larger
+    string holds. Null and empty texts, and texts without `@`, have no suggestion.
     """
-    words = common or COMMON_DOMAINS
+    words = COMMON_DOMAINS if common is None else common
+    if isinstance(words, DataFrame):
+        words = [r[0] for r in words.select(words.columns[0]).where(F.col(words.columns[0]).isNotNull()).distinct().limit(MOST_COMMON + 1).collect()]
+    if len(words) > MOST_COMMON:
+        raise ValueError("the list of common domains is too long to be sent to every executor")
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
-            for d in batch["_domain"]:
-                close = EXACT_FIXES.get(d) or next(iter(difflib.get_close_matches(d, words, 1, cutoff)), d)
-                found.append(close)
+            found = [EXACT_FIXES.get(d) or next(iter(difflib.get_close_matches(d, words, 1, cutoff)), d) for d in batch["_domain"]]
             yield pd.DataFrame({"_domain": batch["_domain"], "_better": found})
 
     pieces = F.split(F.col(text), "@", -1)
@@ -98,15 +128,37 @@ def suggest_domains(df: DataFrame, text: str, common: list[str] | None = None, c
     return keyed.join(fixes, "_domain", "left").withColumn(out, F.when(F.col("_better").isNotNull(), F.concat("_local", F.lit("@"), "_better"))).select(*df.columns, out)
 
 
-def enrich_exchangers(domains: DataFrame, known: DataFrame, look_up: Callable[[str], str | None]) -> DataFrame:
-    """`domain, mx_host` for all domains: those known, and the others by `look_up`, once for each distinct domain. Failures are kept as null and not counted as known."""
-    missing = domains.select(F.lower("domain").alias("domain")).distinct().join(known.select("domain"), "domain", "left_anti")
+#: Seconds that a known exchanger holds.
+KEPT_SECONDS = 604_800
+
+
+def lookup_exchangers(
+    domains: DataFrame, now: dt.datetime, known: DataFrame | None = None, look_up: Callable[[str], list[str]] = look_up_domain,
+    connect: Callable[[list[str]], str | None] = connect_to_exchanger, kept: int = KEPT_SECONDS,
+) -> DataFrame:
+    """`domain`, `mx_host`, `fetched_at` of each distinct domain in the first column of `domains`; `mx_host` is null where none was reached.
+
+    A domain that is in `known` (the same three columns) and was fetched less than `kept` seconds before `now` is not
+    looked up again; a known host `False` says that it has none. All others are looked up once each. Null and empty
+    domains give no row. Keep `reached(...)` of the result as the next `known`: failures are tried again next time.
+    """
+    wanted = domains.select(F.lower(domains.columns[0]).alias("domain")).where(F.col("domain") != "").distinct()
+    stamp = F.lit(now).cast("timestamp")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"domain": batch["domain"], "mx_host": [look_up(d) for d in batch["domain"]]})
+            yield pd.DataFrame({"domain": batch["domain"], "mx_host": [find_exchanger(d, look_up, connect) for d in batch["domain"]]})
+
+    if known is None:
+        return wanted.mapInPandas(run, "domain string, mx_host string").withColumn("fetched_at", stamp)
+    fresh = known.where(F.col("fetched_at") > stamp - F.make_dt_interval(secs=F.lit(kept))).groupBy(F.lower("domain").alias("domain")).agg(F.max(F.struct("fetched_at", "mx_host")).alias("k"))
+    there = wanted.join(fresh, "domain").select("domain", F.when(F.col("k.mx_host") != "False", F.col("k.mx_host")).alias("mx_host"), F.col("k.fetched_at").alias("fetched_at"))
+    return there.unionByName(wanted.join(fresh, "domain", "left_anti").mapInPandas(run, "domain string, mx_host string").withColumn("fetched_at", stamp))
+
 
-    return known.select("domain", "mx_host").unionByName(missing.mapInPandas(run, "domain string, mx_host string"))
+def reached(exchangers: DataFrame) -> DataFrame:
+    """What is worth keeping of `lookup_exchangers`: domains whose exchanger was reached."""
+    return exchangers.where(F.col("mx_host").isNotNull())
 
 
 def members(df: DataFrame, key: Column, other: DataFrame, other_key: Column, inside: bool = True) -> DataFrame:

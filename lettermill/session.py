@@ -44,12 +44,37 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def _folder(spark: SparkSession) -> str:
+    """The folder of this application's written tables."""
+    return f"{shared_dir(spark)}/lettermill-{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts lineage and survives the loss of any executor."""
+    """Write `df` to the shared folder and read it back: cuts lineage and survives the loss of any executor.
+
+    The table stays for those who read it; `forget` deletes one that is done with, `clean` all of the application.
+    """
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._lettermill_at = at
+    return out
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that `materialise` gave, when nothing reads it any more."""
+    _delete(df.sparkSession, df._lettermill_at)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all written tables of this application, when its results have been written."""
+    _delete(spark, _folder(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

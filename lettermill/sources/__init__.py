@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def read_eml(spark: SparkSession, path: str) -> DataFrame:
@@ -16,11 +17,20 @@ def read_eml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each message of mailboxes: path, pos, raw. A file is split at its `From ` lines as it is read, by Spark's own reader."""
+    """One row for each message of mailboxes: path, pos (from 0 in its file), raw. A file is split at its `From ` lines as it is read, by Spark's own reader.
+
+    Messages are numbered within the blocks in which a file is read, and each block goes on where the last one ended, so
+    that a mailbox of any size is numbered in many tasks. Empty files and messages give no row.
+    """
     lines = spark.read.option("lineSep", "\nFrom ").text(path, wholetext=False)
     parts = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
     raw = F.regexp_replace(F.regexp_replace("value", r"^(?:From )?[^\r\n]*\r?\n", ""), r"(?m)^>(>*From )", "$1")
-    return parts.select("path", "block", F.col("n").alias("pos"), raw.alias("raw")).where(F.length("raw") > 0)
+    messages = parts.select("path", "block", "n", raw.alias("raw")).where(F.length("raw") > 0)
+    sizes = messages.groupBy("path", "block").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select("path", "block", F.coalesce(before, F.lit(0)).alias("start"))
+    numbered = messages.withColumn("k", F.row_number().over(W.partitionBy("path", "block").orderBy("n")) - 1)
+    return numbered.join(starts, ["path", "block"]).select("path", (F.col("start") + F.col("k")).alias("pos"), "raw")
 
 
 def write_eml(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
@@ -35,7 +45,7 @@ def write_eml(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
             for k, body in zip(batch[key], batch[text], strict=True):
                 if body is None:
                     continue
-                name = os.path.join(path, re.sub(r"[^\w.-]", "_", str(k)) + ".eml")
+                name = os.path.join(path, quote(str(k), safe=" ") + ".eml")  # no two keys have one name
                 data = body.encode() if isinstance(body, str) else bytes(body)
                 # Written aside and moved, so that a task that runs twice leaves one whole file.
                 with open(f"{name}.{os.getpid()}", "wb") as f:
