@@ -1,29 +1,36 @@
 """Evaluation texts that stand in training texts, by a distributed positional inverted index.
 
 A passage counts if at least `least` words of an item stand in a document in their order and at most one word in
-`one_in` is changed, added or dropped. Three facts make the search exact without looking at every pair:
-
-* Where a passage stands, `least` words of the items' vocabulary lie within least * (1 + 1 / (one_in - 1)) words of
-  the document. Postings are kept for such dense regions and what surrounds them; no passage lies elsewhere.
-* `least` words with at most least / (one_in - 1) edits among them fall into runs, and the longest of these has at
-  least least / (least / (one_in - 1) + 1) words: with 16 words and one edit in five, four. So every passage holds an
-  exact phrase of four neighbouring words of the item; it is looked up from the rarest of the four.
-* Two ends of a passage that are parted by a long gap pass by themselves, so gaps can be bounded.
-
-The index is built where the documents lie: only postings of dense regions are written. The rarest term of a phrase is
-matched with postings, the lists of its other terms are intersected at their offsets, and the exact test for passages
-then runs on the postings of the candidates alone. Items
-are taken in blocks of bounded size; each block is one pass.
+`one_in` is changed, added or dropped. Let a passage have m words that stand and E edits; E is at most m / (one_in - 1).
+Then, without looking at every pair, the search is exact:
+
+* The m words fall into at most E + 1 runs, so at least m - 2 (E + 1) of them begin three neighbouring words of the
+  item that are neighbours in the document (`need` for the shortest passage, 6 of 16 words), and these begin within
+  m + E words. `_span` has the proof that `need` of them always lie within `span` words. Postings are kept where that
+  is so for words of any item, and around it as far as a passage reaches; no passage lies elsewhere.
+* The longest run has at least m / (E + 1) words, more than one_in - 2 of them: with one edit in five, four. So every
+  passage holds an exact phrase of four neighbouring words of the item; it is looked up from the rarest of the four.
+* A passage of 2 * least words or more can be cut at one of these into two, and if neither were a passage, both had too
+  many edits and so had the whole. So it is enough to find those of fewer words (`_reach`): with 16 words and one edit
+  in five they have at most 31 words, 7 edits and 38 words of the item, and lie on 8 neighbouring diagonals (place in the
+  document less place in the item).
+
+The index has one posting list for each term and document: the positions of the term. A phrase starts from the list of
+its rarest term; the lists of its other terms, adjusted by their offsets, are intersected with it one after the other.
+The exact test for passages then runs on the posting lists of the documents that are left, for the items left there.
+Items are taken in blocks of bounded size as they are read; each block is one pass over the documents.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,63 +46,100 @@ def words(text: str) -> list[str]:
     return WORD.findall(plain(text, quotes=True).lower().replace("’", "'"))
 
 
-def dense_regions(positions: np.ndarray, least: int, span: int, margin: int) -> np.ndarray:
-    """Which of the sorted positions lie within `margin` of a window of `least` positions that spans at most `span` words."""
+def _span(least: int, one_in: int) -> tuple[int, int]:
+    """(need, span): every passage has `need` grams of three words that begin within `span` words.
+
+    A passage of m words has t = ceil(m - 2 (m / (one_in - 1) + 1)) of them at least, within w = m one_in / (one_in - 1)
+    words. If any `need` neighbours of these took more than `span` words, all would take more than
+    span * ((t - 1) // (need - 1)) words; so a span of w over that number, for the m where it is largest, suffices.
+    """
+    edits = one_in - 1
+    need = max(1, least - 2 * (least // edits + 1))
+    if need == 1:
+        return 1, 1
+    span = 0
+    for m in range(least, 2 * least):
+        t = m - (2 * m) // edits - 2
+        span = max(span, m * one_in // edits // max(1, (t - 1) // (need - 1)))
+    return need, span
+
+
+def _reach(least: int, one_in: int) -> tuple[int, int]:
+    """(edits, words) that the shortest passages have at most: words of the item or of the document between their ends."""
+    most = 2 * least - 1
+    edits = most // (one_in - 1)
+    return edits, most + edits
+
+
+def gram_regions(positions: np.ndarray, starts: np.ndarray, need: int, span: int, margin: int) -> np.ndarray:
+    """Which of the sorted `positions` lie within `margin` of a window of `need` of the sorted `starts` that spans at most `span` words."""
     keep = np.zeros(len(positions), bool)
-    if len(positions) < least:
+    if len(starts) < need:
         return keep
-    first = np.flatnonzero(positions[least - 1 :] - positions[: len(positions) - least + 1] < span)
+    first = np.flatnonzero(starts[need - 1 :] - starts[: len(starts) - need + 1] <= span)
     if len(first):
         change = np.zeros(len(positions) + 1, np.int32)
-        np.add.at(change, np.searchsorted(positions, positions[first] - margin, "left"), 1)
-        np.add.at(change, np.searchsorted(positions, positions[first + least - 1] + margin, "right"), -1)
+        np.add.at(change, np.searchsorted(positions, starts[first] - margin, "left"), 1)
+        np.add.at(change, np.searchsorted(positions, starts[first + need - 1] + margin, "right"), -1)
         keep = np.cumsum(change[:-1]) > 0
     return keep
 
 
-def _windows(item_length: int, lines: dict[int, int], least: int, slack: int) -> bool:
-    """A necessary condition: on some `slack` + 1 neighbouring diagonals, all but `slack` of `least` neighbouring item words are hit."""
-    mask, need = (1 << least) - 1, least - slack
-    for line in lines:
+def _bands(bits: dict[int, int], least: int, one_in: int) -> list[set[int]]:
+    """Groups of neighbouring diagonals in which a passage can lie: where on some of the number that edits allow so many item words are hit as one has."""
+    edits, most = _reach(least, one_in)
+    needs = [(max(least, -(-length * (one_in - 1) // one_in)), (1 << length) - 1) for length in range(least, most + 1)]
+    groups: list[set[int]] = []
+    for line in sorted(bits):
         hits = 0
-        for d in range(line, line + slack + 1):
-            hits |= lines.get(d, 0)
-        if hits.bit_count() >= need:
-            low = (hits & -hits).bit_length() - 1
-            for s in range(max(0, low - slack), max(1, item_length - least + 1)):
-                if (hits >> s & mask).bit_count() >= need:
-                    return True
-    return False
-
-
-def holds_passage(where: dict[int, list[int]], length: int, terms: list[int], positions: list[int], least: int, one_in: int) -> bool:
+        for d in range(line, line + edits + 1):
+            hits |= bits.get(d, 0)
+        if hits.bit_count() < least:
+            continue
+        rest, low = hits, 0
+        while rest.bit_count() >= least:
+            step = (rest & -rest).bit_length() - 1
+            rest, low = rest >> step, low + step
+            if any((rest & mask).bit_count() >= need for need, mask in needs):
+                band = {d for d in range(line, line + edits + 1) if d in bits}
+                if groups and groups[-1] & band:
+                    groups[-1] |= band
+                else:
+                    groups.append(band)
+                break
+            rest, low = rest >> 1, low + 1
+    return groups
+
+
+def holds_passage(where: dict[int, list[int]], terms: list[int], positions: list[int], least: int, one_in: int) -> bool:
     """Whether at least `least` words of an item stand in order among the postings, with at most one in `one_in` edits.
 
-    `where` gives the offsets of each term in the item of `length` words.
+    `where` gives the offsets of each term in the item.
     """
-    pairs = [(p, i) for t, p in zip(terms, positions, strict=True) if t in where for i in where[t]]
-    if len(pairs) < least:
-        return False
+    lines: dict[int, list[tuple[int, int]]] = defaultdict(list)
     bits: dict[int, int] = defaultdict(int)
-    for p, i in pairs:
-        bits[p - i] |= 1 << i
-    if not _windows(length, dict(bits), least, least // (one_in - 1)):
-        return False
-    # On one diagonal: the common case, a passage with words changed but none added or dropped.
-    lines = defaultdict(list)
-    for p, i in pairs:
-        lines[p - i].append(i)
-    for line in lines.values():
-        if len(line) >= least:
-            hits = np.array(sorted(line))
-            value = hits + 1 - one_in * (hits + 1 - np.arange(1, len(hits) + 1))
-            begin = hits - one_in * (hits - np.arange(len(hits)))
-            best = np.minimum.accumulate(begin)
-            if (value[least - 1 :] >= best[: len(hits) - least + 1]).any():
-                return True
-    # Any chain: best[m] is the best sum of item words less one_in times edits over chains of m matches (the last slot: or more).
+    for t, p in zip(terms, positions, strict=True):
+        for i in where.get(t, ()):
+            lines[p - i].append((p, i))
+            bits[p - i] |= 1 << i
+    for band in _bands(bits, least, one_in):
+        # On one diagonal: the common case, a passage with words changed but none added or dropped.
+        for d in band:
+            if len(lines[d]) >= least:
+                hits = np.array([i for _, i in lines[d]])
+                value = hits + 1 - one_in * (hits + 1 - np.arange(1, len(hits) + 1))
+                best = np.minimum.accumulate(hits - one_in * (hits - np.arange(len(hits))))
+                if (value[least - 1 :] >= best[: len(hits) - least + 1]).any():
+                    return True
+        if _chain(sorted(x for d in band for x in lines[d]), least, one_in):
+            return True
+    return False
+
+
+def _chain(pairs: list[tuple[int, int]], least: int, one_in: int) -> bool:
+    """Whether some chain of `least` pairs or more has item words enough for its edits. best[m] is the best sum of item words
+    less one_in times edits over chains of m matches (the last slot: or more)."""
     gap = one_in + 3
-    pairs.sort()
     best = [[-(10**6)] * (least + 1) for _ in pairs]
     low = 0
     for k, (p, i) in enumerate(pairs):
@@ -119,35 +163,40 @@ def holds_passage(where: dict[int, list[int]], length: int, terms: list[int], po
     return False
 
 
-class _Grams:
-    """Three neighbouring words of items as numbers. A passage has at least `need` of them in order within `span` words of the document."""
+class Grams:
+    """Three neighbouring words of items as numbers: of all items, and of each."""
 
-    def __init__(self, items: list[list[int]], least: int, slack: int):
+    def __init__(self, items: list[list[int]], least: int, one_in: int):
         self.base = 1 + max((max(ws) for ws in items), default=0)
         self.of = [np.unique(self._number(np.array(ws, np.int64))) for ws in items]
-        self.need, self.span = least - 2 * (slack + 1), least + slack
+        self.all = np.unique(np.concatenate(self.of)) if self.of else np.zeros(0, np.int64)
+        self.need, self.span = _span(least, one_in)
 
     def _number(self, terms: np.ndarray) -> np.ndarray:
         return (terms[:-2] * self.base + terms[1:-1]) * self.base + terms[2:]
 
-    def likely(self, terms: np.ndarray, positions: np.ndarray, some: np.ndarray) -> list[int]:
-        """Those of the items `some` that meet the condition."""
+    def starts(self, terms: np.ndarray, positions: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        """Positions at which grams of `mine` begin, among terms at sorted positions."""
+        if len(terms) < 3 or not len(mine):
+            return np.zeros(0, np.int64)
         terms, positions = terms.astype(np.int64), positions.astype(np.int64)
         together = positions[2:] - positions[:-2] == 2
         grams, at = self._number(terms)[together], positions[:-2][together]
-        if len(grams) < self.need or self.need < 1:
-            return list(some) if self.need < 1 else []
-        out = []
+        place = np.minimum(np.searchsorted(mine, grams), len(mine) - 1)
+        return at[mine[place] == grams]
+
+    def likely(self, terms: np.ndarray, positions: np.ndarray, some: list[int], margin: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Those of the items `some` of which enough grams begin near each other, with the postings around these."""
         for n in some:
-            mine = self.of[n]
-            place = np.minimum(np.searchsorted(mine, grams), len(mine) - 1)
-            hits = at[mine[place] == grams]
-            if len(hits) >= self.need and (hits[self.need - 1 :] - hits[: len(hits) - self.need + 1] <= self.span).any():
-                out.append(n)
-        return out
+            if self.need < 2:
+                yield n, np.ones(len(terms), bool)
+                continue
+            near = gram_regions(positions, self.starts(terms, positions, self.of[n]), self.need, self.span, margin)
+            if near.any():
+                yield n, near
 
 
-def _blocks(items: list[tuple[int, list[str]]]) -> Iterator[list[tuple[int, list[str]]]]:
+def _blocks(items: Iterator[tuple[object, list[str]]]) -> Iterator[list[tuple[object, list[str]]]]:
     block, size = [], 0
     for item in items:
         block.append(item)
@@ -159,29 +208,39 @@ def _blocks(items: list[tuple[int, list[str]]]) -> Iterator[list[tuple[int, list
         yield block
 
 
-def positional_index(documents: DataFrame, key: str, text: str, vocabulary: dict[str, int], least: int, one_in: int, margin: int) -> DataFrame:
-    """Postings of the vocabulary in dense regions: one row for each document that has any, terms and positions in order."""
-    span = least + least // (one_in - 1)
-    schema = T.StructType(
-        [T.StructField("_key", documents.schema[key].dataType), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("positions", T.ArrayType(T.IntegerType()))]
-    )
+#: A text of a document: repeated rows are one text, different ones under one key are several.
+_DOCUMENT = ["_key", "_text"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for k, body in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
-                at, there = [], []
-                for i, w in enumerate(words(body)):
-                    if w in vocabulary:
-                        at.append(i)
-                        there.append(vocabulary[w])
-                positions = np.array(at, np.int32)
-                keep = dense_regions(positions, least, span, margin)
-                if keep.any():
-                    out.append((k, np.array(there, np.int32)[keep], positions[keep]))
-            yield pd.DataFrame(out, columns=["_key", "terms", "positions"])
 
-    return documents.select(key, text).where(F.col(text).isNotNull() & (F.col(text) != "")).mapInPandas(run, schema)
+def positional_index(documents: DataFrame, key: str, text: str, vocabulary: dict[str, int], grams: Grams, margin: int) -> DataFrame:
+    """Posting lists `_key`, `_text` (hash of the text), `term`, `positions` of the vocabulary, where passages can lie: one row for each term of a text."""
+    schema = T.StructType([T.StructField("_key", documents.schema[key].dataType), T.StructField("_text", T.LongType()), T.StructField("term", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = vocabulary.get
+        for batch in batches:
+            at, terms, offsets, flat = [], [], [0], []
+            for n, body in enumerate(batch.column(2).to_pylist()):
+                every = np.fromiter((find(w, -1) for w in words(body)), np.int32)
+                positions = np.flatnonzero(every >= 0)
+                there = every[positions]
+                if grams.need > 1:
+                    keep = gram_regions(positions, grams.starts(there, positions, grams.all), grams.need, grams.span, margin)
+                    there, positions = there[keep], positions[keep]
+                if not len(there):
+                    continue
+                order = np.argsort(there, kind="stable")
+                there, positions = there[order], positions[order]
+                cuts = np.flatnonzero(np.diff(there, prepend=-1))
+                at += [n] * len(cuts)
+                terms += there[cuts].tolist()
+                offsets += (offsets[-1] + np.append(cuts[1:], len(there))).tolist()
+                flat.append(positions)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 1)), pa.array(terms, pa.int32()), lists], names=schema.fieldNames())
+
+    texts = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull() & (F.col(text) != "")).select(key, F.xxhash64(text).alias("_text"), text)
+    return texts.mapInArrow(run, schema).dropDuplicates([*_DOCUMENT, "term"])
 
 
 def leaked_items(
@@ -189,72 +248,85 @@ def leaked_items(
 ) -> DataFrame:
     """`doc_key`, `item_key`: each document and item where a passage of the item stands in the document, once.
 
-    Null and empty texts hold nothing; items of fewer than `least` words cannot leak; rows without a key give no row.
-    The items are a stated test
-    set: they are read by the driver and go out in blocks of BLOCK_WORDS words. Other columns are dropped.
+    Null and empty texts hold nothing; items of fewer than `least` words cannot leak; rows without a key give no row. Repeated
+    rows count once, different texts under one key each by itself. The items are a stated test set: the driver reads them one after the other and sends them
+    out in blocks of BLOCK_WORDS words. Other columns are dropped.
     """
     spark = documents.sparkSession
     schema = T.StructType([documents.schema[doc_key], items.schema[item_key]])
-    rows = items.select(item_key, item_text).where(F.col(item_text).isNotNull()).dropDuplicates().toLocalIterator()
-    texts = sorted(((r[0], words(r[1])) for r in rows), key=lambda x: (x[0] is None, str(x[0]), x[1]))
-    found = [_block_leaks(documents, block, doc_key, doc_text, schema, least, one_in) for block in _blocks([x for x in texts if len(x[1]) >= least])]
+    rows = items.select(item_key, item_text).where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).distinct().orderBy(item_key, item_text).toLocalIterator()
+    long_enough = ((r[0], ws) for r in rows if len(ws := words(r[1])) >= least)
+    found = [_block_leaks(documents, block, doc_key, doc_text, schema, least, one_in) for block in _blocks(long_enough)]
     if not found:
         return spark.createDataFrame([], schema)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.dropDuplicates()
+    return reduce(DataFrame.unionByName, found).dropDuplicates()
+
+
+def phrase_matches(postings: DataFrame, seeds: DataFrame, run: int) -> DataFrame:
+    """`_key`, `item` where a phrase of `run` neighbouring words stands. `seeds`: term (its rarest), item, `at` (its place in
+    the phrase), `others` (terms and places of the rest, the rarest first).
+
+    The seeds of a block are bounded, so they go to the postings. Each further term is one join of its lists; the lists
+    are adjusted to the beginning of the phrase and intersected, and what is empty goes no further.
+    """
+
+    def moved(positions: str, by: Column) -> Column:
+        return F.transform(positions, lambda p: p - by)
+
+    lists = postings.select(*_DOCUMENT, F.col("term").alias("_term"), F.col("positions").alias("_positions"))
+    now = postings.join(F.broadcast(seeds), "term").select(*_DOCUMENT, "item", "others", moved("positions", F.col("at")).alias("begin"))
+    for k in range(run - 1):
+        other = F.col("others")[k]
+        joined = now.withColumn("_term", other["term"]).join(lists, [*_DOCUMENT, "_term"])
+        begin = F.array_intersect("begin", moved("_positions", other["at"]))
+        # Through a generator, so that the lists are intersected once and not again for the filter.
+        now = joined.select(*_DOCUMENT, "item", "others", F.explode(F.array(begin)).alias("begin")).where(F.size("begin") > 0)
+    return now.select(*_DOCUMENT, "item").distinct()
 
 
 def _block_leaks(documents: DataFrame, block: list, doc_key: str, doc_text: str, schema: T.StructType, least: int, one_in: int) -> DataFrame:
     spark = documents.sparkSession
     vocabulary: dict[str, int] = {}
     ids = [(k, [vocabulary.setdefault(w, len(vocabulary)) for w in ws]) for k, ws in block]
-    margin = max(len(ws) for _, ws in ids) * one_in // (one_in - 1) + one_in
-    postings = materialise(positional_index(documents, doc_key, doc_text, vocabulary, least, one_in, margin), "postings")
+    margin = _reach(least, one_in)[1]
+    grams = Grams([ws for _, ws in ids], least, one_in)
+    postings = materialise(positional_index(documents, doc_key, doc_text, vocabulary, grams, margin), "postings")
 
     # How many documents hold each term: at most one row for each word of the block.
-    spread = postings.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count()
-    df = dict(spread.toPandas().itertuples(index=False, name=None))
+    df = dict(postings.groupBy("term").agg(F.count("*").alias("n")).toPandas().itertuples(index=False, name=None))
     rows = set()
     run = -(-least // (least // (one_in - 1) + 1))
     for n, (_, ws) in enumerate(ids):
         for low in range(len(ws) - run + 1):
-            phrase = tuple(ws[low : low + run])
-            ahead = min(range(run), key=lambda i: (df.get(phrase[i], 0), i))
+            phrase = ws[low : low + run]
             if all(t in df for t in phrase):
-                rows.add((phrase[ahead], n, ahead, phrase))
-    seed_schema = "term int, item int, ahead int, phrase array<int>"
-    seed_rows = spark.createDataFrame(sorted(rows), seed_schema)
-
-    # The phrases of a block are bounded, so they go to the postings: a frequent term makes no hot partition.
-    index = postings.select("_key", "terms", "positions", F.posexplode("terms").alias("slot", "term"))
-    begin = F.col("slot") - F.col("ahead") + 1  # arrays count from 1
-    asked = index.join(F.broadcast(seed_rows), "term").where((begin >= 1) & (begin + run - 1 <= F.size("terms")))
-    whole = asked.where(
-        (F.slice("terms", begin, run) == F.col("phrase")) & (F.element_at("positions", begin + run - 1) - F.element_at("positions", begin) == run - 1)
-    )
-    candidates = whole.groupBy("_key").agg(F.collect_set("item").alias("items"))
+                first, *rest = sorted(range(run), key=lambda i: (df[phrase[i]], i))
+                rows.add((phrase[first], n, first, tuple((phrase[i], i) for i in rest)))
+    seeds = spark.createDataFrame(sorted(rows), "term int, item int, at int, others array<struct<term:int,at:int>>")
+    candidates = phrase_matches(postings, seeds, run).groupBy(*_DOCUMENT).agg(F.collect_set("item").alias("items"))
     offsets: list[dict[int, list[int]]] = []
     for _, ws in ids:
         at: dict[int, list[int]] = {}
         for i, t in enumerate(ws):
             at.setdefault(t, []).append(i)
         offsets.append(at)
-    lengths = [len(ws) for _, ws in ids]
     keys = [k for k, _ in ids]
-    grams = _Grams([ws for _, ws in ids], least, least // (one_in - 1))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for k, terms, positions, some in batch.itertuples(index=False, name=None):
-                ts, ps = terms.tolist(), positions.tolist()
-                for n in grams.likely(terms, positions, some):
-                    if holds_passage(offsets[n], lengths[n], ts, ps, least, one_in):
+            for k, some, lists in batch.itertuples(index=False, name=None):
+                positions = np.concatenate([x["positions"] for x in lists])
+                terms = np.repeat([x["term"] for x in lists], [len(x["positions"]) for x in lists])
+                order = np.argsort(positions, kind="stable")
+                terms, positions = terms[order], positions[order]
+                for n, near in grams.likely(terms, positions, some, margin):
+                    if holds_passage(offsets[n], terms[near].tolist(), positions[near].tolist(), least, one_in):
                         out.append((k, keys[n]))
             yield pd.DataFrame(out, columns=schema.fieldNames())
 
-    # Few bytes, much work for each: the number of tasks follows the cluster, not the bytes.
+    # The lists of a document come together again where there are candidates in it. Few bytes, much work for each: the
+    # number of tasks follows the cluster, not the bytes.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return postings.join(candidates, "_key").select("_key", "terms", "positions", "items").repartition(tasks).mapInPandas(verify, schema)
+    lists = postings.join(candidates.select(*_DOCUMENT), _DOCUMENT, "left_semi").groupBy(*_DOCUMENT).agg(F.collect_list(F.struct("term", "positions")).alias("lists"))
+    return candidates.join(lists, _DOCUMENT).select("_key", "items", "lists").repartition(tasks).mapInPandas(verify, schema)
