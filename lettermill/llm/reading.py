@@ -64,11 +64,11 @@ def _labelled(documents: DataFrame, labels: DataFrame, sample: int) -> DataFrame
     return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "band")
 
 
-def train_levels(documents: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: int = 200_000, smoothing: float = 0.5) -> tuple[dict[str, int], np.ndarray]:
+def train_levels(documents: DataFrame, labels: DataFrame, sample: int = 20_000, smoothing: float = 0.5) -> tuple[dict[str, int], np.ndarray]:
     """Word to row, and the log-probabilities by band of each row; the last row is that of unknown words.
 
-    Counts are made where the documents lie and added up by Spark. At most `vocabulary` words reach the driver, the
-    most frequent ones of the sample.
+    Counts are made where the documents lie and added up by Spark. Every word of the labelled documents counts; their
+    number, and with it the words that reach the driver, is bounded by `sample`.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,7 +81,7 @@ def train_levels(documents: DataFrame, labels: DataFrame, sample: int = 20_000,
 
     counted = _labelled(documents, labels, sample).mapInPandas(run, "word string, band int, n bigint")
     by_word = counted.groupBy("word").agg(*(F.sum(F.when(F.col("band") == b, F.col("n")).otherwise(0)).alias(f"n{b}") for b in (1, 2, 3, 4)))
-    rows = by_word.orderBy(F.desc(F.col("n1") + F.col("n2") + F.col("n3") + F.col("n4")), "word").limit(vocabulary).toPandas()
+    rows = by_word.toPandas().sort_values("word", ignore_index=True)
     if rows.empty:
         return {}, np.zeros((1, 4))
     n = rows[["n1", "n2", "n3", "n4"]].to_numpy(float)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 
 #: Characters that nothing is seen of: soft hyphen, joiners, marks of direction, byte order mark and the like.
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯︀-️﻿]")
@@ -24,6 +25,24 @@ def _angle(hit: re.Match) -> str:
     return "\n" if hit.group(1) else ""
 
 
+def _unnested(text: str, keep: Callable[[str], str]) -> str:
+    """Templates of any depth in one pass, the innermost first; what is not closed stays."""
+    open_: list[list[str]] = [[]]
+    last = 0
+    for m in re.finditer(r"\{\{|\}\}", text):
+        open_[-1].append(text[last : m.start()])
+        last = m.end()
+        if m.group() == "{{":
+            open_.append([])
+        elif len(open_) > 1:
+            inner = "".join(open_.pop())
+            open_[-1].append(keep(inner))
+        else:
+            open_[-1].append(m.group())
+    open_[-1].append(text[last:])
+    return "{{".join("".join(x) for x in open_)
+
+
 def plain(text: str, quotes: bool = False, headings: bool = True) -> str:
     """`text` without markup, references, comments, tables and templates.
 
@@ -42,11 +61,13 @@ def plain(text: str, quotes: bool = False, headings: bool = True) -> str:
             text = _TABLE.sub("\n", text)
         if "{{{" in text:
             text = _PARAMETER.sub("", text)
-        keep = (lambda m: " " + m.group(1).partition("|")[2] + " " if len(m.group(1).split()) > 6 else "") if quotes else (lambda m: "")
+        keep = (lambda inner: " " + inner.partition("|")[2] + " " if len(inner.split()) > 6 else "") if quotes else (lambda inner: "")
         for _ in range(12):
-            text, n = _TEMPLATE.subn(keep, text)
+            text, n = _TEMPLATE.subn(lambda m: keep(m.group(1)), text)
             if not n:
                 break
+        else:
+            text = _unnested(text, keep)
     if "[" in text:
         if "[[" in text:
             text = _META_LINK.sub("", text)
