@@ -24,8 +24,8 @@ from lettermill.llm.reading import ENGLISH, FOREIGN
 from lettermill.session import materialise
 
 TYPES = ("EMAIL", "ID", "PHONE", "STREET", "NAME")
-#: Bounds of what the driver is given: name words, and distinct feature rows for the classifier.
-MOST_NAME_WORDS, MOST_ROWS = 200_000, 50_000
+#: Name words that go to every executor, the most frequent ones; the others come to the bodies by a join.
+MOST_NAME_WORDS = 200_000
 BUCKETS = 256
 #: White space that may be a line end with the marks of a quote.
 _W = r"(?:[ \t ]|\r?\n(?:[^\W\d_]{0,3}[>|][ \t]?)*)"
@@ -41,13 +41,13 @@ PHONE = re.compile(
     rf"(?<![\w/.,:@#-])(?:(?:\+|00)\d{{1,3}}(?:{_SEP}?\(\d{{1,5}}\)|{_SEP}?\d{{2,9}})(?:{_SEP}?\d{{2,7}}){{1,5}}|\(\d{{2,5}}\){_SEP}?\d{{3,4}}(?:{_SEP}\d{{2,4}}){{1,2}}|0\d{{2,5}}{_SEP}\d{{3,6}}(?:{_SEP}\d{{2,4}}){{0,2}}|\d{{3}}{_SEP}\d{{3}}{_SEP}\d{{4}}|\d{{3}}-\d{{4}}|\d{{3,4}}{_SEP}\d{{2,4}}{_SEP}\d{{2,4}}){_EXT}(?![\w/-]|[.,]\d)",
     re.I,
 )
-_PHONE_STRICT = re.compile(rf"^(?:(?:\+|00)[1-9].*|\(\d{{3}}\){_SEP}?\d{{3}}{_SEP}\d{{4}}|0\d{{2,4}}{_SEP}\d{{4}}{_SEP}\d{{4}}|0\d{{4}}{_SEP}\d{{6}}|\d{{3}}([.-])\d{{3}}\1\d{{4}}|555-\d{{4}}){_EXT}$", re.I)
+_PHONE_STRICT = re.compile(rf"^(?:(?:\+|00)[1-9].*|\(\d{{3}}\){_SEP}?\d{{3}}{_SEP}\d{{4}}|0\d{{2,4}}{_SEP}\d{{4}}{_SEP}\d{{4}}|0\d{{4}}{_SEP}\d{{6}}|\d{{3}}([.-])\d{{3}}\1\d{{4}}|[2-9]\d{{2}}-\d{{4}}){_EXT}$", re.I)
 ID = re.compile(
     rf"(?<![\w/.,:@#+-])(?:[A-Z]{{2}}{_W}?\d{{2}}{_W}?\d{{2}}{_W}?\d{{2}}{_W}?[A-D]|[A-Z]{{1,2}}\d{{6,8}}[A-Z]?|\d{{8}}[A-Z]|\d{{3}}(?:-|{_W})\d{{2}}(?:-|{_W})\d{{4}}|\d{{6}}-\d{{4,5}}|\d{{2,3}}/\d{{3}}/\d{{4,5}}|\d{{2,4}}-\d{{2,4}}-\d{{2,4}}|\d{{9,11}})(?![\w/-]|[.,]\d)"
 )
 _UP = "A-ZÀ-ÖØ-ÞĀ-ŽА-Я"
 _CAP = rf"[{_UP}][\w'’-]*"
-_KIND = r"Ferry Street|Street|Road|Lane|Avenue|Way|Close|Drive|Court|Walk|Bend|Place|Square|Terrace|Boulevard|Crescent|Row|Grove|Gardens|Mews|Alley|Quay|Parade|Rise|Hill|Green|Circle|Trail|Parkway"
+_KIND = r"Street|Road|Lane|Avenue|Way|Close|Drive|Court|Walk|Bend|Place|Square|Terrace|Boulevard|Crescent|Row|Grove|Gardens|Mews|Alley|Quay|Parade|Rise|Hill|Green|Circle|Trail|Parkway"
 _KIND += "|" + _KIND.upper() + r"|St\.|Rd\.?|Ave\.?|Blvd\.?|Ln\."
 _UNIT = rf"(?:Flat|Apt\.?|Apartment|Unit|Suite|Room|No\.|FLAT|UNIT|APT\.?|SUITE){_W}?\d+[A-Za-z]?"
 STREET = re.compile(
@@ -104,9 +104,14 @@ class Names:
         self.by_length: dict[int, list[str]] = {}
         for w in given | family:
             self.by_length.setdefault(len(w), []).append(w)
+        self.extra: dict[str, int] = {}  # roles of words of the body at hand that are not among those that every executor has
         self.rare = Names(rare_given, rare_family, words_too=_NO_NAME | {"não"}) if rare_given or rare_family else None
 
     def role(self, token: str) -> int:
+        """The role of a word by the gazetteer: by what every executor has of it, or by what came with the body."""
+        return self._role(token) or (self.extra.get(token.lower().replace("’", "'"), 0) if self.extra else 0)
+
+    def _role(self, token: str) -> int:
         """1 given, 2 family, 3 either, 0 neither, and WEAK if only rare words say so; garbled letters are read in every way that tables allow."""
         if (known := self.memo.get(token)) is not None:
             return known
@@ -289,7 +294,7 @@ _RUE = re.compile(rf"(?i:rue|avenue|boulevard|place|chemin|allée|quai|route|cou
 _LINE_START = re.compile(r"(?:^|\n)[>|\s*]*$")
 _DAY_BEFORE, _DAY_AFTER = re.compile(r"\d\.?\s*$"), re.compile(r"^\.?\s*\d")
 _SENTENCE_START, _SMALL_NEXT = re.compile(r"(?:[.!?]\s+|^|\n[>|\s]*)$"), re.compile(r"^\s+[a-z]")
-_LEFT, _RIGHT = re.compile(r"(?:[\w][\w.+'-]*)\Z"), re.compile(_HOST)
+_RIGHT = re.compile(_HOST)
 _SPELT = re.compile(rf"[\[({{<]{_W}?(?:at|@){_W}?[\])}}>]|\s@|@\s|\sat\s(?=\S+\sdot\s)", re.I)
 
 
@@ -311,13 +316,23 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
     yield from _plain_emails(text, done, len(text))
 
 
+def _left(text: str, done: int, at: int) -> int:
+    """Where the local part that ends at `at` begins, of any length; it begins with a letter or digit."""
+    low = at
+    while low > done and (text[low - 1].isalnum() or text[low - 1] in "_.+'-"):
+        low -= 1
+    while low < at and not (text[low].isalnum() or text[low] == "_"):
+        low += 1
+    return low
+
+
 def _plain_emails(text: str, done: int, end: int) -> Iterator[tuple[int, int]]:
     at = text.find("@", done, end)
     while at >= 0:
-        left = _LEFT.search(text, max(done, at - 80), at)
-        right = _RIGHT.match(text, at + 1, end) if left else None
-        if right and text[left.start() - 1 : left.start()] not in ("/", "@"):
-            yield left.start(), right.end()
+        left = _left(text, done, at)
+        right = _RIGHT.match(text, at + 1, end) if left < at else None
+        if right and text[left - 1 : left] not in ("/", "@"):
+            yield left, right.end()
             done = right.end()
         at = text.find("@", max(at + 1, done), end)
 
@@ -536,19 +551,33 @@ def choose(spans: list[Span], weights: list[float]) -> list[tuple[str, int, int]
     return [(t, s, e) for s, e, t in taken]
 
 
-def name_words(accounts: DataFrame, addresses: DataFrame, least: int = 3) -> Names:
-    """Gazetteer of name words from fields that hold names; those of fewer than `least` fields are rare. The MOST_NAME_WORDS most frequent."""
+def name_words(accounts: DataFrame, addresses: DataFrame, least: int = 3, most: int = MOST_NAME_WORDS) -> tuple[Names, DataFrame | None]:
+    """Gazetteer of name words from fields that hold names; those of fewer than `least` fields are rare. The `most` most
+    frequent ones, and a table `w`, `r` (role) of the others, if there are any."""
     fields = accounts.select(F.col("owner_name").alias("n")).unionByName(addresses.select(F.col("display_name").alias("n"))).where(F.col("n").isNotNull())
     plain = fields.select(F.trim(F.regexp_replace("n", r"\s*(?:[|(–].*)?$", "")).alias("n"))
     turned = plain.select(F.when(F.col("n").contains(","), F.regexp_replace("n", r"^([^,]+),\s*(.+)$", "$2 $1")).otherwise(F.col("n")).alias("n"))
     parts = turned.where(F.col("n").rlike(r"^\p{L}[\p{L}'’\-]+(?: \p{L}\.)? \p{L}[\p{L}'’\-]+$")).select(F.lower(F.element_at(F.split("n", " "), 1)).alias("g"), F.lower(F.element_at(F.split("n", " "), -1)).alias("f"))
     words = parts.select(F.explode(F.array(F.struct(F.lit("g").alias("role"), F.col("g").alias("w")), F.struct(F.lit("f").alias("role"), F.col("f").alias("w")))).alias("x")).groupBy("x.role", "x.w").count()
-    rows = words.orderBy(F.desc("count"), "w").limit(MOST_NAME_WORDS).collect()
+    rows = words.orderBy(F.desc("count"), "w", "role").limit(most).collect()
     words_too = ENGLISH | FOREIGN | {"não", "responda", "responder", "noreply", "reply", "répondre", "antworten"}
     usual, rare = (
         [frozenset(r["w"] for r in rows if r["role"] == k and (r["count"] >= least) == many and (r["w"] not in words_too or r["w"] in _WORDS_TOO)) for k in "gf"] for many in (True, False)
     )
-    return Names(*usual, *rare)
+    names = Names(*usual, *rare)
+    if len(rows) < most:
+        return names, None
+    n, w, role = rows[-1]["count"], rows[-1]["w"], rows[-1]["role"]
+    later = (F.col("count") < n) | ((F.col("count") == n) & ((F.col("w") > w) | ((F.col("w") == w) & (F.col("role") > role))))
+    left = words.where(later & (~F.col("w").isin(*words_too) | F.col("w").isin(*_WORDS_TOO))).withColumn("b", F.when(F.col("role") == "g", 1).otherwise(2))
+    return names, left.groupBy("w").agg((F.sum("b") + F.when(F.max("count") < least, WEAK).otherwise(0)).cast("int").alias("r"))
+
+
+def _with_names(bodies: DataFrame, more: DataFrame) -> DataFrame:
+    """The bodies with `more`: the words of a table of names that they have, with their roles. Only distinct capitalised words are joined."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all("body", F.lit(r"([\p{Lu}\x{80}-\x{10FFFF}][\p{L}\p{M}'’\-]*)"), F.lit(1)), lambda x: F.replace(F.lower(x), F.lit("’"), F.lit("'"))))
+    had = bodies.select("msg_id", F.explode(words).alias("w")).join(more, "w").groupBy("msg_id").agg(F.collect_set(F.struct("w", "r")).alias("more"))
+    return bodies.join(had, "msg_id", "left")
 
 
 def find_personal(messages: DataFrame, accounts: DataFrame, addresses: DataFrame, sample: int = 15_000) -> DataFrame:
@@ -557,17 +586,20 @@ def find_personal(messages: DataFrame, accounts: DataFrame, addresses: DataFrame
     Null and empty bodies give no row; repeated messages count once. Every body is read once for its proposals, which are
     written to the shared folder. Patterns of votes and towns are counted over all of them, and the gazetteer counts all
     name fields; the classifier alone is fitted on about `sample` messages, chosen by a hash of their id,
-    and decides for every message. The driver is given the vote patterns, MOST_ROWS feature rows,
-    MOST_NAME_WORDS names and the towns of at least three streets.
+    and decides for every message. The driver is given the vote patterns, the distinct features of the sample,
+    MOST_NAME_WORDS names and the towns of at least three streets; other names are joined to the bodies that have them
+    (and then found as they are written, not garbled). Different bodies under one id each give their spans.
     """
-    names = name_words(accounts, addresses)
+    names, more = name_words(accounts, addresses)
     bodies = messages.where(F.col("body").isNotNull() & (F.col("body") != "")).select("msg_id", "body")
+    bodies = bodies.withColumn("more", F.lit(None).cast("array<struct<w:string,r:int>>")) if more is None else _with_names(bodies, more)
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, columns = [], [[] for _ in range(9)]
             offsets = [0]
-            for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, body, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                names.extra = {x["w"]: x["r"] for x in own} if own else {}
                 found = proposals(body, names)
                 for t, s, e, votes, *rest in found:
                     for column, value in zip(columns, (t, s, e, _pattern(t, votes), *rest), strict=True):
@@ -585,7 +617,7 @@ def find_personal(messages: DataFrame, accounts: DataFrame, addresses: DataFrame
     share = max(1, proposed.count() // sample)
     some = once.where(F.pmod(F.xxhash64("msg_id"), F.lit(share)) == 0)
     counted = some.groupBy("t", "p", F.col("shape").alias("s"), F.col("word").alias("w")).agg(F.count("*").alias("n"))
-    rows = [tuple(r) for r in counted.orderBy(F.desc("n"), "t", "p", "s", "w").limit(MOST_ROWS).toLocalIterator()]
+    rows = [tuple(r) for r in counted.orderBy(F.desc("n"), "t", "p", "s", "w").toLocalIterator()]
     weights = train_classifier(rows, em_probabilities(patterns))
 
     plain = weights.tolist()
@@ -626,14 +658,23 @@ def _towns(pairs: DataFrame, least: int = 3) -> frozenset[str]:
     return frozenset({f"{a} {b}" for a, b in two} | {r["a"] for r in first.select("a").collect() if r["a"] not in begun})
 
 
+def one_body(messages: DataFrame) -> DataFrame:
+    """`msg_id`, `body`: one body for each message id, the least of those that are not null; messages without any have a null one."""
+    return messages.groupBy("msg_id").agg(F.min("body").alias("body"))
+
+
 def mask_personal(messages: DataFrame, spans: DataFrame) -> DataFrame:
-    """`msg_id` and `masked`: each body with its spans replaced by `[TYPE]`, the rest unchanged."""
+    """`msg_id` and `masked`: the body of each message with its spans replaced by `[TYPE]`, the rest unchanged.
+
+    Of different bodies under one id the least counts (`one_body`); `spans` must be those of it, as `find_personal` gives
+    for `one_body(messages)`. Messages whose body is null give no row.
+    """
     found = spans.groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "pii_type"))).alias("spans"))
-    once = messages.where(F.col("body").isNotNull()).groupBy("msg_id").agg(F.min("body").alias("body"))
+    once = one_body(messages).where(F.col("body").isNotNull())
     none = F.array().cast("array<struct<start_pos:int,end_pos:int,pii_type:string>>")
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
+    start = F.struct(F.array().cast("array<string>").alias("pieces"), F.lit(0).alias("at"))
     step = lambda acc, x: F.struct(
-        F.concat(acc["text"], F.substr(F.col("body"), acc["at"] + 1, x["start_pos"] - acc["at"]), F.lit("["), x["pii_type"], F.lit("]")).alias("text"), x["end_pos"].alias("at")
+        F.concat(acc["pieces"], F.array(F.substr(F.col("body"), acc["at"] + 1, x["start_pos"] - acc["at"]), F.concat(F.lit("["), x["pii_type"], F.lit("]")))).alias("pieces"), x["end_pos"].alias("at")
     )
-    masked = F.aggregate(F.coalesce("spans", none), start, step, lambda acc: F.concat(acc["text"], F.substr(F.col("body"), acc["at"] + 1, F.length("body"))))
-    return once.join(found, "msg_id", "left").select("msg_id", masked.alias("masked"))
+    whole = lambda acc: F.concat(F.array_join(acc["pieces"], ""), F.substr(F.col("body"), acc["at"] + 1, F.length("body")))
+    return once.join(found, "msg_id", "left").select("msg_id", F.aggregate(F.coalesce("spans", none), start, step, whole).alias("masked"))

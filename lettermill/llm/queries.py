@@ -8,7 +8,7 @@ from lettermill.llm.canonical import canonical_hosts
 from lettermill.llm.encoding import garbled_records
 from lettermill.llm.leakage import leaked_items
 from lettermill.llm.new_text import new_text, old_lines
-from lettermill.llm.personal import find_personal, mask_personal
+from lettermill.llm.personal import find_personal, mask_personal, one_body
 from lettermill.llm.reading import reading_levels
 from lettermill.llm.tokenizer import encode_corpus
 from lettermill.session import spread, table
@@ -31,7 +31,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each mail with its personal data replaced by placeholders."""
-    return mask_personal(table(spark, sf_dir, "messages"), p3_found(spark, sf_dir))
+    messages = one_body(table(spark, sf_dir, "messages").select("msg_id", "body"))
+    return mask_personal(messages, find_personal(messages, table(spark, sf_dir, "accounts"), table(spark, sf_dir, "addresses")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
