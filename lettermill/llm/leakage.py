@@ -15,10 +15,10 @@ Then, without looking at every pair, the search is exact:
   in five they have at most 31 words, 7 edits and 38 words of the item, and lie on 8 neighbouring diagonals (place in the
   document less place in the item).
 
-The index has one posting list for each term and document: the positions of the term. A phrase starts from the list of
-its rarest term; the lists of its other terms, adjusted by their offsets, are intersected with it one after the other.
-The exact test for passages then runs on the posting lists of the documents that are left, for the items left there.
-Items are taken in blocks of bounded size as they are read; each block is one pass over the documents.
+The index has one posting list for each term and document: the positions of the term. The lists are written once and
+come together by document; a phrase starts from the list of its rarest term, and the lists of its other terms, adjusted
+by their offsets, are intersected with it one after the other, the rarest first. The exact test for passages then runs
+on the lists around what is left, for the items left there. Items are taken in blocks of bounded size as they are read; each block is one pass over the documents.
 """
 
 from __future__ import annotations
@@ -26,13 +26,14 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lettermill.llm.wikitext import WORD, plain
 from lettermill.session import materialise
@@ -221,7 +222,7 @@ def positional_index(documents: DataFrame, key: str, text: str, vocabulary: dict
         for batch in batches:
             at, terms, offsets, flat = [], [], [0], []
             for n, body in enumerate(batch.column(2).to_pylist()):
-                every = np.fromiter((find(w, -1) for w in words(body)), np.int32)
+                every = np.array(list(map(find, words(body), repeat(-1))), np.int32)
                 positions = np.flatnonzero(every >= 0)
                 there = every[positions]
                 if grams.need > 1:
@@ -262,71 +263,104 @@ def leaked_items(
     return reduce(DataFrame.unionByName, found).dropDuplicates()
 
 
-def phrase_matches(postings: DataFrame, seeds: DataFrame, run: int) -> DataFrame:
-    """`_key`, `item` where a phrase of `run` neighbouring words stands. `seeds`: term (its rarest), item, `at` (its place in
-    the phrase), `others` (terms and places of the rest, the rarest first).
+Phrase = tuple[int, int, list[tuple[int, int]]]
 
-    The seeds of a block are bounded, so they go to the postings. Each further term is one join of its lists; the lists
-    are adjusted to the beginning of the phrase and intersected, and what is empty goes no further.
-    """
 
-    def moved(positions: str, by: Column) -> Column:
-        return F.transform(positions, lambda p: p - by)
+def phrases_from(ids: list[list[int]], df: dict[int, int], run: int) -> dict[int, list[Phrase]]:
+    """For each term the phrases of `run` neighbouring words of which it is the rarest: item, place of the term, and the
+    other terms with their places less that, the rarest first. A phrase with a term that no document has is left out."""
+    seeds: dict[int, list[Phrase]] = defaultdict(list)
+    for n, ws in enumerate(ids):
+        for phrase in sorted({tuple(ws[low : low + run]) for low in range(len(ws) - run + 1)}):
+            if all(t in df for t in phrase):
+                first, *rest = sorted(range(run), key=lambda i: (df[phrase[i]], i))
+                seeds[phrase[first]].append((n, first, [(phrase[i], i - first) for i in rest]))
+    return dict(seeds)
+
 
-    lists = postings.select(*_DOCUMENT, F.col("term").alias("_term"), F.col("positions").alias("_positions"))
-    now = postings.join(F.broadcast(seeds), "term").select(*_DOCUMENT, "item", "others", moved("positions", F.col("at")).alias("begin"))
-    for k in range(run - 1):
-        other = F.col("others")[k]
-        joined = now.withColumn("_term", other["term"]).join(lists, [*_DOCUMENT, "_term"])
-        begin = F.array_intersect("begin", moved("_positions", other["at"]))
-        # Through a generator, so that the lists are intersected once and not again for the filter.
-        now = joined.select(*_DOCUMENT, "item", "others", F.explode(F.array(begin)).alias("begin")).where(F.size("begin") > 0)
-    return now.select(*_DOCUMENT, "item").distinct()
+def phrase_items(lists: dict[int, list[int]], seeds: dict[int, list[Phrase]]) -> set[int]:
+    """Items of which a phrase stands in the document of these posting lists."""
+    found: set[int] = set()
+    sets: dict[int, set[int]] = {}
+    for term, begin in lists.items():
+        for n, _, others in seeds.get(term, ()):
+            if n in found or others[0][0] not in lists:
+                continue
+            now = begin
+            for other, by in others:
+                if other not in lists:
+                    now = ()
+                    break
+                if other not in sets:
+                    sets[other] = set(lists[other])
+                there = sets[other]
+                now = [p for p in now if p + by in there]
+                if not now:
+                    break
+            if now:
+                found.add(n)
+    return found
 
 
 def _block_leaks(documents: DataFrame, block: list, doc_key: str, doc_text: str, schema: T.StructType, least: int, one_in: int) -> DataFrame:
     spark = documents.sparkSession
     vocabulary: dict[str, int] = {}
-    ids = [(k, [vocabulary.setdefault(w, len(vocabulary)) for w in ws]) for k, ws in block]
+    keys = [k for k, _ in block]
+    ids = [[vocabulary.setdefault(w, len(vocabulary)) for w in ws] for _, ws in block]
     margin = _reach(least, one_in)[1]
-    grams = Grams([ws for _, ws in ids], least, one_in)
+    grams = Grams(ids, least, one_in)
     postings = materialise(positional_index(documents, doc_key, doc_text, vocabulary, grams, margin), "postings")
 
     # How many documents hold each term: at most one row for each word of the block.
     df = dict(postings.groupBy("term").agg(F.count("*").alias("n")).toPandas().itertuples(index=False, name=None))
-    rows = set()
     run = -(-least // (least // (one_in - 1) + 1))
-    for n, (_, ws) in enumerate(ids):
-        for low in range(len(ws) - run + 1):
-            phrase = ws[low : low + run]
-            if all(t in df for t in phrase):
-                first, *rest = sorted(range(run), key=lambda i: (df[phrase[i]], i))
-                rows.add((phrase[first], n, first, tuple((phrase[i], i) for i in rest)))
-    seeds = spark.createDataFrame(sorted(rows), "term int, item int, at int, others array<struct<term:int,at:int>>")
-    candidates = phrase_matches(postings, seeds, run).groupBy(*_DOCUMENT).agg(F.collect_set("item").alias("items"))
+    seeds = phrases_from(ids, df, run)
     offsets: list[dict[int, list[int]]] = []
-    for _, ws in ids:
+    for ws in ids:
         at: dict[int, list[int]] = {}
         for i, t in enumerate(ws):
             at.setdefault(t, []).append(i)
         offsets.append(at)
-    keys = [k for k, _ in ids]
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def held(lists: dict[int, list[int]]) -> Iterator[int]:
+        some = sorted(phrase_items(lists, seeds))
+        if not some:
+            return
+        terms = np.repeat(list(lists), [len(x) for x in lists.values()])
+        positions = np.concatenate([np.asarray(x) for x in lists.values()])
+        order = np.argsort(positions, kind="stable")
+        terms, positions = terms[order], positions[order]
+        for n, near in grams.likely(terms, positions, some, margin):
+            if holds_passage(offsets[n], terms[near].tolist(), positions[near].tolist(), least, one_in):
+                yield n
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lists = None, {}
+        docs: list[object] = []
+        items: list[object] = []
+
+        def finish() -> None:
+            for n in held(lists):
+                docs.append(now[0])
+                items.append(keys[n])
+
+        def taken() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(docs, kinds[0]), pa.array(items, kinds[1])], names=schema.fieldNames())
+            docs.clear()
+            items.clear()
+            return out
+
         for batch in batches:
-            out = []
-            for k, some, lists in batch.itertuples(index=False, name=None):
-                positions = np.concatenate([x["positions"] for x in lists])
-                terms = np.repeat([x["term"] for x in lists], [len(x["positions"]) for x in lists])
-                order = np.argsort(positions, kind="stable")
-                terms, positions = terms[order], positions[order]
-                for n, near in grams.likely(terms, positions, some, margin):
-                    if holds_passage(offsets[n], terms[near].tolist(), positions[near].tolist(), least, one_in):
-                        out.append((k, keys[n]))
-            yield pd.DataFrame(out, columns=schema.fieldNames())
-
-    # The lists of a document come together again where there are candidates in it. Few bytes, much work for each: the
-    # number of tasks follows the cluster, not the bytes.
+            for key, text, term, positions in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, text) != now:
+                    finish()
+                    now, lists = (key, text), {}
+                lists[term] = positions
+            yield taken()
+        finish()
+        yield taken()
+
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+    # Few bytes, much work for each: the number of tasks follows the cluster, not the bytes.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = postings.join(candidates.select(*_DOCUMENT), _DOCUMENT, "left_semi").groupBy(*_DOCUMENT).agg(F.collect_list(F.struct("term", "positions")).alias("lists"))
-    return candidates.join(lists, _DOCUMENT).select("_key", "items", "lists").repartition(tasks).mapInPandas(verify, schema)
+    return postings.repartition(tasks, *_DOCUMENT).sortWithinPartitions(*_DOCUMENT).mapInArrow(verify, schema)
