@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lettermill.functions._udf import kernel_udf
@@ -97,6 +97,11 @@ def header_transform(headers: Column, f) -> Column:
     return F.transform(headers, f)
 
 
+def header_rows(df: DataFrame, key: str, headers: str) -> DataFrame:
+    """key, pos, name, raw, value, params of each header of each row, in order."""
+    return df.select(key, F.posexplode(headers).alias("pos", "h")).select(key, "pos", "h.*")
+
+
 def headers_changed(old: Column, new: Column) -> Column:
     flat = lambda hs: F.transform(hs, lambda h: F.struct(h["name"], h["raw"], F.array_sort(F.map_entries(h["params"]))))
     return ~flat(old).eqNullSafe(flat(new))
@@ -183,6 +188,15 @@ def is_delivery_status(main: Column, sub: Column) -> Column:
     return (main == "message") & (sub == "delivery-status")
 
 
+def is_feedback_report(main: Column, sub: Column) -> Column:
+    return (main == "message") & (sub == "feedback-report")
+
+
+def content_type_equals(main: Column, sub: Column, other: Column) -> Column:
+    """Whether a content type is the one that a text `main/sub` names; parameters and case do not count."""
+    return F.concat_ws("/", F.lower(main), F.lower(sub)) == F.lower(F.trim(F.substring_index(other, ";", 1)))
+
+
 def is_singlepart(main: Column, sub: Column) -> Column:
     return ~main.isin("multipart", "message") & ~is_headers_container(main, sub)
 
@@ -274,6 +288,18 @@ def decode_body(body: Column, encoding: Column, main: Column, sub: Column, chars
     return F.struct(F.when(plain, body).otherwise(kernel["text"]).alias("text"), kernel["data"].alias("data"))
 
 
+def encode_body(body: Column, charset: Column, preferred: Column) -> Column:
+    """Struct of the charset, the transfer encoding and the encoded text of a text body; null gives nulls. The preferred
+    charset and encoding are taken where they serve."""
+
+    @kernel_udf("struct<charset:string,encoding:string,text:string>")
+    def kernel(bodies: pd.Series, charsets: pd.Series, encodings: pd.Series) -> pd.DataFrame:
+        found = [(None, None, None) if b is None else B.encode_body(b, "text", c, e) for b, c, e in zip(bodies, charsets, encodings, strict=True)]
+        return pd.DataFrame(found, columns=["charset", "encoding", "text"])
+
+    return kernel(body, charset, preferred)
+
+
 def detect_content_type(main: Column, sub: Column, file_name: Column, body: Column | None = None) -> Column:
     """Better type of octet streams by file name, of images and sounds by their first bytes."""
     from lettermill.kernels.build import MAGIC

@@ -180,9 +180,17 @@ def rows(root: Part, text: str, fields: frozenset[str] | None = None) -> list[tu
     return out
 
 
-def serialised_size(text: str, start: int, end: int) -> int:
-    """Bytes of a part as it would be written: its slice of the message in UTF-8."""
-    return len(text[start:end].encode("utf-8", "surrogatepass"))
+def last_boundary(text: str | None) -> tuple[int | None, str | None]:
+    """Where the closing line of a multipart message begins, and the line that opens a part; nulls if it has none."""
+    try:
+        root = scan(text) if text is not None else None
+    except MalformedError:
+        return None, None
+    if root is None or root.main != "multipart":
+        return None, None
+    line = "--" + root.params["boundary"]
+    at = text.rfind(f"\n{line}--", 0, root.end)
+    return (at + 1, line) if at >= 0 else (None, None)
 
 
 def parse_message(raw: str | bytes | None, recover: bool = False, fields: frozenset[str] | None = None) -> tuple[list[tuple] | None, str | None, str | None]:

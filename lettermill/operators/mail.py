@@ -8,16 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lettermill.functions import messages as M
+from lettermill.functions._udf import kernel_udf
 from lettermill.kernels.body import decode_body
 from lettermill.kernels.bounce import BOUNCE_HEADERS, NO_REPORT, bounce_report
 from lettermill.kernels.encodedword import to_text
-from lettermill.kernels.scan import parse_message
+from lettermill.kernels.scan import last_boundary, parse_message
 from lettermill.types import PART
 
 __all__ = ["BOUNCE_HEADERS", "apply_edits", "attached_message", "detect_bounces", "explode_bodies", "explode_parts"]
@@ -212,6 +214,21 @@ def part_edits(parts: DataFrame, key: str, headers: str | None = None, body: str
     return out
 
 
+def append_parts(df: DataFrame, key: str, raw: str, *parts: Column, out: str = "text") -> DataFrame:
+    """key and each multipart message with parts (with their headers) behind its own; enclose a message by
+    `build_message_container`. Messages that are null, cannot be read or are no multiparts stay as they are."""
+
+    @kernel_udf("struct<at:int,line:string>")
+    def last_line(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([last_boundary(t) for t in texts], columns=["at", "line"]).astype({"at": "Int32"})
+
+    where = last_line(F.col(raw))
+    held = df.select(key, raw, where.alias("_w"), F.array(*parts).alias("_parts"))
+    more = F.array_join(F.transform("_parts", lambda p: F.concat(F.col("_w.line"), F.lit("\r\n"), p, F.lit("\r\n"))), "")
+    at = F.col("_w.at")
+    return held.select(key, F.when(at.isNull(), F.col(raw)).otherwise(F.concat(F.substr(F.col(raw), F.lit(1), at), more, F.substr(F.col(raw), at + 1, F.length(raw)))).alias(out))
+
+
 def apply_edits(df: DataFrame, key: str, raw: str, edits: DataFrame, out: str = "text") -> DataFrame:
     """key and each message with its edits: a fold over the slices in order, in the JVM. Messages without edits are as they were; slices must not overlap."""
     by_message = edits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("_edits"))
