@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lettermill.functions import addresses as A
 from lettermill.kernels import address as K
-from lettermill.operators.addresses import members, suggest_domains, validate_addresses
+from lettermill.operators.addresses import lookup_exchangers, members, reached, suggest_domains, validate_addresses, validate_lists
 
 GOOD = [
     ("bob@example.com", "", "bob", "example.com"), ("Bob <bob@Example.COM>", "Bob", "bob", "example.com"), ('"Bob, Jr" <bob@x.io>', "Bob, Jr", "bob", "x.io"),
@@ -110,19 +110,20 @@ def test_providers(spark):
 def test_suggestions_for_the_whole_address_book(spark):
     import difflib
 
-    from lettermill.operators.addresses import COMMON_DOMAINS, EXACT_FIXES
-    from lettermill.plans.mail import domain_suggest_all
+    from lettermill.operators.addresses import EXACT_FIXES
+    from lettermill.plans.mail import domain_suggest
 
     sf = "/root/testdata/sf0.001"
+    common = [r[0] for r in spark.read.parquet(f"{sf}/common_hosts.parquet").select("hostname").collect()]
     want = {}
     for k, text in spark.read.parquet(f"{sf}/addresses.parquet").select("addr_id", "address").collect():
         better = None
         if text is not None and "@" in text:
             d = text.split("@")[-1]
-            close = EXACT_FIXES.get(d) or next(iter(difflib.get_close_matches(d, COMMON_DOMAINS, 1, 0.77)), d)
+            close = EXACT_FIXES.get(d) or next(iter(difflib.get_close_matches(d, common, 1, 0.77)), d)
             better = f"{text.split('@')[0]}@{close}" if close != d else None
         want[k] = better
-    assert {r.addr_id: r.suggestion for r in domain_suggest_all(spark, sf).collect()} == want and len(want) > 100
+    assert {r.addr_id: r.suggestion for r in domain_suggest(spark, sf).collect()} == want and len(want) > 100
 
 
 def _book(spark, at, rows):
@@ -141,14 +142,48 @@ def test_lists_above_the_limit_are_cut(spark, tmp_path):
 def test_hard_addresses_are_counted(spark, tmp_path):
     """Blanks, brackets and ACE hosts, against the kernel row by row."""
     from lettermill.kernels.address import parse
-    from lettermill.plans.mail import addr_is_strict_all, addr_list_partial_all
+    from lettermill.plans.mail import addr_is_strict, addr_list_partial
 
     texts = ["a@b.test", "a@\u00a0b.test", "a@b.test>", "a@[1.2.3.4]", "A <a@b.test>", '"x y"@b.test', "a@xn--bcher-kva.test", "(c) a@b.test", "\u3000a@b.test", "plain", None]
     sf = _book(spark, tmp_path, [(i, "email", i % 3, t) for i, t in enumerate(texts)])
-    strict = {r.addr_id: r.strict_ok for r in addr_is_strict_all(spark, sf).collect()}
+    strict = {r.addr_id: r.strict_ok for r in addr_is_strict(spark, sf).collect()}
     assert strict == {i: t is not None and parse(t, strict=True, addr_spec_only=True) is not None for i, t in enumerate(texts)}
     want = {k: [0, 0] for k in range(3)}
     for i, t in enumerate(texts):
         if t is not None:
             want[i % 3][0 if parse(t, strict=True) else 1] += 1
-    assert {r.msg_id: [r.good, r.bad] for r in addr_list_partial_all(spark, sf).collect()} == want
+    assert {r.msg_id: [r.good, r.bad] for r in addr_list_partial(spark, sf).collect()} == want
+
+
+def test_suggestions_from_a_table(spark):
+    """Any table of common domains; slips go to its entries."""
+    common = spark.createDataFrame([("ulfmola.example",), ("zanbexa.test",), (None,)], "d string")
+    df = spark.createDataFrame([("a@ulfmolla.example",), ("b@zanbexa.test",), ("c@gmail",)], "t string")
+    assert {r.t: r.suggestion for r in suggest_domains(df, "t", common).collect()} == {"a@ulfmolla.example": "a@ulfmola.example", "b@zanbexa.test": None, "c@gmail": "c@gmail.com"}
+
+
+def test_exchangers(spark):
+    """What is known and fresh is not asked for; literals are their own hosts; a failed look-up is tried once more."""
+    import datetime as dt
+
+    from lettermill.kernels.exchangers import find_exchanger
+
+    asked = []
+    assert find_exchanger("x.io", lambda d: asked.append(d) or [], lambda hs: hs[0]) is None and asked == ["x.io.", "x.io."]
+    assert find_exchanger("[1.2.3.4]", lambda d: 1 / 0, lambda hs: hs[0]) == "1.2.3.4"
+    assert find_exchanger("x.io", lambda d: ["a", "b"], lambda hs: None) is None
+    now = dt.datetime(2025, 1, 10)
+    known = spark.createDataFrame([("a.io", "old.a", dt.datetime(2025, 1, 1)), ("B.io", "mx.b", dt.datetime(2025, 1, 9)), ("c.io", "False", dt.datetime(2025, 1, 9))], "domain string, mx_host string, fetched_at timestamp")
+    domains = spark.createDataFrame([("a.io",), ("A.io",), ("b.io",), ("c.io",), ("d.io",), (None,), ("",), ("[1.2.3.4]",)], "domain string")
+    got = lookup_exchangers(domains, now, known, lambda d: ["mx." + d] if d[0] != "d" else [], lambda hs: hs[0])
+    assert {r.domain: r.mx_host for r in got.collect()} == {"a.io": "mx.a.io.", "b.io": "mx.b", "c.io": None, "d.io": None, "[1.2.3.4]": "1.2.3.4"}
+    assert {r.domain for r in reached(got).collect()} == {"a.io", "b.io", "[1.2.3.4]"}
+    assert lookup_exchangers(domains.limit(0), now).count() == 0
+
+
+def test_lists_are_validated(spark):
+    df = spark.createDataFrame([(1, "a@x.io, b@none.io; c@x.io"), (2, "no list"), (3, None), (4, ""), (1, "z@x.io")], "k int, t string")
+    mx = spark.createDataFrame([("x.io", "mx.x.io")], "domain string, mx_host string")
+    got = {r.k: (r.valid, r.rejected) for r in validate_lists(df, "k", "t", exchangers=mx).collect()}
+    assert got == {1: (["a@x.io", "c@x.io"], ["b@none.io"]), 2: ([], ["no list"]), 3: ([], []), 4: ([], [])}
+    assert validate_lists(df.limit(0), "k", "t").count() == 0

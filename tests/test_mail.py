@@ -178,20 +178,52 @@ def test_signatures():
     assert line.startswith(b"DKIM-Signature: v=1; a=rsa-sha256") and b"t=1" in line
 
 
-def test_header_edits_of_whole_messages(spark):
-    from pathlib import Path
-
-    from lettermill.plans.mail import header_edits_all
-
-    sf = "/root/testdata/sf0.001"
-    want = {}
-    rows = {tuple(r) for r in spark.read.parquet(f"{sf}/message_headers.parquet").select("msg_id", "hpos", "hname", "raw").collect() if r[0] is not None and r[2] is not None}
-    for k, _, name, _ in sorted(rows, key=lambda r: (r[0], r[1])):
-        want.setdefault(k, []).append("-".join(p.capitalize() for p in name.lower().split("-")))
-    got = {r.msg_id: r for r in header_edits_all(spark, sf).collect()}
-    assert Path(sf).exists() and got.keys() == want.keys() and len(got) > 100
-    for k, names in want.items():
-        rest = ["X-Seen", *names]
-        changed = [n for n in rest if n != "Subject"] + ["Subject"] if "Subject" in rest else ["Subject", *rest]
-        left = [n for n in changed if n != "Received"]
-        assert (got[k].before, got[k].after_set, got[k].after_delete, got[k].changed, got[k].there, got[k].names) == (len(names), len(changed), len(left), True, False, left)
+def test_many_loops(spark):
+    """A thousand loops of two to four, each cut at its least node, with a tail below each."""
+    rows, order = [], 0
+    for n in range(1000):
+        size = 2 + n % 3
+        for i in range(size):
+            rows.append((f"l{n:04d}{i}", [f"l{n:04d}{(i + 1) % size}"], order := order + 1))
+        rows.append((f"t{n:04d}", [f"l{n:04d}1"], order := order + 1))
+    got = threads(spark, rows)
+    for n in range(1000):
+        size = 2 + n % 3
+        root = f"l{n:04d}0"
+        assert got[root] == (root, None, 0, False)
+        assert got[f"l{n:04d}1"][:3] == (root, root if size == 2 else f"l{n:04d}2", size - 1) and got[f"t{n:04d}"][:3] == (root, f"l{n:04d}1", size)
+
+
+def test_descendants(spark):
+    from lettermill.operators.threads import descendants, root_set
+
+    df = spark.createDataFrame([("a", None, 1), ("b", ["a"], 2), ("c", ["a", "b"], 3), ("d", ["a"], 4), ("z", None, 5)], "message_id string, refs array<string>, received_at int")
+    t = build_threads(df)
+    assert {tuple(r) for r in descendants(t).select("ancestor_id", "node_id", "distance").collect()} == {("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("b", "c", 1)}
+    assert [r.node_id for r in root_set(t).collect()] == ["a", "z"]
+
+
+def test_parts_are_appended(spark):
+    from lettermill.operators.mail import append_parts
+
+    raw = "Subject: a\r\n" + Z.multipart("mixed", [Z.leaf("text/plain", "one")], "k")
+    df = spark.createDataFrame([(1, raw), (2, "Subject: x\r\n\r\nplain"), (3, None)], "k int, raw string")
+    inner = F.lit("Subject: in\r\n\r\nhello")
+    got = append_parts(df, "k", "raw", M.build_message_container(inner), F.lit("Content-Type: text/html\r\n\r\n<p>"))
+    kinds = [(f"{r.main}/{r.sub}", r.rel) for r in explode_parts(got.where("k = 1"), "k", "text").collect()]
+    assert kinds == [("multipart/mixed", "root"), ("text/plain", "part"), ("message/rfc822", "part"), ("text/plain", "enclosed"), ("text/html", "part")]
+    assert {r.k: r.text for r in got.where("k > 1").collect()} == {2: "Subject: x\r\n\r\nplain", 3: None}
+
+
+def test_bodies_in_one_pass(spark):
+    from lettermill.operators.mail import explode_bodies
+
+    raw = Z.multipart("mixed", [Z.leaf("text/plain", "é"), Z.leaf("image/png", b"\x89PNG\r\n\x1a\n"), Z.message_container("Subject: in\r\n\r\nhello")], "k")
+    df = spark.createDataFrame([(1, raw), (2, None), (3, "Content-Type: multipart/mixed\r\n\r\nx")], "k int, raw string")
+    got = [(r.part_id, r.text, r.data and bytes(r.data)) for r in explode_bodies(df, "k", "raw").orderBy("part_id").collect()]
+    assert got == [(0, None, None), (1, "é", None), (2, None, b"\x89PNG\r\n\x1a\n"), (3, None, None), (4, "hello", None)] or [g[1] and g[1].strip() for g in got] == [None, "é", None, None, "hello"]
+    assert explode_parts(df.where("k = 1"), "k", "raw", skip_enclosed=True).count() == 4 and explode_parts(df, "k", "raw", with_self=False).count() == 4
+    assert [r.size for r in explode_parts(df.where("k = 1"), "k", "raw", fields=["size"]).collect()][0] == len(raw.encode())
+    assert explode_bodies(df.limit(0), "k", "raw").count() == 0
+    both = spark.createDataFrame([(1, bytearray(raw.encode()))], "k int, raw binary")
+    assert explode_bodies(both, "k", "raw").where("part_id = 1").first().text == "é"

@@ -44,6 +44,21 @@ def test_packed_rows(spark):
     assert explode_packed(df.limit(0), "raw", ["msg_id", "hpos"]).count() == 0
 
 
+def test_long_comments_and_quotes(spark):
+    """A field of a megabyte is read without recursion, however it is made up."""
+    n = 1 << 20
+    texts = [
+        f"a@b.test, ({'x' * n}) c@d.test", f"a@b.test, ({'x' * n} c@d.test, e@f.test", f"a@b.test, ({'\"q\"' * (n // 3)}) c@d.test", '"' * n + " a@b.test, c@d.test",
+        f'a@b.test, "{"y, " * (n // 3)}" <c@d.test>', "a@b.test, c@d.test" + " " * n, "(" * n + "a@b.test, c@d.test", "a@b.test, " + "z" * n,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "msg_id int, raw string")
+    got: dict = {}
+    for r in explode_packed(df, "raw", ["msg_id"]).collect():
+        got.setdefault(r.msg_id, []).append(r.address)
+    two = ["a@b.test", "c@d.test"]
+    assert got == {0: two, 1: [*two, "e@f.test"], 2: two, 3: two, 4: two, 5: two, 6: two}
+
+
 def test_graph():
     mail = unify(observed(json.loads('{"headers": [["A", "1"]], "content_type": "a/b", "enclosed": {"parts": [{"body": "x", "content_type": ["c/d", {"k": "v"}]}]}}')), "root", MAIL_ALIKE)
     assert mail.relations() == {"root", "headers"}
