@@ -166,7 +166,10 @@ def normalise_timestamps(df: DataFrame, text: str, keys: list[str], zone: str, r
     instant to which the nearest reading is taken; where it is null the earliest reading is. Texts without day and
     time, with an impossible date or null give no row. Extra columns of `df` are dropped.
     """
-    parsed = df.select(*keys, F.col(zone).alias("_home"), F.unix_micros(reference).alias("_near"), _components_udf()(F.col(text)).alias("_c"))
+    parsed = df.select(*keys, F.col(zone).alias("_home"), F.unix_micros(reference).alias("_near"), _components_udf()(F.col(text)).alias("_u"))
+    # Through a generator: filters stay above it, so that components are extracted, and readings made, once.
+    once = lambda x: F.explode(F.array(x))
+    parsed = parsed.select(*keys, "_home", "_near", once(F.col("_u")).alias("_c"))
     c = lambda k: F.col(f"_c.{k}")
     known = F.coalesce(c("zone"), F.col("_home"), F.lit("UTC"))
     safe = F.when(known.rlike(r"^(?:UTC|GMT|[A-Z][A-Za-z_]+/[A-Za-z0-9_+\-]+(?:/[A-Za-z0-9_+\-]+)?)$"), known).otherwise("UTC")
@@ -177,7 +180,7 @@ def normalise_timestamps(df: DataFrame, text: str, keys: list[str], zone: str, r
     readings = F.when(c("epoch").isNotNull(), F.array(c("epoch"))).when(c("offsets").isNotNull(), stated).otherwise(unstated)
     nearest = F.element_at(F.array_sort(F.transform(F.col("_r"), lambda x: F.struct(F.coalesce(F.abs(x - F.col("_near")), F.lit(0)).alias("gap"), x.alias("at")))), 1)["at"]
     return (
-        parsed.withColumn("_zone", safe).select(*keys, readings.alias("_r"), "_near")
+        parsed.withColumn("_zone", safe).select(*keys, once(readings).alias("_r"), "_near")
         .where(F.size("_r") > 0).select(*keys, nearest.alias("_at"), F.col("_near")).where(F.col("_at").isNotNull())
         .select(*keys, instant_string(F.col("_at")).alias(out), F.abs(F.col("_at") - F.col("_near")).alias("_gap"))
     )
