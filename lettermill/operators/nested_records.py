@@ -323,53 +323,86 @@ MAIL_STEPS = {"parts": ".{}", "enclosed": ".e", "headers": "#{}"}
 Children = Callable[[dict, str], list]
 
 
-def observed(root: dict, children: Children = mail_children) -> set[tuple[str, str, bool]]:
-    """(parent, name, many) of everything that a record has, under the names of its objects; the root is `root`."""
-    seen: set[tuple[str, str, bool]] = set()
+def observed(root: dict, children: Children = mail_children, seen: set[tuple[str, str, bool]] | None = None) -> set[tuple[str, str, bool]]:
+    """(parent, name, many) of everything that a record has, under the names of its objects; the root is `root`. Adds to `seen` if it is given."""
+    seen = set() if seen is None else seen
+    add = seen.add
     todo = [("root", root)]
     while todo:
         element, node = todo.pop()
         for name, value in node.items():
+            if value is None:
+                continue
+            if not isinstance(value, (dict, list, str)):
+                add((element, name, False))
+                continue
+            if name == "headers" and ("headers", "name", False) in seen and ("headers", "value", False) in seen:
+                if value:
+                    add((element, name, True))
+                continue
             below = [x for x in children(node, name) if x is not None]
             if below:
-                seen.add((element, name, isinstance(value, list) and name != "content_type" or (name == "headers")))
-                todo.extend((name, x) for x in below if isinstance(x, dict))
+                add((element, name, name == "headers" or (isinstance(value, list) and name != "content_type")))
+                for x in below:
+                    if isinstance(x, dict):
+                        todo.append((name, x))
     return seen
 
 
 def shred(root: dict, graph: SchemaGraph, steps: dict[str, str], children: Children = mail_children, with_fields: bool = True) -> Iterator[tuple]:
-    """(element, path, parent path, role, ordinal, fields) of the rows of all tables for one record, parents before children.
+    """(element, path, parent path, role, ordinal, fields) of the rows of all tables for one record, parents before children."""
+    return Shredder(graph, steps, children, with_fields).rows(root)
+
+
+class Shredder:
+    """Rows of the tables of a graph, for one record after the other.
 
     Rows are those of the elements to which the graph gives a table; an edge leads from the row of a parent to the rows
     of its children and gives them their foreign key. The walk keeps its own stack, so depth is no limit.
     """
-    tables = graph.tables()
-    links = {e: graph.links(e) for e in tables}
-    columns = {e: list(c.items()) for e, c in tables.items()}
-    todo: list[tuple] = [(graph.root, root, "0", "", "root", 0)]
-    while todo:
-        element, node, path, parent, role, ordinal = todo.pop()
-        fields = None
-        if with_fields:
-            fields = {}
-            for column, way in columns[element]:
-                at: object = node
-                for name in way:
-                    found = children(at, name) if isinstance(at, dict) else []
-                    at = found[0] if len(found) == 1 else at.get(name) if found else None
-                if at is not None:
-                    fields[column] = _text(at)
-        yield element, path, parent, role, ordinal, fields
-        below = []
-        for way, edge in links[element]:
-            holder: object = node
+
+    def __init__(self, graph: SchemaGraph, steps: dict[str, str], children: Children = mail_children, with_fields: bool = True):
+        tables = graph.tables()
+        self.root, self.children, self.with_fields = graph.root, children, with_fields
+        self.columns = {e: list(c.items()) for e, c in tables.items()}
+        links = {e: graph.links(e) for e in tables}
+        self.links = {e: [(way, x.name, x.child, steps.get(x.name, "".join(f".{n}" for n in [*way, x.name]) + ".{}"), not links[x.child]) for way, x in links[e]] for e in tables}
+
+    def fields(self, element: str, node: dict) -> dict[str, str | None] | None:
+        """The inlined columns of a row."""
+        if not self.with_fields:
+            return None
+        out = {}
+        for column, way in self.columns[element]:
+            at: object = node
             for name in way:
-                found = children(holder, name) if isinstance(holder, dict) else []
-                holder = found[0] if len(found) == 1 else None
-            if isinstance(holder, dict) and edge.name in holder:
-                step = steps.get(edge.name, "".join(f".{x}" for x in [*way, edge.name]) + ".{}")
-                below.extend((edge.child, x, path + step.format(i), path, edge.name, i) for i, x in enumerate(children(holder, edge.name)) if isinstance(x, dict))
-        todo.extend(reversed(below))
+                found = self.children(at, name) if isinstance(at, dict) else []
+                at = found[0] if len(found) == 1 else at.get(name) if found else None
+            if at is not None:
+                out[column] = _text(at)
+        return out
+
+    def rows(self, root: dict) -> Iterator[tuple]:
+        todo: list[tuple] = [(self.root, root, "0", "", "root", 0)]
+        while todo:
+            element, node, path, parent, role, ordinal = todo.pop()
+            yield element, path, parent, role, ordinal, self.fields(element, node)
+            below = []
+            for way, name, child, step, last in self.links[element]:
+                holder: object = node
+                for inner in way:
+                    found = self.children(holder, inner) if isinstance(holder, dict) else []
+                    holder = found[0] if len(found) == 1 else None
+                if not isinstance(holder, dict) or name not in holder:
+                    continue
+                for i, x in enumerate(self.children(holder, name)):
+                    if not isinstance(x, dict):
+                        continue
+                    if last:  # a table that leads to no other
+                        yield child, path + step.format(i), path, name, i, self.fields(child, x)
+                    else:
+                        below.append((child, x, path + step.format(i), path, name, i))
+            todo.extend(reversed(below))
 
 
 def infer_graph(df: DataFrame, record: str, alike: tuple[str, ...] = MAIL_ALIKE) -> SchemaGraph:
@@ -385,7 +418,7 @@ def infer_graph(df: DataFrame, record: str, alike: tuple[str, ...] = MAIL_ALIKE)
             for text in batch.column(0).to_pylist():
                 root = readable(text)
                 if root is not None:
-                    seen |= observed(root)
+                    observed(root, seen=seen)
         rows = sorted(seen)
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_()))], names=["parent", "name", "many"])
 
@@ -417,11 +450,12 @@ def flatten_records(df: DataFrame, key: str, record: str, with_fields: bool = Tr
             columns = [[kinds[r[0]] for r in rows], *([r[i] for r in rows] for i in range(1, 5)), [None if r[5] is None else list(r[5].items()) for r in rows]]
             return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, arrow, strict=True))], names=schema.fieldNames())
 
+        shredder = Shredder(graph, MAIL_STEPS, with_fields=with_fields)
         for batch in batches:
             at, rows, size = [], [], 0
             for n, text in enumerate(batch.column(1).to_pylist()):
                 root = readable(text)
-                for row in shred(root, graph, MAIL_STEPS, with_fields=with_fields) if root is not None else ():
+                for row in shredder.rows(root) if root is not None else ():
                     at.append(n)
                     rows.append(row)
                     size += len(row[1])
