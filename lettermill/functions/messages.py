@@ -244,7 +244,7 @@ def generate_message_id(domain: str = "localhost") -> Column:
 
 def clean_subject(s: Column) -> Column:
     """Without reply and forward marks, wherever they stand."""
-    return F.regexp_replace(F.coalesce(s, F.lit("")), r"(?i)(?:(?:RE|FW|FWD|HA)(?:\[\d\])*:\s*)+", "")
+    return F.regexp_replace(F.coalesce(s, F.lit("")), r"(?i)(?:(?:RE|FW|FWD|HA)(?:\[\d\])*+:\s*+)++", "")
 
 
 # Parts

@@ -62,8 +62,3 @@ def multipart(subtype: str, parts: list[str], key: str) -> str:
 
 def message_container(message: str) -> str:
     return "Content-Type: message/rfc822\r\nContent-Disposition: attachment\r\n\r\n" + message
-
-
-def with_headers(headers: list[tuple[str, str]], body: str) -> str:
-    """A message: its headers, each encoded, in front of a part."""
-    return "".join(f"{k}: {encode_header(k, v)}\r\n" for k, v in headers) + "MIME-Version: 1.0\r\n" + body

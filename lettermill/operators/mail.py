@@ -185,10 +185,13 @@ def _may_speak(text: str) -> bool:
 
 
 def subtree_changed(parts: DataFrame, key: str, changed: str) -> DataFrame:
-    """key, part_id, and whether the part or one below it has changed; status reports and headers-only parts answer for themselves."""
-    low = parts.where(changed).select(F.col(key).alias("_k"), F.col("path").alias("_low"))
-    below = (F.col(key) == F.col("_k")) & (F.slice(F.col("_low"), 1, F.size("path")) == F.col("path"))
-    return parts.join(low, below, "left").groupBy(key, "part_id").agg(F.max(F.col("_k").isNotNull()).alias("was_changed"))
+    """key, part_id, and whether the part or one below it has changed; status reports and headers-only parts answer for themselves.
+
+    Each changed part names the parts above it by their paths; these are joined by equality, so no pairs of parts are made.
+    """
+    above = F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", F.lit(1), n))
+    touched = parts.where(changed).select(key, F.explode(above).alias("path")).distinct().withColumn("_touched", F.lit(True))
+    return parts.select(key, "part_id", "path").join(touched, [key, "path"], "left").select(key, "part_id", F.coalesce("_touched", F.lit(False)).alias("was_changed"))
 
 
 def serialise(df: DataFrame, raw: str, prepended: str | None = None, out: str = "text") -> DataFrame:
