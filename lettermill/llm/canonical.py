@@ -194,7 +194,9 @@ def match_values(df: DataFrame, value: str, entries: DataFrame, entry_id: str, e
     exact = sorted({h for _, h in listed})
     stamp = hash(tuple(listed))
     named = df.select(value).where(F.col(value).isNotNull() & (F.regexp_replace(value, r"[\s\x{A0}\x{2000}-\x{200B}\x{202F}\x{3000}\x{FEFF}]+", "") != ""))
-    distinct = named.distinct()
+    # Few bytes, much work for each: the number of tasks follows the cluster, not the bytes.
+    spark = df.sparkSession
+    distinct = named.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), value).distinct()
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if stamp not in _ENTRIES:
