@@ -721,3 +721,31 @@ def thread_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def messages_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages that were taken in twice."""
     return table(spark, sf_dir, "messages").groupBy("msg_id").agg(F.count("*").alias("copies"), F.min("ingested_at").alias("first"))
+
+
+def _small_key() -> bytes:
+    """An RSA key in PEM from two fixed primes, for signatures that can be told apart but keep no secret."""
+    p, q, e = (1 << 521) - 1, (1 << 607) - 1, 65537
+    n, d = p * q, pow(e, -1, (p - 1) * (q - 1))
+
+    def number(x: int) -> bytes:
+        raw = x.to_bytes(x.bit_length() // 8 + 1, "big")
+        return b"\x02" + (bytes([len(raw)]) if len(raw) < 128 else b"\x82" + len(raw).to_bytes(2, "big")) + raw
+
+    body = b"".join(map(number, (0, n, e, d, p, q, 1, 1, 1)))
+    return b"-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(b"\x30\x82" + len(body).to_bytes(2, "big") + body) + b"-----END RSA PRIVATE KEY-----\n"
+
+
+@query(r"""SELECT msg_id, 'rsa-sha256' AS algorithm, 'from : subject' AS names, to_base64(from_hex(sha256(regexp_replace(body, '(\r?\n)+$', '') || chr(13) || chr(10)))) AS digest, true AS signed, 'rsa-sha1' AS key_algorithm FROM (SELECT msg_id, min(body) AS body FROM messages WHERE body IS NOT NULL GROUP BY msg_id)""")
+def messages_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each body as a message of two headers, signed in both ways; the fields of the signatures, unfolded."""
+    m = table(spark, sf_dir, "messages").where(F.col("body").isNotNull()).groupBy("msg_id").agg(F.min("body").alias("body"))
+    text = F.concat(F.lit("From: a@b.example\r\nSubject: mail "), F.col("msg_id").cast("string"), F.lit("\r\n\r\n"), F.col("body"))
+    pem = _small_key()
+    flat = lambda x: F.replace(x, F.lit("\r\n "), F.lit(""))
+    s = m.select("msg_id", flat(M.sign_dkim(text, pem, "sel", "b.example", 1)).alias("d"), flat(M.sign_domainkey(text, pem, "sel", "b.example")).alias("k"))
+    part = lambda x, p: F.regexp_extract(x, p, 1)
+    return s.select(
+        "msg_id", part("d", r"a=([^;]+);").alias("algorithm"), part("d", r" h=([^;]+);").alias("names"), part("d", r"bh=([^;]+);").alias("digest"),
+        (F.length(part("d", r" b=([A-Za-z0-9+/=]+)")) == 188).alias("signed"), part("k", r"a=([^;]+);").alias("key_algorithm"),
+    )
