@@ -101,6 +101,7 @@ class Names:
         self.given, self.family = given, family
         self.words_too = words_too  # what a rare word with lost letters may be as well
         self.memo: dict[str, int] = {}
+        self.never: set[str] = set()  # tokens that are no names whatever stands around them
         self.by_length: dict[int, list[str]] = {}
         for w in given | family:
             self.by_length.setdefault(len(w), []).append(w)
@@ -109,12 +110,13 @@ class Names:
 
     def role(self, token: str) -> int:
         """The role of a word by the gazetteer: by what every executor has of it, or by what came with the body."""
-        return self._role(token) or (self.extra.get(token.lower().replace("’", "'"), 0) if self.extra else 0)
+        known = self.memo.get(token)
+        if known is None:
+            known = self._role(token)
+        return known or (self.extra.get(token.lower().replace("’", "'"), 0) if self.extra else 0)
 
     def _role(self, token: str) -> int:
         """1 given, 2 family, 3 either, 0 neither, and WEAK if only rare words say so; garbled letters are read in every way that tables allow."""
-        if (known := self.memo.get(token)) is not None:
-            return known
         low = token.lower().replace("’", "'")
         out = (low in self.given) + 2 * (low in self.family)
         if not out and low.endswith("'s"):
@@ -134,6 +136,7 @@ class Names:
             out = r + WEAK
         if len(self.memo) > 500_000:
             self.memo.clear()
+            self.never.clear()
         self.memo[token] = out
         return out
 
@@ -208,15 +211,17 @@ def _phone_end(text: str, start: int, end: int) -> int:
 
 
 def _by_context(text: str, word: str, s: int, e: int, last: tuple[int, int, int] | None) -> int:
-    """Role of a capitalised word that no name field has: after a title, as a greeting, in a From line, or as the rest of a
+    """Role of a capitalised word that no name field has and that is no common word: after a title, as a greeting, in a From line, or as the rest of a
     name that ends there; 0 if nothing says that it is one. `last` is the name word before."""
+    if len(word) < 2:
+        return 0
     before = text[max(0, s - 20) : s].rstrip(" \t\r\n>|,").rsplit(None, 1)
     front = before[-1].lower().rstrip(".") if before else ""
     title, greeting = front in _TITLES, front in _GREETINGS
     after_name = last is not None and last[2] & 1 and text[last[1] : s] == " "
     line = text.rfind("\n", 0, s) + 1
     sender = not (title or greeting) and ":" in text[line : min(s, line + 24)] and bool(_FROM_LINE.match(text[line:s]))
-    if not (title or greeting or after_name or sender) or len(word) < 2 or word.isupper() or word.lower() in _NO_NAME or _NAME_NO_AFTER.match(text, e):
+    if not (title or greeting or after_name or sender) or _NAME_NO_AFTER.match(text, e):
         return 0
     if title and _TITLE.search(text[max(0, s - 26) : s]):
         return WEAK + 2
@@ -235,8 +240,12 @@ def _by_context(text: str, word: str, s: int, e: int, last: tuple[int, int, int]
 def _names(text: str, names: Names) -> Iterator[tuple[int, int, list[int]]]:
     """Runs of name words: (start, end, roles). `Family, Given` is one run; initials stand in the middle or in front."""
     tokens: list[tuple[int, int, int]] = []
+    never = names.never if not names.extra else ()
     for m in TOKEN.finditer(text):
-        word, s, e = m.group(), m.start(), m.end()
+        raw = word = m.group()
+        if word in never:
+            continue
+        s, e = m.span()
         if s and text[s - 1] not in "'’-" and _IN_WORD.match(text, s - 1):
             continue  # within a word
         while word and word[-1] in "'’-":
@@ -246,7 +255,13 @@ def _names(text: str, names: Names) -> Iterator[tuple[int, int, list[int]]]:
         if not word or word[0].islower():
             continue
         initial = len(word) == 1 and text[e : e + 1] == "." and word.isupper()
-        role = 4 if initial else names.role(word) or _by_context(text, word, s, e, tokens[-1] if tokens else None)
+        role = 4 if initial else names.role(word)
+        if not role:
+            if len(word) > 1 and (word.isupper() or word.lower() in _NO_NAME):
+                if not names.extra:
+                    names.never.add(raw)
+                continue
+            role = _by_context(text, word, s, e, tokens[-1] if tokens else None)
         if role:
             tokens.append((s, e + initial, role))
     gap, comma = _GAP, _COMMA
@@ -395,13 +410,17 @@ def settle(proposed: list[Proposal], towns: frozenset[str]) -> list[Span]:
     street = -1
     for t, s, e, votes, shape, word, need, shun, _ in proposed:
         if t == "STREET":
-            if s == street or not all(x in towns for x in need) or any(x in towns for x in shun):
+            if s == street or not _ends_there(need, shun, towns):
                 continue
             street = s
         out.append((t, s, e, votes, shape, word))
     return out
 
 
+def _ends_there(need: tuple[str, ...], shun: tuple[str, ...], towns: frozenset[str]) -> bool:
+    return all(x in towns for x in need) and not any(x in towns for x in shun)
+
+
 def proposals(body: str, names: Names) -> list[Proposal]:
     """Spans proposed for a body. A street has one for each place where it may end, the one that needs most of the towns first."""
     text, begin = mapped(body)
@@ -531,17 +550,15 @@ def train_classifier(rows: list[tuple[str, str, int, int, int]], probability: di
 
 
 def choose(spans: list[Span], weights: list[float]) -> list[tuple[str, int, int]]:
-    """The spans that the classifier accepts: whole addresses first where they overlap, then the more probable, then the longer."""
-    scored = []
-    for t, s, e, votes, shape, word in spans:
-        z = 0.0
-        for i in _features(t, votes, shape, word):
-            z += weights[i]
-        if z > 0:
-            scored.append((t not in ("EMAIL", "STREET"), -z, s - e, t, s, e))
-    scored.sort()
+    """The spans that the classifier accepts."""
+    return pick([(t, s, e, sum(weights[i] for i in _features(t, votes, shape, word))) for t, s, e, votes, shape, word in spans])
+
+
+def pick(scored: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int]]:
+    """Of spans with their scores those above zero: whole addresses first where they overlap, then the more probable, then the longer."""
+    order = sorted((t not in ("EMAIL", "STREET"), -z, s - e, t, s, e) for t, s, e, z in scored if z > 0)
     taken: list[tuple[int, int, str]] = []
-    for *_, t, s, e in scored:
+    for *_, t, s, e in order:
         for a, b, _ in taken:
             if s < b and a < e:
                 break
@@ -620,19 +637,30 @@ def find_personal(messages: DataFrame, accounts: DataFrame, addresses: DataFrame
     rows = [tuple(r) for r in counted.orderBy(F.desc("n"), "t", "p", "s", "w").toLocalIterator()]
     weights = train_classifier(rows, em_probabilities(patterns))
 
-    plain = weights.tolist()
+    # What a pattern of votes is worth to the classifier, and where the weights of its type begin.
+    worth = {p: float(sum(weights[i] for i in _features(t, tuple("-0+".index(c) - 1 for c in v), 0, 0)[:5])) for p in patterns for t, _, v in [p.partition(":")]}
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        votes_of = {p: tuple("-0+".index(c) - 1 for c in p.partition(":")[2]) for p in patterns}
         for batch in batches:
             ids, types, starts, ends = [], [], [], []
             spans = batch.column(1)
             flat = spans.flatten()
-            t, s, e, p, shape, word, need, shun, town = (flat.field(i).to_pylist() for i in range(9))
-            each = list(zip(t, s, e, [votes_of.get(x) or tuple("-0+".index(c) - 1 for c in x.partition(":")[2]) for x in p], shape, word, need, shun, town, strict=True))
+            t, s, e, p, shape, word, need, shun, _ = (flat.field(i) for i in range(9))
+            kinds = t.to_pylist()
+            base = np.array([_BASE[x] for x in kinds], np.int64) + 13
+            z = np.array([worth[x] for x in p.to_pylist()]) + weights[base + shape.to_numpy()] + weights[base + BUCKETS + word.to_numpy()] if kinds else np.zeros(0)
+            each = list(zip(kinds, s.to_pylist(), e.to_pylist(), z.tolist(), strict=True))
+            needs, shuns = need.to_pylist(), shun.to_pylist()
             at = 0
             for k, n in zip(batch.column(0).to_pylist(), spans.value_lengths().to_pylist(), strict=True):
-                for kind, start, end in choose(settle(each[at : at + n], towns), plain):
+                some, street = [], -1
+                for i in range(at, at + n):
+                    if each[i][0] == "STREET":
+                        if each[i][1] == street or not _ends_there(needs[i], shuns[i], towns):
+                            continue
+                        street = each[i][1]
+                    some.append(each[i])
+                for kind, start, end in pick(some):
                     ids.append(k)
                     types.append(kind)
                     starts.append(start)
