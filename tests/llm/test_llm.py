@@ -76,6 +76,44 @@ def test_new_text(spark):
     assert new_text.old_lines(df.limit(0)).count() == 0
 
 
+def test_unmarked_history_of_fifteen_words(spark):
+    """History without any mark, wrapped otherwise, is found by the automaton; sentences that many threads have are not evidence."""
+    old = "the spare rotor left the workshop on tuesday and will reach the northern gate before the end of the month"
+    chance = "please send the list of all open orders to the finance desk before friday noon and keep a copy for us"
+    rows = [(1, "m", 1, 0, old), (2, "m", 1, 1, "Good.\n\n" + old.replace(" will", "\nwill"))]
+    for c in range(10, 16):
+        rows += [(2 * c, "m", c, 0, f"Number {c}.\n\n{chance}"), (2 * c + 1, "m", c, 1, f"Another {c}.\n\n{chance}")]
+    df = spark.createDataFrame(rows, "msg_id bigint, message_id string, conv_id bigint, turn bigint, body string")
+    assert {(r.msg_id, r.line_no) for r in new_text.old_lines(df).collect()} == {(2, 2), (2, 3)}
+
+
+def test_notices_are_learnt(spark):
+    """A sentence that recurs beside notices in several threads is known as part of one, also where it stands with no word of a notice."""
+    notice, strange = "This message is confidential and intended only for its addressee.", "Mind the whales when you fold this sheet of paper."
+    rows = [(k, k, 0, f"Text {k} about parts.\n\n{notice} {strange}") for k in range(6)]
+    rows += [(50, 50, 0, f"Other text.\n\n{strange}"), (51, 51, 0, "Mind the gap when you fold.\n\nNot a notice here at all.")]
+    df = spark.createDataFrame(rows, "msg_id bigint, conv_id bigint, turn bigint, body string")
+    assert {(r.msg_id, r.line_no) for r in new_text.old_lines(df).collect()} == {(k, 2) for k in range(6)} | {(50, 2)}
+    few = df.where("msg_id >= 50")
+    assert new_text.old_lines(few).count() == 0
+
+
+def test_two_bodies_under_one_id(spark):
+    """The lines that are marked and the spans that are replaced are those of the body that is shown."""
+    df = spark.createDataFrame([(1, 2, 0, "aaa first\n> old"), (1, 1, 5, "Z\n\nKind regards\nBob Smith"), (2, None, None, None), (3, 1, 1, " ")], "msg_id bigint, conv_id bigint, turn bigint, body string")
+    assert {r.msg_id: r.new_text for r in new_text.new_text(df).collect()} == {1: "Z", 3: ""}
+    messages = personal.one_body(spark.createDataFrame([(1, "write to rosa@x.test now"), (1, "zz nothing here at all, dear reader"), (2, None)], "msg_id bigint, body string"))
+    none = spark.createDataFrame([], "k string, owner_name string"), spark.createDataFrame([], "addr_id bigint, display_name string")
+    assert {r.msg_id: r.masked for r in personal.mask_personal(messages, personal.find_personal(messages, *none)).collect()} == {1: "write to [EMAIL] now"}
+
+
+def test_crowded_turns(spark, monkeypatch):
+    """Many messages of one turn are parted; none is lost."""
+    monkeypatch.setattr(new_text, "MOST_TOGETHER", 10)
+    df = spark.createDataFrame([(k, 1, 0, f"text {k}\n> old {k}") for k in range(100)], "msg_id bigint, conv_id bigint, turn bigint, body string")
+    assert {(r.msg_id, r.line_no) for r in new_text.old_lines(df).collect()} == {(k, 1) for k in range(100)}
+
+
 def test_long_thread_is_cut(spark):
     rows = [(i, 7, i, f"note {i}\n\n> {i - 1}") for i in range(200)]
     got = new_text.old_lines(spark.createDataFrame(rows, "msg_id bigint, conv_id bigint, turn bigint, body string"))
@@ -123,10 +161,26 @@ def test_names_that_few_fields_have(text, want):
 
 def test_rare_name_words_are_kept(spark):
     who = spark.createDataFrame([("k", "Rosa Quist")] * 3 + [("k", "Orla Kelmora")], "k string, owner_name string")
-    names = personal.name_words(who, spark.createDataFrame([], "addr_id bigint, display_name string"))
+    names, _ = personal.name_words(who, spark.createDataFrame([], "addr_id bigint, display_name string"))
     assert (names.role("Rosa"), names.role("Quist"), names.role("Orla"), names.role("Kelmora"), names.role("Dorwick")) == (1, 2, personal.WEAK + 1, personal.WEAK + 2, 0)
 
 
+def test_names_beyond_the_broadcast(spark):
+    """Names that do not fit into the gazetteer of every executor come to the bodies by a join, and are found all the same."""
+    who = spark.createDataFrame([(f"k{i}", f"Given{chr(97 + i % 26)}{chr(97 + i // 26)} Family{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(60)], "account_key string, owner_name string")
+    book = spark.createDataFrame([], "addr_id bigint, display_name string")
+    names, more = personal.name_words(who, book, most=30)
+    assert more.count() == 90 and len(names.rare.given | names.rare.family) == 30
+    df = spark.createDataFrame([(i, f"Hello Given{chr(97 + i % 26)}{chr(97 + i // 26)} Family{chr(97 + i % 26)}{chr(97 + i // 26)},\n\nall is well.") for i in range(60)], "msg_id bigint, body string")
+    keep = personal.name_words
+    try:
+        personal.name_words = lambda a, b: keep(a, b, most=30)
+        got = {(r.msg_id, r.start_pos, r.end_pos) for r in personal.find_personal(df, who, book).collect() if r.pii_type == "NAME"}
+    finally:
+        personal.name_words = keep
+    assert got == {(r.msg_id, r.start_pos, r.end_pos) for r in personal.find_personal(df, who, book).collect() if r.pii_type == "NAME"} and len(got) == 60
+
+
 def test_towns_of_all_bodies(spark):
     """A town that a sample of the messages has too seldom, or not at all, still ends its streets."""
     rows = [(i, f"Send to {i + 1} Copper Road now" if i % 10 == 0 else f"Hello {i}, nothing here") for i in range(4000)] + [(10_000 + i, f"Send to {i + 1} Copper Road, Selby now") for i in range(4)]
@@ -186,26 +240,54 @@ def test_hosts(spark):
     assert {r.host_id for r in canonical.canonical_hosts(df.drop("host_id"), hosts.limit(0)).collect()} == {-1}
 
 
-def test_neighbourhoods_meet():
+def test_repairs_are_brute_force():
+    """The index of pieces finds every term within its slips, for tokens of any length."""
     rng = random.Random(4)
-    for _ in range(300):
-        a = "".join(rng.choice("abcde") for _ in range(rng.randint(5, 9)))
-        b = list(a)
-        for _ in range(2):
+    names = ["".join(rng.choice("abcde") for _ in range(n)) for n in (2, 4, 5, 7, 8, 9, 12, 24, 25, 34, 70, 120)]
+    known = canonical.Entries(list(enumerate(names)))
+    for _ in range(600):
+        b = list(rng.choice(names))
+        for _ in range(rng.randint(0, 4)):
             k = rng.randrange(len(b))
-            if rng.random() < 0.3 and k + 1 < len(b):
+            if rng.random() < 0.4 and k + 1 < len(b):
                 b[k], b[k + 1] = b[k + 1], b[k]
-            elif rng.random() < 0.5:
-                b[k] = rng.choice("abcde")
+            elif rng.random() < 0.5 and len(b) > 1:
+                del b[k]
             else:
                 b.insert(k, rng.choice("abcde"))
-        b = "".join(b)
-        if canonical.slips(a, b, 2) <= 2:
-            assert canonical.slips(b, a, 2) <= 2
+        token = "".join(b)
+        want = {t for t in known.idf if canonical.slips(token, t, canonical.term_slips(len(t))) <= canonical.term_slips(len(t))}
+        assert set(known.repairs(token)) == want
+
+
+def test_ranking_decides(monkeypatch):
+    """Long labels are repaired too; without the score, or without repairs, nothing is meant."""
+    label = "quillmarshandtolland" * 3
+    known = canonical.Entries([(1, f"{label}.net.example"), (2, "zanbexa.mail.test")])
+    slipped = "x" + label[:20] + label[21:50] + "q" + label[50:] + ".net.example"
+    assert known.decide(slipped) == 1 and known.decide("zanbexa.mial.test") == 2 and known.decide("zanbexa") == 2
+    monkeypatch.setattr(canonical.Entries, "score", lambda self, repaired, variant: 0.0)
+    assert known.decide(slipped) == -1 and known.decide("zanbexa") == -1
+    monkeypatch.undo()
+    monkeypatch.setattr(canonical.Entries, "repairs", lambda self, token: {})
+    assert known.decide(slipped) == -1 and known.decide("zanbexa") == -1
 
 
 # Encodings
 
+
+def test_lengths_decide(monkeypatch):
+    """Two readings without a strange pair: the one whose words the dictionary has is shorter and holds; without lengths they are equal."""
+    d = describer()
+    bad = "Über".encode().decode("latin-1") + " " + "Größe".encode().decode("latin-1")
+    assert d.restore(bad)[0] == "Über Größe"
+    whole = d.bits(bad, list(range(len(d.languages)))) - d.bits("Über Größe", list(range(len(d.languages))))
+    assert whole >= encoding.UTF8_BITS
+    d.known.clear()
+    monkeypatch.setattr(encoding.Describer, "bits", lambda self, text, languages: 8 * (1000 - len(text)))
+    assert d.restore(bad)[0] == bad  # lengths that grow where the text gets shorter: no chain pays
+
+
 CLEAN = ["Réunion à l’entrepôt", "Übergabe der Schlüssel für Größe", "Relação de peças não", "Zamówienie części później", "Новые чертежи и склад", "会議の変更について", "Don’t forget the “list” – ok", "José Müller", "¿Cuándo abre? mañana"]
 
 
@@ -364,11 +446,59 @@ def test_passages_are_brute_force():
         for i, t in enumerate(item):
             at.setdefault(t, []).append(i)
         places = [(t, p) for p, t in enumerate(doc) if t in at]
-        got = leakage.holds_passage(at, len(item), [t for t, _ in places], [p for _, p in places], 16, 5)
+        got = leakage.holds_passage(at, [t for t, _ in places], [p for _, p in places], 16, 5)
         agree += got == brute_passage(item, doc)
     assert agree >= 118  # the two count an exchange of neighbours and a repeated word differently
 
 
+def test_edits_that_lie_together():
+    """25 words with five changed ones among the ninth to fifteenth: a passage, though every 16 of its words have more edits than one in five."""
+    item = list(range(25))
+    doc = [99 if i in (8, 10, 11, 12, 14) else i for i in item]
+    at = {t: [t] for t in item}
+    places = [(t, p) for p, t in enumerate(doc) if t in at]
+    assert leakage.holds_passage(at, [t for t, _ in places], [p for _, p in places], 16, 5) and brute_passage(item, doc)
+    doc[16] = 99
+    places = [(t, p) for p, t in enumerate(doc) if t in at]
+    assert not leakage.holds_passage(at, [t for t, _ in places], [p for _, p in places], 16, 5)
+
+
+def test_prefilters_lose_no_passage():
+    """Whatever holds a passage has enough grams near each other, and a phrase that is found from its rarest term."""
+    rng = random.Random(12)
+    held = 0
+    for _ in range(400):
+        item = [rng.randint(0, 40) for _ in range(rng.randint(16, 60))]
+        copy = item[:]
+        for _ in range(rng.randint(0, len(item) // 5)):
+            k = rng.randrange(len(copy))
+            copy = copy[:k] + rng.choice([[], [99], [99, copy[k]]]) + copy[k + 1 :]
+        doc = [rng.randint(0, 40) for _ in range(20)] + copy + [rng.randint(0, 40) for _ in range(20)]
+        at: dict = {}
+        for i, t in enumerate(item):
+            at.setdefault(t, []).append(i)
+        places = [(t, p) for p, t in enumerate(doc) if t in at]
+        terms, positions = np.array([t for t, _ in places]), np.array([p for _, p in places])
+        if leakage.holds_passage(at, terms.tolist(), positions.tolist(), 16, 5):
+            held += 1
+            grams = leakage.Grams([item], 16, 5)
+            near = [n for n, keep in grams.likely(terms, positions, [0], leakage._reach(16, 5)[1]) if leakage.holds_passage(at, terms[keep].tolist(), positions[keep].tolist(), 16, 5)]
+            lists: dict = {}
+            for t, p in places:
+                lists.setdefault(t, []).append(p)
+            seeds = leakage.phrases_from([item], {t: len(x) for t, x in lists.items()}, 4)
+            assert near == [0] and leakage.phrase_items(lists, seeds) == {0}
+    assert held > 100
+
+
+def test_posting_lists(spark):
+    df = spark.createDataFrame([(1, "a b a c x y"), (1, "a b a c x y"), (1, "b b b"), (2, None), (None, "a b a")], "doc_id bigint, text string")
+    vocabulary = {"a": 0, "b": 1, "c": 2}
+    rows = leakage.positional_index(df, "doc_id", "text", vocabulary, leakage.Grams([[0, 1, 0, 2]], 4, 5), 10).collect()
+    lists = sorted((r["_key"], r.term, list(r.positions)) for r in rows)
+    assert [x for x in lists if x[1] != 1] == [(1, 0, [0, 2]), (1, 2, [3])] and (1, 1, [1]) in lists
+
+
 def test_leaks(spark):
     item = " ".join(f"alpha{i} beta" for i in range(15))
     w = item.split()
@@ -411,6 +541,11 @@ def test_plain():
     assert wikitext.plain(text, headings=False).split() == "Bold b c & xy link".split()
 
 
+def test_deep_templates():
+    assert wikitext.plain("a {{x|" * 500 + "inner" + "}}" * 500 + " b").split() == ["a", "b"]
+    assert wikitext.plain("a {{x|" * 20 + "b").count("{{") == 20
+
+
 def test_levels(spark):
     rng = random.Random(8)
     pools = {1: "dog cat run sit big red sun".split(), 2: "harbour market festival children village bakery".split(), 3: "government province agricultural administration revenue".split(), 4: "epistemology heterogeneity parameterization ontological asymptotic".split()}
