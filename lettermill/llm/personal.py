@@ -613,27 +613,30 @@ def find_personal(messages: DataFrame, accounts: DataFrame, addresses: DataFrame
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, columns = [], [[] for _ in range(9)]
+            ids, columns = [], [[] for _ in _PROPOSED]
             offsets = [0]
             for k, body, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 names.extra = {x["w"]: x["r"] for x in own} if own else {}
                 found = proposals(body, names)
+                street = -1
                 for t, s, e, votes, *rest in found:
-                    for column, value in zip(columns, (t, s, e, _pattern(t, votes), *rest), strict=True):
+                    for column, value in zip(columns, (t, s, e, _pattern(t, votes), *rest, t != "STREET" or s != street), strict=True):
                         column.append(value)
+                    street = s if t == "STREET" else -1
                 ids.append(k)
                 offsets.append(len(columns[0]))
             spans = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, _PROPOSED.values(), strict=True)], names=list(_PROPOSED))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)], names=["msg_id", "spans"])
 
-    proposed = materialise(bodies.mapInArrow(propose, "msg_id bigint, spans array<struct<t:string,s:int,e:int,p:string,shape:int,word:int,need:array<string>,shun:array<string>,town:string>>"), "personal")
-    # A street counts once, by its first reading.
-    once = proposed.select("msg_id", F.explode(F.filter("spans", lambda x, i: (x["t"] != "STREET") | (i == 0) | F.coalesce((F.get("spans", i - 1)["t"] != "STREET") | (F.get("spans", i - 1)["s"] != x["s"]), F.lit(True)))).alias("x")).select("msg_id", "x.*")
-    patterns = {r["p"]: r["n"] for r in once.groupBy("p").agg(F.count("*").alias("n")).collect()}
-    towns = _towns(once.where(F.col("town") != "").groupBy("town").agg(F.count("*").alias("n")))
+    proposed = materialise(bodies.mapInArrow(propose, "msg_id bigint, spans array<struct<t:string,s:int,e:int,p:string,shape:int,word:int,need:array<string>,shun:array<string>,town:string,first:boolean>>"), "personal")
+    # One count serves all: a street counts once, by its first reading; shapes and words before are those of the sample.
     share = max(1, proposed.count() // sample)
-    some = once.where(F.pmod(F.xxhash64("msg_id"), F.lit(share)) == 0)
-    counted = some.groupBy("t", "p", F.col("shape").alias("s"), F.col("word").alias("w")).agg(F.count("*").alias("n"))
+    once = proposed.select((F.pmod(F.xxhash64("msg_id"), F.lit(share)) == 0).alias("some"), F.explode("spans").alias("x")).where("x.first")
+    sampled = lambda c: F.when(F.col("some"), F.col(c))
+    counts = materialise(once.groupBy("x.t", "x.p", "x.town", sampled("x.shape").alias("s"), sampled("x.word").alias("w")).agg(F.count("*").alias("n")), "counts")
+    patterns = {r["p"]: r["n"] for r in counts.groupBy("p").agg(F.sum("n").alias("n")).collect()}
+    towns = _towns(counts.where(F.col("town") != "").groupBy("town").agg(F.sum("n").alias("n")))
+    counted = counts.where(F.col("s").isNotNull()).groupBy("t", "p", "s", "w").agg(F.sum("n").alias("n"))
     rows = [tuple(r) for r in counted.orderBy(F.desc("n"), "t", "p", "s", "w").toLocalIterator()]
     weights = train_classifier(rows, em_probabilities(patterns))
 
@@ -672,8 +675,8 @@ def find_personal(messages: DataFrame, accounts: DataFrame, addresses: DataFrame
     return proposed.mapInArrow(decide, "msg_id bigint, pii_type string, start_pos int, end_pos int").dropDuplicates()
 
 
-#: Columns of a written proposal.
-_PROPOSED = {"t": pa.string(), "s": pa.int32(), "e": pa.int32(), "p": pa.string(), "shape": pa.int32(), "word": pa.int32(), "need": pa.list_(pa.string()), "shun": pa.list_(pa.string()), "town": pa.string()}
+#: Columns of a written proposal; `first` is false for further readings of a street.
+_PROPOSED = {"t": pa.string(), "s": pa.int32(), "e": pa.int32(), "p": pa.string(), "shape": pa.int32(), "word": pa.int32(), "need": pa.list_(pa.string()), "shun": pa.list_(pa.string()), "town": pa.string(), "first": pa.bool_()}
 
 
 def _towns(pairs: DataFrame, least: int = 3) -> frozenset[str]:
