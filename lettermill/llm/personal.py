@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -169,6 +170,7 @@ def mapped(body: str) -> tuple[str, list[int] | None]:
     return text, (None if begin is None else [*begin, len(body)])
 
 
+@lru_cache(maxsize=1 << 16)
 def _bucket(text: str) -> int:
     return zlib.crc32(text.encode()) % BUCKETS
 
@@ -493,6 +495,7 @@ def proposals(body: str, names: Names) -> list[Proposal]:
     return [(t, at(s), at(e), v, _bucket(_shape(text[s:e])), _bucket(_word_before(text, s)), *(more or ((), (), ""))) for t, s, e, v, *more in out]
 
 
+@lru_cache(maxsize=1 << 12)
 def _pattern(t: str, votes: tuple[int, ...]) -> str:
     return t + ":" + "".join("-0+"[v + 1] for v in votes)
 
@@ -613,18 +616,18 @@ def find_personal(messages: DataFrame, accounts: DataFrame, addresses: DataFrame
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, columns = [], [[] for _ in _PROPOSED]
+            ids, rows = [], []
             offsets = [0]
             for k, body, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 names.extra = {x["w"]: x["r"] for x in own} if own else {}
                 found = proposals(body, names)
                 street = -1
-                for t, s, e, votes, *rest in found:
-                    for column, value in zip(columns, (t, s, e, _pattern(t, votes), *rest, t != "STREET" or s != street), strict=True):
-                        column.append(value)
+                for t, s, e, votes, shape, word, need, shun, town in found:
+                    rows.append((t, s, e, _pattern(t, votes), shape, word, need, shun, town, t != "STREET" or s != street))
                     street = s if t == "STREET" else -1
                 ids.append(k)
-                offsets.append(len(columns[0]))
+                offsets.append(len(rows))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(_PROPOSED)
             spans = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, _PROPOSED.values(), strict=True)], names=list(_PROPOSED))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)], names=["msg_id", "spans"])
 
