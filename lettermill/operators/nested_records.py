@@ -14,6 +14,7 @@ import re
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from json.decoder import scanstring
 
 import pyarrow as pa
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: An element with more names than this is a map from data to data, and a leaf of the graph.
-MOST_NAMES = 200
+#: An element with more names than this may be a map from data to data, which has names of every other element by chance.
+MANY_NAMES = 200
 
 
 @dataclass(frozen=True)
@@ -42,16 +43,23 @@ class SchemaGraph:
     root: str
     edges: list[Edge] = field(default_factory=list)
 
+    @cached_property
+    def below(self) -> dict[str, list[Edge]]:
+        """Element to its edges; they stay as they are once they have been asked for."""
+        out: dict[str, list[Edge]] = defaultdict(list)
+        for e in self.edges:
+            out[e.parent].append(e)
+        return dict(out)
+
     def children(self, element: str) -> list[Edge]:
-        return [e for e in self.edges if e.parent == element]
+        return self.below.get(element, [])
 
     def recursive(self) -> set[str]:
         """Elements that can reach themselves."""
-        next_of = defaultdict(set)
-        for e in self.edges:
-            next_of[e.parent].add(e.child)
+        # Leaves reach nothing, however many there are.
+        next_of = {p: {e.child for e in es if e.child in self.below} for p, es in self.below.items()}
         out = set()
-        for start in {e.parent for e in self.edges}:
+        for start in next_of:
             seen, todo = set(), list(next_of[start])
             while todo:
                 x = todo.pop()
@@ -64,6 +72,10 @@ class SchemaGraph:
 
     def relations(self) -> set[str]:
         """The root and every repeated, shared or recursive element."""
+        return self._relations
+
+    @cached_property
+    def _relations(self) -> set[str]:
         into = defaultdict(set)
         for e in self.edges:
             into[e.child].add((e.parent, e.name))
@@ -108,7 +120,8 @@ class SchemaGraph:
 
 def unify(found: Iterable[tuple[str, str, bool]], root: str, alike: tuple[str, ...] = ()) -> SchemaGraph:
     """The graph of observed (parent, name, many). Names in `alike` hold the root's element again; of others those whose
-    objects have more than half of their own names in common are one element, called by the first of its names."""
+    objects have more than half of their own names in common are one element, called by the first of its names. Of an element
+    with more than MANY_NAMES names these must be more than half of its names too."""
     names: dict[str, set[str]] = defaultdict(set)
     found = sorted(found)
     for parent, name, _ in found:
@@ -120,11 +133,20 @@ def unify(found: Iterable[tuple[str, str, bool]], root: str, alike: tuple[str, .
             e = same[e]
         return e
 
-    holders = [root, *sorted(set(names) - {root})]
+    def are_alike(a: set[str], b: set[str]) -> bool:
+        least, most = sorted((len(a), len(b)))
+        return 2 * len(a & b) > (least if most <= MANY_NAMES else most)
+
+    firsts: dict[frozenset[str], str] = {}
+    for e in sorted(set(names) - {root, *alike}):
+        if (first := firsts.setdefault(frozenset(names[e]), e)) != e:
+            same[e] = first
+    holders = list(firsts.values())
     for i, a in enumerate(holders):
         for b in holders[i + 1 :]:
-            if not {a, b} & {root, *alike} and of(a) != of(b) and 2 * len(names[a] & names[b]) > min(len(names[a]), len(names[b])):
-                same[of(b)] = of(a)
+            if of(a) != of(b) and are_alike(names[a], names[b]):
+                first, second = sorted((of(a), of(b)))
+                same[second] = first
     edges: dict[tuple[str, str, str], bool] = defaultdict(bool)
     for parent, name, many in found:
         # Leaves of one name below different elements are different columns, not one shared element.
@@ -354,6 +376,13 @@ def shred(root: dict, graph: SchemaGraph, steps: dict[str, str], children: Child
     return Shredder(graph, steps, children, with_fields).rows(root)
 
 
+def _of_node(by_name: dict[str, list], node: dict) -> Iterator[tuple]:
+    """What is filed under the names that a node has, whichever are fewer: those of the node or those that are filed."""
+    for name in by_name if len(by_name) <= len(node) else node:
+        if name in node and name in by_name:
+            yield from by_name[name]
+
+
 class Shredder:
     """Rows of the tables of a graph, for one record after the other.
 
@@ -364,16 +393,24 @@ class Shredder:
     def __init__(self, graph: SchemaGraph, steps: dict[str, str], children: Children = mail_children, with_fields: bool = True):
         tables = graph.tables()
         self.root, self.children, self.with_fields = graph.root, children, with_fields
-        self.columns = {e: list(c.items()) for e, c in tables.items()}
+        # Columns and links by the first name of their way, so that a node is asked for the names that it has.
+        self.columns: dict[str, dict[str, list]] = {e: defaultdict(list) for e in tables}
+        for e, columns in tables.items() if with_fields else ():
+            for column, way in columns.items():
+                self.columns[e][way[0]].append((column, way))
         links = {e: graph.links(e) for e in tables}
-        self.links = {e: [(way, x.name, x.child, steps.get(x.name, "".join(f".{n}" for n in [*way, x.name]) + ".{}"), not links[x.child]) for way, x in links[e]] for e in tables}
+        self.links: dict[str, dict[str, list]] = {e: defaultdict(list) for e in tables}
+        for e in tables:
+            for way, x in links[e]:
+                step = steps.get(x.name, "".join(f".{n}" for n in [*way, x.name]) + ".{}")
+                self.links[e][[*way, x.name][0]].append((way, x.name, x.child, step, not links[x.child]))
 
     def fields(self, element: str, node: dict) -> dict[str, str | None] | None:
         """The inlined columns of a row."""
         if not self.with_fields:
             return None
         out = {}
-        for column, way in self.columns[element]:
+        for column, way in _of_node(self.columns[element], node):
             at: object = node
             for name in way:
                 found = self.children(at, name) if isinstance(at, dict) else []
@@ -388,7 +425,7 @@ class Shredder:
             element, node, path, parent, role, ordinal = todo.pop()
             yield element, path, parent, role, ordinal, self.fields(element, node)
             below = []
-            for way, name, child, step, last in self.links[element]:
+            for way, name, child, step, last in _of_node(self.links[element], node):
                 holder: object = node
                 for inner in way:
                     found = self.children(holder, inner) if isinstance(holder, dict) else []
@@ -408,8 +445,8 @@ class Shredder:
 def infer_graph(df: DataFrame, record: str, alike: tuple[str, ...] = MAIL_ALIKE) -> SchemaGraph:
     """The schema graph that the records themselves show: distinct (parent, name, many) over all rows.
 
-    An element with more than MOST_NAMES names is a map and a leaf, so what reaches the driver is bounded by the schema
-    however many rows there are. Unreadable records show nothing; without any the graph is the root alone.
+    Every name of every element counts, also of a root or a map that has any number of them: what reaches the driver is the
+    distinct names of the elements. Unreadable records show nothing; without any the graph is the root alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,8 +460,7 @@ def infer_graph(df: DataFrame, record: str, alike: tuple[str, ...] = MAIL_ALIKE)
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_()))], names=["parent", "name", "many"])
 
     edges = df.select(record).where(F.col(record).isNotNull() & (F.col(record) != "")).mapInArrow(run, "parent string, name string, many boolean").groupBy("parent", "name").agg(F.max("many").alias("many"))
-    narrow = edges.groupBy("parent").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("name", "many"))).alias("names")).where(F.col("n") <= MOST_NAMES)
-    return unify(((r["parent"], x["name"], x["many"]) for r in narrow.select("parent", "names").collect() for x in r["names"]), "root", alike)
+    return unify(((r["parent"], r["name"], r["many"]) for r in edges.toLocalIterator()), "root", alike)
 
 
 def flatten_records(df: DataFrame, key: str, record: str, with_fields: bool = True, graph: SchemaGraph | None = None) -> DataFrame:
@@ -438,8 +474,10 @@ def flatten_records(df: DataFrame, key: str, record: str, with_fields: bool = Tr
     source = df.select(key, record).where(F.col(record).isNotNull() & (F.col(record) != ""))
     graph = graph or infer_graph(source, record)
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *NODE_SCHEMA.fields])
-    kinds = {graph.root: "part"}
-    kinds |= {e.child: "header" if e.name == "headers" else e.name for e in graph.edges if e.child != graph.root}
+
+    def kind(element: str, role: str) -> str:
+        return "part" if element == graph.root else "header" if role == "headers" else role
+
     # A record that was cut off has lost its end.
     best = F.max(F.struct(F.rtrim(record).rlike(r'[}\]"]\z').alias("ended"), F.length(record).alias("length"), F.col(record).alias("record")))
     once = source.groupBy(key).agg(best.alias("m")).select(key, F.col("m.record").alias(record))
@@ -447,7 +485,7 @@ def flatten_records(df: DataFrame, key: str, record: str, with_fields: bool = Tr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def give(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
-            columns = [[kinds[r[0]] for r in rows], *([r[i] for r in rows] for i in range(1, 5)), [None if r[5] is None else list(r[5].items()) for r in rows]]
+            columns = [[kind(r[0], r[3]) for r in rows], *([r[i] for r in rows] for i in range(1, 5)), [None if r[5] is None else list(r[5].items()) for r in rows]]
             return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, arrow, strict=True))], names=schema.fieldNames())
 
         shredder = Shredder(graph, MAIL_STEPS, with_fields=with_fields)

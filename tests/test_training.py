@@ -124,6 +124,20 @@ def test_record_shapes(spark):
     assert {r.node_path for r in flatten_records(df, "k", "j", graph=SchemaGraph("root")).collect()} == {"0"}
 
 
+def test_elements_of_many_names(spark):
+    """A root, a part or a map with any number of names loses nothing, and a map with the names of other elements is none of them."""
+    records = [{f"x-{i}-{k}": {"name": "a", "value": "b"} if k == 7 else "v" for k in range(10)} | {"headers": [["A", "1"]], "content_type": "text/plain", "parts": [{"body": f"b{i}", f"y{i}": 1, "headers": {"B": ["2", "3"]}}]} for i in range(60)]
+    records[0]["meta"] = {f"k{i}": i for i in range(500)} | {"main": 1, "sub": 2, "name": 3, "value": 4}
+    nodes = flatten_records(spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "k int, j string").repartition(3), "k", "j").cache()
+    mine = sorted((r.k, r.node_kind, r.node_path, r.parent_path) for r in nodes.where("node_kind in ('part', 'header')").collect())
+    want = [("part", "0", ""), ("header", "0#0", "0"), ("part", "0.0", "0"), ("header", "0.0#0", "0.0"), ("header", "0.0#1", "0.0")]
+    assert mine == sorted((i, *x) for i in range(60) for x in want)
+    parts = {(r.k, r.node_path): r for r in part_table(nodes, "k").collect()}
+    assert all(parts[i, "0"].content_type_main == "text" and parts[i, "0.0"].body == f"b{i}" for i in range(60))
+    fields = {(r.k, r.node_path): r.fields for r in nodes.where("node_kind = 'part'").collect()}
+    assert fields[3, "0"]["x-3-2"] == "v" and fields[0, "0"]["meta_k499"] == "499" and fields[3, "0.0"]["y3"] == "1"
+
+
 def test_deep_records(spark):
     """The reader and the writer do not recurse; rows come from any depth."""
     n = 100_000
