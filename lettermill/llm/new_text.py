@@ -1,8 +1,10 @@
 """What the sender of a mail newly wrote: history, signatures, device lines and notices marked line by line.
 
-Messages of a thread come together in windows of turns. For each message a generalised suffix automaton over the
-words of the earlier messages of its thread is built; matches with it of many words are inherited text, however the
-lines are wrapped, and mark history whether it has a mark or not. Marks and introductions that mail programs write are
+Messages of a thread come together; a thread too large for that is cut into blocks. For each message a generalised
+suffix automaton over the words of the earlier messages of its thread is built; matches with it of many words are
+inherited text, however the lines are wrapped, and mark history whether it has a mark or not. A match lies in one text,
+so what a message inherits is the union of its matches with each block of its thread, and these are asked for wherever
+message and block have a run of as many words in common. Marks and introductions that mail programs write are
 read from the lines. What is left is stripped of recurring endings: sentences that recur beside notices all over the
 corpus are learnt and belong to notices, lines that recur at the ends of mails of the thread are endings; signatures,
 sign-offs and device lines have their forms.
@@ -12,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import accumulate
 
@@ -24,7 +26,7 @@ from pyspark.sql import Window as W
 from lettermill.llm.encoding import SUSPECT, _table, as_utf8, likely_codecs
 from lettermill.session import materialise
 
-#: Turns of a thread that come together; the later half of a window is seen again by the next one.
+#: Turns of a block of a thread that does not come together.
 WINDOW = 64
 #: Telling words of an inherited match that count as history where no mark says so.
 INHERITED = 15
@@ -271,9 +273,8 @@ def _runs(blank: list[bool]) -> Iterator[list[int]]:
 NONE: frozenset = frozenset()
 
 
-def line_marks(body: str, automaton: SuffixAutomaton | None = None, endings: frozenset[str] = NONE, learnt: frozenset[int] = NONE, common: frozenset[int] = NONE) -> list[int]:
-    """Numbers of the non-blank lines that are not the sender's new text. `endings`: lines that recur at ends of mails of the
-    thread; `learnt` and `common`: keys of sentences that belong to notices, and that many threads have."""
+def _outer_marks(body: str, endings: frozenset[str] = NONE, learnt: frozenset[int] = NONE) -> tuple[list[str], list[bool], list[bool]]:
+    """Lines, which of them are blank, and which are not new by their marks, forms, notices and `endings`."""
     lines = [x.rstrip("\r") for x in _readable(body).split("\n")]
     n = len(lines)
     blank = [not x.strip() for x in lines]
@@ -356,23 +357,44 @@ def line_marks(body: str, automaton: SuffixAutomaton | None = None, endings: fro
     own = [i for i in range(n) if not blank[i] and not old[i]]
     while own and lines[own[-1]].strip() in endings and len(own) > 1:
         old[own.pop()] = True
-    # History without marks: long matches with earlier mails of the thread, however they are wrapped. Words of sentences that
-    # many threads have tell nothing; that is looked at only where there is a match at all.
-    if automaton is not None:
-        runs = list(_runs([gap or mark for gap, mark in zip(blank, old, strict=True)]))
-        found = [(i, _WORD.findall(lines[i].lower())) for run in runs for i in run]
+    return lines, blank, old
+
+
+def _words_left(lines: list[str], blank: list[bool], old: list[bool]) -> tuple[list[list[int]], list[tuple[int, list[str]]]]:
+    """Runs of the lines that are neither blank nor marked, and the words of each of these lines."""
+    runs = list(_runs([gap or mark for gap, mark in zip(blank, old, strict=True)]))
+    return runs, [(i, _WORD.findall(lines[i].lower())) for run in runs for i in run]
+
+
+def _telling(lines: list[str], runs: list[list[int]], common: frozenset[int]) -> list[bool]:
+    """For each word of the runs whether it tells anything: those of sentences that many threads have do not."""
+    telling: list[bool] = []
+    for run in runs:
+        for sentence in _sentences(" ".join(lines[i].strip() for i in run)):
+            telling += [sentence_key(sentence) not in common] * len(_WORD.findall(sentence.lower()))
+    return telling
+
+
+def line_marks(body: str, automaton: SuffixAutomaton | None = None, endings: frozenset[str] = NONE, learnt: frozenset[int] = NONE, common: frozenset[int] = NONE, far: Sequence[tuple[int, int]] = ()) -> list[int]:
+    """Numbers of the non-blank lines that are not the sender's new text. `endings`: lines that recur at ends of mails of the
+    thread; `learnt` and `common`: keys of sentences that belong to notices, and that many threads have; `far`: ranges of the
+    words left that are inherited from mails that the automaton doesn't have."""
+    lines, blank, old = _outer_marks(body, endings, learnt)
+    n = len(lines)
+    # History without marks: long matches with earlier mails of the thread, however they are wrapped. What words tell is looked
+    # at only where there is a match at all.
+    if automaton is not None or far:
+        runs, found = _words_left(lines, blank, old)
         words = [w for _, ws in found for w in ws]
-        if len(words) >= INHERITED and any(hits := automaton.inherited(words, INHERITED)):
-            if common:
-                telling: list[bool] = []
-                for run in runs:
-                    for sentence in _sentences(" ".join(lines[i].strip() for i in run)):
-                        telling += [sentence_key(sentence) not in common] * len(_WORD.findall(sentence.lower()))
-                hits = automaton.inherited(words, INHERITED, telling)
-            at = 0
-            for i, ws in found:
-                old[i] = 2 * sum(hits[at : at + len(ws)]) > len(ws)
-                at += len(ws)
+        hits = [False] * len(words)
+        if automaton is not None and len(words) >= INHERITED and any(hits := automaton.inherited(words, INHERITED)) and common:
+            hits = automaton.inherited(words, INHERITED, _telling(lines, runs, common))
+        for start, end in far:
+            hits[start:end] = [True] * (end - start)
+        at = 0
+        for i, ws in found:
+            old[i] = 2 * sum(hits[at : at + len(ws)]) > len(ws)
+            at += len(ws)
     # Rules that only fence what has been marked.
     for i in range(n):
         if not old[i] and RULE.match(lines[i]) and not blank[i]:
@@ -417,41 +439,52 @@ def _mark_signature(lines: list[str], p: list[int], old: list[bool], last: bool)
     return None
 
 
+def _ending_like(x: str) -> bool:
+    return not (len(x) > 60 or re.search(r"[.!?。:,]$", x) or len(x.split()) > 7)
+
+
 def _tail(body: str) -> list[str]:
     """Short lines at the end of what is not marked as quoted, that are no sentences."""
     own = [x.strip() for x in body.split("\n") if x.strip() and not QUOTE.match(x)]
     out = []
     for x in reversed(own[-12:]):
-        if len(x) > 60 or re.search(r"[.!?。:,]$", x) or len(x.split()) > 7:
+        if not _ending_like(x):
             break
         out.append(x)
     return out
 
 
+def _source_words(body: str) -> list[str]:
+    """The words that later mails may have inherited from this one."""
+    return _WORD.findall(" ".join(x for x in body.lower().split("\n") if not QUOTE.match(x)))
+
+
 def thread_lines(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-    """(msg_id, line) of lines that are not new, of one window of a thread: rows of turn, msg_id, body, own (whether to answer
-    for it), and the keys of its sentences that are learnt, and common."""
+    """(msg_id, line) of lines that are not new, of a thread or one block of it: rows of turn, msg_id, body, the keys of its
+    sentences that are learnt, and common; and of a block the lines that are endings in the thread, and the ranges of words
+    that are inherited from other blocks."""
     rows.sort(key=lambda r: (r[0], r[1]))
     seen: dict[str, set[int]] = {}
     for _, k, body, *_ in rows if len(rows) > 1 else ():
         for line in _tail(body):
             seen.setdefault(line, set()).add(k)
-    endings = frozenset(x for x, who in seen.items() if len(who) > 1)
+    together = frozenset(x for x, who in seen.items() if len(who) > 1)
     automaton: SuffixAutomaton | None = None
-    for n, (_, k, body, own, learnt, common) in enumerate(rows, 1):
-        if own:
-            for i in line_marks(body, automaton, endings, frozenset(learnt or ()), frozenset(common or ())):
-                yield k, i
+    for n, (_, k, body, learnt, common, endings, far) in enumerate(rows, 1):
+        ranges = [(r["s"], r["e"]) for r in far or ()]
+        for i in line_marks(body, automaton, together if endings is None else frozenset(endings), frozenset(learnt or ()), frozenset(common or ()), ranges):
+            yield k, i
         if n < len(rows):
             automaton = automaton or SuffixAutomaton()
-            automaton.add(_WORD.findall(" ".join(x for x in body.lower().split("\n") if not QUOTE.match(x))))
+            automaton.add(_source_words(body))
 
 
 #: Threads that must have a sentence before it may be learnt, or is common; the share of its paragraphs that speak of a notice
 #: by another sentence; and how often what has been learnt is used to learn more.
 LEARNT_THREADS, COMMON_THREADS, LEARNT_SHARE, LEARNT_ROUNDS = 5, 3, 0.8, 2
-#: Messages of one window of a thread that come together; more of one turn, or of broken turns, are parted by a hash.
-MOST_TOGETHER = 2048
+#: Messages, and characters of their bodies, that come together. Larger threads are cut into blocks of WINDOW turns; more of one
+#: turn, or of broken turns, are parted by a hash.
+MOST_TOGETHER, MOST_CHARACTERS = 2048, 1 << 20
 
 
 def _thread() -> Column:
@@ -499,11 +532,11 @@ def old_lines(messages: DataFrame) -> DataFrame:
     """`msg_id`, `line_no` of each non-blank line of `body` that is not the sender's new text.
 
     Null and empty bodies give no row; a message that was taken in twice counts once (of different bodies under one
-    id the first in order of thread, turn and body holds). Threads are cut into windows of WINDOW turns, so that a thread
-    of any length, and a key that holds a third of all rows, is spread over tasks; messages without a thread or a turn
-    stand alone. History without a mark is looked for in the WINDOW / 2 turns before, at least.
+    id the first in order of thread, turn and body holds). A thread of any length, and a key that holds a third of all
+    rows, is spread over tasks, as large threads are cut into blocks; messages without a thread or a turn stand alone.
+    History without a mark is looked for in all earlier messages of the thread.
     """
-    return _marked_lines(chosen_bodies(messages))
+    return _marked_lines(materialise(chosen_bodies(messages), "bodies"))
 
 
 def chosen_bodies(messages: DataFrame) -> DataFrame:
@@ -514,19 +547,115 @@ def chosen_bodies(messages: DataFrame) -> DataFrame:
     )
 
 
+def _blocks(chosen: DataFrame) -> DataFrame | None:
+    """`thread`, `w`, `parts` of the windows of threads that are too large to come together; none if there is no such thread."""
+    size = F.count("*").alias("n"), F.sum(F.length("body")).alias("chars")
+    large = chosen.groupBy(_thread().alias("thread")).agg(*size).where((F.col("n") > MOST_TOGETHER) | ((F.col("chars") > MOST_CHARACTERS) & (F.col("n") > 1)))
+    large = materialise(large.select("thread"), "large")
+    if large.isEmpty():
+        return None
+    parts = F.ceil(F.greatest(F.col("n") / MOST_TOGETHER, F.col("chars") / MOST_CHARACTERS, F.lit(1.0))).alias("parts")
+    windows = chosen.select(_thread().alias("thread"), _window().alias("w"), "body").join(large, "thread", "left_semi")
+    return materialise(windows.groupBy("thread", "w").agg(*size).select("thread", "w", parts), "blocks")
+
+
+def _window() -> Column:
+    return F.floor(F.coalesce("turn", F.lit(0)) / WINDOW).cast("bigint")
+
+
+_BLOCK = ["thread", "w", "part"]
+
+
+def _thread_endings(placed: DataFrame) -> DataFrame:
+    """`msg_id`, `endings`: lines of each message that recur at the ends of mails of its thread, over all its blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, lines, tails = [], [], []
+            for n, body in enumerate(batch.column(2).to_pylist()):
+                tail = set(_tail(body))
+                for x in tail | {y for x in _readable(body).split("\n") if (y := x.strip()) and _ending_like(y)}:
+                    at.append(n)
+                    lines.append(x)
+                    tails.append(x in tail)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(lines, pa.string()), pa.array(tails, pa.bool_())], names=["msg_id", "thread", "line", "tail"])
+
+    lines = materialise(placed.select("msg_id", "thread", "body").mapInArrow(run, "msg_id bigint, thread string, line string, tail boolean"), "ends")
+    ends = lines.where("tail").groupBy("thread", "line").agg(F.count("*").alias("n")).where("n > 1").select("thread", "line")
+    return lines.join(ends, ["thread", "line"], "left_semi").groupBy("msg_id").agg(F.collect_set("line").alias("endings"))
+
+
+def _shingles(words: str) -> Column:
+    """Hashes of the runs of INHERITED words of a text, each once."""
+    there = F.split(words, " ")
+    runs = F.transform(F.sequence(F.lit(1), F.size(there) - (INHERITED - 1)), lambda i: F.xxhash64(F.slice(there, i, INHERITED)))
+    return F.array_distinct(F.when(F.size(there) >= INHERITED, runs).otherwise(F.array().cast("array<bigint>")))
+
+
+def _inherited_from_afar(placed: DataFrame) -> DataFrame:
+    """`msg_id`, `far`: ranges of the words left of each message that earlier messages in other blocks of its thread have.
+
+    A match of INHERITED words or more has a run of so many that both texts have, so a message is compared with those blocks
+    alone that have one of its runs in an earlier message; the hashes only spare comparisons.
+    """
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sources, left, tell = [], [], []
+            for body, endings, learnt, common in zip(*(batch.column(i).to_pylist() for i in range(5, 9)), strict=True):
+                lines, blank, old = _outer_marks(body, frozenset(endings or ()), frozenset(learnt or ()))
+                runs, found = _words_left(lines, blank, old)
+                sources.append(" ".join(_source_words(body)))
+                left.append(" ".join(w for _, ws in found for w in ws))
+                tell.append("".join("01"[t] for t in _telling(lines, runs, frozenset(common or ()))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sources, pa.string()), pa.array(left, pa.string()), pa.array(tell, pa.string())], names=[*_BLOCK, "turn", "msg_id", "source", "words", "telling"])
+
+    texts = placed.select(*_BLOCK, "turn", "msg_id", "body", "endings", "learnt", "common").mapInArrow(words, "thread string, w bigint, part bigint, turn bigint, msg_id bigint, source string, words string, telling string")
+    texts = materialise(texts, "words")
+    at = F.struct("turn", "msg_id")
+    first = texts.select(*_BLOCK, at.alias("at"), F.explode(_shingles("source")).alias("h")).groupBy(*_BLOCK, "h").agg(F.min("at").alias("first"))
+    asked = texts.where(F.length(F.replace("telling", F.lit("0"), F.lit(""))) >= INHERITED)
+    asking = asked.select("thread", F.col("w").alias("own_w"), F.col("part").alias("own_part"), at.alias("at"), F.explode(_shingles("words")).alias("h"))
+    met = asking.join(first, ["thread", "h"]).where(((F.col("w") != F.col("own_w")) | (F.col("part") != F.col("own_part"))) & (F.col("first") < F.col("at")))
+    pairs = materialise(met.select(*_BLOCK, F.col("at.msg_id").alias("msg_id")).distinct(), "pairs")
+    queries = pairs.join(asked.select("msg_id", "turn", "words", "telling"), "msg_id").select(*_BLOCK, "turn", "msg_id", "words", "telling")
+    sources = texts.join(pairs.select(*_BLOCK).distinct(), _BLOCK, "left_semi").select(*_BLOCK, "turn", "msg_id", F.col("source").alias("words"), F.lit(None).cast("string").alias("telling"))
+    ordered = sources.unionByName(queries).repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "turn", "msg_id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, automaton = None, SuffixAutomaton()
+        for batch in batches:
+            ids, starts, ends = [], [], []
+            for thread, w, part, _, k, text, telling in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (thread, w, part) != now:
+                    now, automaton = (thread, w, part), SuffixAutomaton()
+                there = text.split()
+                if telling is None:
+                    automaton.add(there)
+                    continue
+                hits = automaton.inherited(there, INHERITED, [t == "1" for t in telling])
+                for run in _runs([not hit for hit in hits]):
+                    ids.append(k)
+                    starts.append(run[0])
+                    ends.append(run[-1] + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["msg_id", "s", "e"])
+
+    return ordered.mapInArrow(compare, "msg_id bigint, s int, e int").groupBy("msg_id").agg(F.collect_set(F.struct("s", "e")).alias("far"))
+
+
 def _marked_lines(chosen: DataFrame) -> DataFrame:
     source = chosen.join(sentence_marks(chosen), "msg_id", "left")
-    turn = F.coalesce("turn", F.lit(0))
-    window = F.floor(turn / WINDOW).cast("bigint")
-    late = turn % WINDOW >= WINDOW // 2
-    copies = F.when(late, F.array(F.struct(window.alias("w"), F.lit(True).alias("own")), F.struct((window + 1).alias("w"), F.lit(False).alias("own")))).otherwise(
-        F.array(F.struct(window.alias("w"), F.lit(True).alias("own")))
-    )
-    crowded = chosen.groupBy(_thread().alias("thread"), window.alias("w")).agg(F.count("*").alias("n")).where(F.col("n") > MOST_TOGETHER).select("thread", F.explode(F.array(F.col("w"), F.col("w") + 1)).alias("w"), F.ceil(F.col("n") / MOST_TOGETHER).alias("parts"))
-    crowded = crowded.groupBy("thread", "w").agg(F.max("parts").alias("parts"))
-    spread = source.select(_thread().alias("thread"), turn.alias("turn"), "msg_id", "body", "learnt", "common", F.explode(copies).alias("c")).select("thread", F.col("c.w").alias("w"), "turn", "msg_id", "body", F.col("c.own").alias("own"), "learnt", "common")
-    parted = spread.join(crowded, ["thread", "w"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("msg_id"), F.col("parts")), F.lit(0))).drop("parts")
-    sorted_ = parted.select("thread", "w", "part", "turn", "msg_id", "body", "own", "learnt", "common").repartition("thread", "w", "part").sortWithinPartitions("thread", "w", "part", "turn", "msg_id")
+    source = source.select(_thread().alias("thread"), _window().alias("w"), F.coalesce("turn", F.lit(0)).cast("bigint").alias("turn"), "msg_id", "body", "learnt", "common")
+    blocks = _blocks(chosen)
+    alone = source if blocks is None else source.join(blocks.select("thread").distinct(), "thread", "left_anti")
+    given = alone.select("thread", F.lit(0).cast("bigint").alias("w"), F.lit(0).cast("bigint").alias("part"), "turn", "msg_id", "body", "learnt", "common", F.lit(None).cast("array<string>").alias("endings"), F.lit(None).cast("array<struct<s: int, e: int>>").alias("far"))
+    if blocks is not None:
+        placed = materialise(source.join(blocks, ["thread", "w"]).withColumn("part", F.pmod(F.xxhash64("msg_id"), F.col("parts"))).drop("parts"), "placed")
+        ended = placed.join(_thread_endings(placed), "msg_id", "left").withColumn("endings", F.coalesce("endings", F.array().cast("array<string>")))
+        ended = materialise(ended, "ended")
+        given = given.unionByName(ended.join(_inherited_from_afar(ended), "msg_id", "left").select(given.columns))
+    sorted_ = given.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "turn", "msg_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -563,7 +692,7 @@ def new_text(messages: DataFrame) -> DataFrame:
     The body is the one that `old_lines` marks; messages with nothing but null and blank bodies have an empty text if
     one of these is not null, else no row.
     """
-    chosen = chosen_bodies(messages)
+    chosen = materialise(chosen_bodies(messages), "bodies")
     marks = _marked_lines(chosen).groupBy("msg_id").agg(F.collect_set("line_no").alias("marks"))
     blank = messages.where(F.col("body").isNotNull()).select("msg_id").distinct()
     lines = F.split("body", "\n", -1)

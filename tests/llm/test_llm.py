@@ -120,6 +120,40 @@ def test_long_thread_is_cut(spark):
     assert got.count() == 200 and got.where("line_no = 2").count() == 200
 
 
+def test_history_from_far_back(spark, monkeypatch):
+    """A mail is compared with every earlier one of its thread: a hundred turns before it, and in another part of a crowded turn."""
+    old = "the spare rotor left the workshop on tuesday and will reach the northern gate before the end of the month"
+    rows = [(0, 1, 0, old), *((i, 1, i, f"note {i}") for i in range(1, 150)), (150, 1, 150, "Good.\n\n" + old.replace(" will", "\nwill"))]
+    rows += [(1000 + k, 2, 0, old.replace("rotor", "stator")) if k == 0 else (1000 + k, 2, 0, f"word {k}.\n\n{old.replace('rotor', 'stator')}" if k == 99 else f"word {k}") for k in range(100)]
+    df = spark.createDataFrame(rows, "msg_id bigint, conv_id bigint, turn bigint, body string")
+    for most in (5000, 10):
+        monkeypatch.setattr(new_text, "MOST_TOGETHER", most)
+        assert {(r.msg_id, r.line_no) for r in new_text.old_lines(df).collect()} == {(150, 2), (150, 3), (1099, 2)}
+
+
+def test_blocks_are_the_whole_thread(spark, monkeypatch):
+    """Cut into blocks or whole, a thread gives the same lines: inherited runs, words that tell nothing, endings."""
+    rng = random.Random(7)
+    shared = [" ".join(rng.choice("abcdefgh") * 2 + str(rng.randint(0, 9)) for _ in range(rng.randint(9, 16))) + "." for _ in range(60)]
+    common = [f"This sentence number {'abc'[k]} stands in a great many of the threads." for k in range(3)]
+    rows = []
+    for c in range(5):
+        for t in range(40):
+            said = [rng.choice(shared[12 * c : 12 * c + 12] + common) if rng.random() < 0.8 else f"own words of {c} and {t} here." for _ in range(rng.randint(1, 6))]
+            rows.append((100 * c + t, c, t // 3 if c % 2 else t, rng.choice([" ", "\n", "\n\n"]).join(said) + rng.choice(["", "\n\nOfficina Nord", "\n\nOfficina Nord\nGate 4"])))
+    df = spark.createDataFrame(rows, "msg_id bigint, conv_id bigint, turn bigint, body string")
+    whole = {(r.msg_id, r.line_no) for r in new_text.old_lines(df).collect()}
+    seen = []
+    keep = new_text._inherited_from_afar
+    monkeypatch.setattr(new_text, "_inherited_from_afar", lambda placed: seen.append(keep(placed).count()) or keep(placed))
+    for window, most, characters in ((4, 6, 1 << 20), (64, 1 << 20, 600)):
+        monkeypatch.setattr(new_text, "WINDOW", window)
+        monkeypatch.setattr(new_text, "MOST_TOGETHER", most)
+        monkeypatch.setattr(new_text, "MOST_CHARACTERS", characters)
+        assert {(r.msg_id, r.line_no) for r in new_text.old_lines(df).collect()} == whole
+    assert len(seen) == 2 and min(seen) > 20 and len(whole) > 100, (seen, len(whole))
+
+
 # Personal information
 
 NAMES = personal.Names(frozenset({"rosa", "peter", "will", "zoë"}), frozenset({"quist", "jörbury"}))
