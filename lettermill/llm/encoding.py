@@ -4,8 +4,9 @@ Candidates are chains of steps, each of which takes the characters back to the b
 by another. Every candidate is compressed with a zstandard dictionary of each language; the chain with the least
 description length, its own cost included, holds, and where no chain pays for itself the text stays as it is. The pairs
 of characters that a language has only prune: a step must leave fewer strange pairs than there were, and as compressed
-lengths are whole bytes, a text without any may be as long as the garbled one to the byte. Dictionaries are trained on
-a bounded sample of texts without suspicious characters; the pairs are counted over all texts. Only texts in which neighbouring
+lengths are whole bytes, a text without any may be as long as the garbled one to the byte. Pairs and words are counted
+over all texts; a dictionary, which has a stated size, is trained on the words of its language as often as they occur in
+proportion. Only texts in which neighbouring
 characters are unusual come to Python at all: that test is a regular expression in the JVM.
 """
 
@@ -21,6 +22,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lettermill.session import materialise, spread
 
@@ -332,32 +334,103 @@ def _clean_lines(text: str, source: str, plain: bool = True) -> Iterator[tuple[s
         yield source or _language(line), line
 
 
-def usual_pairs(texts: DataFrame, share: float = USUAL_SHARE) -> dict[str, frozenset[str]]:
-    """The usual pairs of characters of each language, counted over all lines of `texts` (`source`, which is `names` or empty, and
-    `text`). The driver is given those alone that are usual: of a language 1 / `share` times the pairs of a line at most."""
+#: Words with the blank before them; what is written without blanks is cut where the script changes.
+_TOKEN = re.compile("[\u3040-\u309f]+|[\u30a0-\u30ff]+|[\u3400-\u9fff]{1,4}|\\s?[^\\s\u3040-\u30ff\u3400-\u9fff]+")
+#: Languages whose clean lines look suspicious now and then, and are trained on all the same.
+_ODD_LANGUAGES = ("pt", "pl", "de")
+
+
+def count_texts(texts: DataFrame) -> DataFrame:
+    """`language`, `kind`, `item`, `n`: pairs of characters by the lines that have them (`pair`; `line` has the number of lines),
+    and words by their places (`word`), counted over all lines of `texts` (`source`, which is `names` or empty, and `text`)
+    that have a character beyond ASCII. Lines without any are the same in every reading and never looked at."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+
+        def taken() -> pd.DataFrame:
+            out = pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["language", "kind", "item", "n"])
+            counts.clear()
+            return out
+
         for batch in batches:
-            counts: Counter = Counter()
             for source, text in batch.itertuples(index=False, name=None):
                 for language, line in _clean_lines(text, source, plain=False):
                     if there := set(pairs(line)):
-                        counts[language, ""] += 1
-                        counts.update((language, p) for p in there)
-            yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["language", "pair", "n"])
+                        counts[language, "line", ""] += 1
+                        counts.update((language, "pair", p) for p in there)
+                    if language in _ODD_LANGUAGES or not SUSPECT.search(line):
+                        counts.update((language, "word", w) for w in _TOKEN.findall(line))
+            if len(counts) > 200_000:
+                yield taken()
+        yield taken()
 
     high = texts.where(F.col("text").rlike("[^\\x00-\\x7f]")).select("source", "text")
-    counted = materialise(high.mapInPandas(count, "language string, pair string, n bigint").groupBy("language", "pair").agg(F.sum("n").alias("n")), "pairs")
-    number = {r["language"]: r["n"] for r in counted.where(F.col("pair") == "").collect()}
+    return materialise(high.mapInPandas(count, "language string, kind string, item string, n bigint").groupBy("language", "kind", "item").agg(F.sum("n").alias("n")), "counts")
+
+
+def _usual(counted: DataFrame, share: float) -> dict[str, frozenset[str]]:
+    number = {r["language"]: r["n"] for r in counted.where(F.col("kind") == "line").collect()}
     enough = F.lit(False)
     for language, n in number.items():
         enough = enough | ((F.col("language") == language) & (F.col("n") >= max(3, share * n)))
     out: dict[str, set[str]] = {language: set() for language in number}
-    for r in counted.where((F.col("pair") != "") & enough).toLocalIterator():
-        out[r["language"]].add(r["pair"])
+    for r in counted.where((F.col("kind") == "pair") & enough).toLocalIterator():
+        out[r["language"]].add(r["item"])
     return {k: frozenset(v) for k, v in out.items()}
 
 
+def usual_pairs(texts: DataFrame, share: float = USUAL_SHARE) -> dict[str, frozenset[str]]:
+    """The usual pairs of characters of each language, counted over all lines of `texts` (`source`, which is `names` or empty, and
+    `text`). The driver is given those alone that are usual: of a language 1 / `share` times the pairs of a line at most."""
+    return _usual(count_texts(texts), share)
+
+
+def _is_usual(word: str, usual: frozenset[str]) -> bool:
+    """Whether the pairs inside a word are usual; what stands beside its ends is not known."""
+    there = pairs(word)
+    return all(p in usual for p in there[not word[0].isascii() : len(there) - (not word[-1].isascii())])
+
+
+def _training_lines(words: list[tuple[str, int]], places: int = 400_000, together: int = 10) -> list[bytes]:
+    """Lines of `together` words, in which each word stands as often as it was counted, or in proportion if that is more than
+    `places` in all, but once at least, and evenly spread."""
+    scale = min(1.0, places / max(1, sum(n for _, n in words)))
+    spread_ = sorted(((i + 0.5) / k, w) for w, n in words for k in (max(1, round(n * scale)),) for i in range(k))
+    return ["".join(w for _, w in spread_[i : i + together]).encode() for i in range(0, len(spread_), together)]
+
+
+def counted_dictionaries(counted: DataFrame, known: dict[str, frozenset[str]], size: int = 48_000) -> dict[str, tuple[bytes, frozenset[str]]]:
+    """A dictionary of `size` bytes for each language of `count_texts`, and one for names, with the pairs `known` of it.
+
+    The words are those that have usual pairs alone. The most frequent come to the driver, half as many as the bytes of a
+    dictionary, which has no room for more.
+    """
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[_is_usual(w, known.get(language, frozenset())) for language, w in zip(batch["language"], batch["item"], strict=True)]]
+
+    words = counted.where(F.col("kind") == "word").select("language", "item", "n").mapInPandas(clean, "language string, item string, n bigint")
+    rank = F.row_number().over(W.partitionBy("language").orderBy(F.desc("n"), "item"))
+    by_language: dict[str, list[tuple[str, int]]] = defaultdict(list)
+    for r in words.withColumn("rank", rank).where(F.col("rank") <= size // 2).orderBy("language", "rank").collect():
+        by_language[r["language"]].append((r["item"], r["n"]))
+    out = {language: (_dictionary(_training_lines(by_language[language]), usual, size), usual) for language, usual in sorted(known.items())}
+    return {language: (data, usual) for language, (data, usual) in out.items() if len(data) >= 8}
+
+
+def _dictionary(samples: list[bytes], usual: frozenset[str], size: int) -> bytes:
+    """A dictionary trained on samples; of few of them, or none, these or the usual pairs themselves."""
+    data = b""
+    if len(samples) > 200:
+        try:
+            data = zstandard.train_dictionary(size, samples).as_bytes()
+        except zstandard.ZstdError:  # too little to train on
+            pass
+    return data or b"\n".join(reversed(samples))[-size:] or "".join(sorted(usual)).encode()
+
+
 def train_dictionaries(texts: list[str], names: list[str], size: int = 48_000, share: float = USUAL_SHARE, known: dict[str, frozenset[str]] | None = None) -> dict[str, tuple[bytes, frozenset[str]]]:
     """A dictionary of `size` bytes for each language of `texts`, and one for names, with the pairs of characters that are usual there.
 
@@ -374,7 +447,7 @@ def train_dictionaries(texts: list[str], names: list[str], size: int = 48_000, s
                 if known is None and (there := set(pairs(line))):
                     number[language] += 1
                     counts[language].update(there)
-                if not SUSPECT.search(line) or language in ("pt", "pl", "de"):
+                if not SUSPECT.search(line) or language in _ODD_LANGUAGES:
                     by_language[language][line] = None
     if known is None:
         known = {language: frozenset(p for p, n in c.items() if n >= max(3, share * number[language])) for language, c in counts.items()}
@@ -383,13 +456,7 @@ def train_dictionaries(texts: list[str], names: list[str], size: int = 48_000, s
         lines, usual = by_language.get(language, {}), known.get(language, frozenset())
         clean = [x for x in lines if all(p in usual for p in pairs(x))]
         samples = [x.encode() for x in clean if not x.isascii()] * 2 + [x.encode() for x in clean if x.isascii()]
-        data = b""
-        if len(samples) > 200:
-            try:
-                data = zstandard.train_dictionary(size, samples).as_bytes()
-            except zstandard.ZstdError:  # too little to train on
-                pass
-        data = data or b"\n".join(reversed(samples))[-size:] or "".join(sorted(usual)).encode()
+        data = _dictionary(samples, usual, size)
         if len(data) >= 8:
             out[language] = data, usual
     return out
@@ -438,17 +505,22 @@ def text_records(headers: DataFrame, messages: DataFrame, addresses: DataFrame)
     return subject.unionByName(body).unionByName(name)
 
 
-def garbled_records(headers: DataFrame, messages: DataFrame, addresses: DataFrame, sample: int = 6_000) -> DataFrame:
+def garbled_records(headers: DataFrame, messages: DataFrame, addresses: DataFrame, sample: int | None = None) -> DataFrame:
     """field_name, rec_id, restored, is_restored of every garbled subject, body and display name; repeated records count once.
 
-    The usual pairs of characters are counted over all records. The zstandard dictionaries alone are made from `sample`
-    texts of each field, whole, chosen by a hash. Suspicious records are spread by a hash of their keys before they are
-    looked at, as they cost much and may lie together.
+    The usual pairs of characters, and the words that the zstandard dictionaries are made from, are counted over all
+    records. Who wants it cheaper gives `sample`: then the dictionaries alone are made from so many texts of each field,
+    whole, chosen by a hash. Suspicious records are spread by a hash of their keys before they are looked at, as they cost
+    much and may lie together.
     """
     records = text_records(headers, messages, addresses).where(F.col("text").isNotNull())
-    known = usual_pairs(spread(records.select(F.when(F.col("field_name") == "display_name", "names").otherwise("").alias("source"), "text")))
-    texts = _sample(messages, "msg_id", "body", sample) + _sample(headers.where(F.lower("hname") == "subject"), "msg_id", "decoded", sample)
-    dictionaries = train_dictionaries(texts, _sample(addresses, "addr_id", "display_name", sample), known=known)
+    counted = count_texts(spread(records.select(F.when(F.col("field_name") == "display_name", "names").otherwise("").alias("source"), "text")))
+    known = _usual(counted, USUAL_SHARE)
+    if sample is None:
+        dictionaries = counted_dictionaries(counted, known)
+    else:
+        texts = _sample(messages, "msg_id", "body", sample) + _sample(headers.where(F.lower("hname") == "subject"), "msg_id", "decoded", sample)
+        dictionaries = train_dictionaries(texts, _sample(addresses, "addr_id", "display_name", sample), known=known)
     tasks = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), records.sparkSession.sparkContext.defaultParallelism)
     some = records.where(suspicious(F.col("text"))).repartition(tasks, "field_name", "rec_id", F.xxhash64("text")).dropDuplicates()
     return restore_texts(some, dictionaries, ["field_name", "rec_id"], "text").dropDuplicates(["field_name", "rec_id", "restored"])

@@ -390,6 +390,25 @@ def test_usual_pairs_are_of_all_records(spark):
     assert seen[0]["en"][1] == got["en"] and len(got["en"]) > 3
 
 
+def test_dictionaries_are_of_all_records(spark):
+    """Words of a few of many texts are in the dictionary, and are counted as often as they stand there."""
+    rare = [f"na\u00efvet\u00e9{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    lines = [(50_000 + 3 * i + k, f"the {w} of {k}") for i, w in enumerate(rare) for k in range(3)]
+    messages = spark.range(30_000).select(F.col("id").alias("msg_id"), F.concat(F.lit("hello "), F.col("id").cast("string")).alias("body")).unionByName(spark.createDataFrame(lines, "msg_id bigint, body string"))
+    headers, addresses = spark.createDataFrame([], "msg_id bigint, hname string, decoded string"), spark.createDataFrame([], "addr_id bigint, display_name string")
+    seen = []
+    keep, encoding.restore_texts = encoding.restore_texts, lambda r, d, *a: seen.append(d) or keep(r, d, *a)
+    try:
+        assert encoding.garbled_records(headers, messages, addresses).count() == 0
+    finally:
+        encoding.restore_texts = keep
+    assert [w for w in rare if w.encode() not in seen[0]["en"][0]] == []
+    counted = encoding.count_texts(messages.select(F.lit("").alias("source"), F.col("body").alias("text")).repartition(5))
+    got = {r["item"]: r["n"] for r in counted.where("kind = 'word'").collect()}
+    assert got == {"the": 180, " of": 180, **{f" {k}": 60 for k in range(3)}, **{f" {w}": 3 for w in rare}}
+    assert encoding._training_lines([("a", 30), ("b", 10)], places=8, together=4) == [b"aaba", b"aaba"]
+
+
 def test_garbled_records(spark):
     subjects = [(i, "Subject" if i % 2 else "SUBJECT", f"Réunion à l’entrepôt {i}") for i in range(40)] + [(50, "subject", "RÃ©union Ã\xa0 lâ€™entrepÃ´t"), (50, "subject", "RÃ©union Ã\xa0 lâ€™entrepÃ´t"), (51, "subject", None), (52, "To", "RÃ©union")]
     headers = spark.createDataFrame(subjects, "msg_id bigint, hname string, decoded string")
