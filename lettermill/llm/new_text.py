@@ -27,7 +27,7 @@ from lettermill.llm.encoding import SUSPECT, _table, as_utf8, likely_codecs
 from lettermill.session import materialise
 
 #: Turns of a block of a thread that does not come together.
-WINDOW = 64
+WINDOW = 1024
 #: Telling words of an inherited match that count as history where no mark says so.
 INHERITED = 15
 
@@ -463,7 +463,7 @@ def thread_lines(rows: list[tuple]) -> Iterator[tuple[int, int]]:
     """(msg_id, line) of lines that are not new, of a thread or one block of it: rows of turn, msg_id, body, the keys of its
     sentences that are learnt, and common; and of a block the lines that are endings in the thread, and the ranges of words
     that are inherited from other blocks."""
-    rows.sort(key=lambda r: (r[0], r[1]))
+    rows.sort(key=lambda r: (r[0], r[1] is not None, r[1]))
     seen: dict[str, set[int]] = {}
     for _, k, body, *_ in rows if len(rows) > 1 else ():
         for line in _tail(body):
@@ -587,17 +587,18 @@ def _thread_endings(placed: DataFrame) -> DataFrame:
 
 
 def _shingles(words: str) -> Column:
-    """Hashes of the runs of INHERITED words of a text, each once."""
+    """Hashes of the runs of INHERITED words of a text, by their first word."""
     there = F.split(words, " ")
     runs = F.transform(F.sequence(F.lit(1), F.size(there) - (INHERITED - 1)), lambda i: F.xxhash64(F.slice(there, i, INHERITED)))
-    return F.array_distinct(F.when(F.size(there) >= INHERITED, runs).otherwise(F.array().cast("array<bigint>")))
+    return F.when(F.size(there) >= INHERITED, runs).otherwise(F.array().cast("array<bigint>"))
 
 
 def _inherited_from_afar(placed: DataFrame) -> DataFrame:
-    """`msg_id`, `far`: ranges of the words left of each message that earlier messages in other blocks of its thread have.
+    """`msg_id`, `far`: ranges of the words left of each message that earlier messages of its thread have, in other blocks at least.
 
-    A match of INHERITED words or more has a run of so many that both texts have, so a message is compared with those blocks
-    alone that have one of its runs in an earlier message; the hashes only spare comparisons.
+    A match consists of runs of INHERITED words that both texts have. Where all words of them are telling, the runs that any
+    earlier message has are all that is inherited. A match with a run of which some words tell nothing must have its telling
+    ones elsewhere in the same text, so the message is compared with each block that has such a run in an earlier message.
     """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -614,12 +615,16 @@ def _inherited_from_afar(placed: DataFrame) -> DataFrame:
     texts = placed.select(*_BLOCK, "turn", "msg_id", "body", "endings", "learnt", "common").mapInArrow(words, "thread string, w bigint, part bigint, turn bigint, msg_id bigint, source string, words string, telling string")
     texts = materialise(texts, "words")
     at = F.struct("turn", "msg_id")
-    first = texts.select(*_BLOCK, at.alias("at"), F.explode(_shingles("source")).alias("h")).groupBy(*_BLOCK, "h").agg(F.min("at").alias("first"))
+    first = texts.select(*_BLOCK, at.alias("at"), F.explode(F.array_distinct(_shingles("source"))).alias("h")).groupBy(*_BLOCK, "h").agg(F.min("at").alias("first"))
     asked = texts.where(F.length(F.replace("telling", F.lit("0"), F.lit(""))) >= INHERITED)
-    asking = asked.select("thread", F.col("w").alias("own_w"), F.col("part").alias("own_part"), at.alias("at"), F.explode(_shingles("words")).alias("h"))
-    met = asking.join(first, ["thread", "h"]).where(((F.col("w") != F.col("own_w")) | (F.col("part") != F.col("own_part"))) & (F.col("first") < F.col("at")))
+    asking = asked.select("thread", F.col("w").alias("own_w"), F.col("part").alias("own_part"), at.alias("at"), "telling", F.posexplode(_shingles("words")).alias("s", "h"))
+    asking = asking.withColumn("all_tell", F.substring("telling", F.col("s") + 1, F.lit(INHERITED)) == "1" * INHERITED).drop("telling")
+    firsts = first.groupBy("thread", "h").agg(F.min("first").alias("first"))
+    telling = asking.where("all_tell").join(firsts, ["thread", "h"]).where(F.col("first") < F.col("at")).select(F.col("at.msg_id").alias("msg_id"), "s", (F.col("s") + INHERITED).alias("e"))
+    mixed = asking.where(~F.col("all_tell")).drop("s", "all_tell").distinct()
+    met = mixed.join(first, ["thread", "h"]).where(((F.col("w") != F.col("own_w")) | (F.col("part") != F.col("own_part"))) & (F.col("first") < F.col("at")))
     pairs = materialise(met.select(*_BLOCK, F.col("at.msg_id").alias("msg_id")).distinct(), "pairs")
-    queries = pairs.join(asked.select("msg_id", "turn", "words", "telling"), "msg_id").select(*_BLOCK, "turn", "msg_id", "words", "telling")
+    queries = _with(pairs, asked.select("msg_id", "turn", "words", "telling")).select(*_BLOCK, "turn", "msg_id", "words", "telling")
     sources = texts.join(pairs.select(*_BLOCK).distinct(), _BLOCK, "left_semi").select(*_BLOCK, "turn", "msg_id", F.col("source").alias("words"), F.lit(None).cast("string").alias("telling"))
     ordered = sources.unionByName(queries).repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "turn", "msg_id")
 
@@ -641,20 +646,25 @@ def _inherited_from_afar(placed: DataFrame) -> DataFrame:
                     ends.append(run[-1] + 1)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["msg_id", "s", "e"])
 
-    return ordered.mapInArrow(compare, "msg_id bigint, s int, e int").groupBy("msg_id").agg(F.collect_set(F.struct("s", "e")).alias("far"))
+    return ordered.mapInArrow(compare, "msg_id bigint, s int, e int").unionByName(telling).groupBy("msg_id").agg(F.collect_set(F.struct("s", "e")).alias("far"))
+
+
+def _with(messages: DataFrame, more: DataFrame) -> DataFrame:
+    """`messages` with the columns of `more`, by an id that may be null."""
+    return messages.join(more.withColumnRenamed("msg_id", "_id"), F.col("msg_id").eqNullSafe(F.col("_id")), "left").drop("_id")
 
 
 def _marked_lines(chosen: DataFrame) -> DataFrame:
-    source = chosen.join(sentence_marks(chosen), "msg_id", "left")
+    source = _with(chosen, sentence_marks(chosen))
     source = source.select(_thread().alias("thread"), _window().alias("w"), F.coalesce("turn", F.lit(0)).cast("bigint").alias("turn"), "msg_id", "body", "learnt", "common")
     blocks = _blocks(chosen)
     alone = source if blocks is None else source.join(blocks.select("thread").distinct(), "thread", "left_anti")
     given = alone.select("thread", F.lit(0).cast("bigint").alias("w"), F.lit(0).cast("bigint").alias("part"), "turn", "msg_id", "body", "learnt", "common", F.lit(None).cast("array<string>").alias("endings"), F.lit(None).cast("array<struct<s: int, e: int>>").alias("far"))
     if blocks is not None:
         placed = materialise(source.join(blocks, ["thread", "w"]).withColumn("part", F.pmod(F.xxhash64("msg_id"), F.col("parts"))).drop("parts"), "placed")
-        ended = placed.join(_thread_endings(placed), "msg_id", "left").withColumn("endings", F.coalesce("endings", F.array().cast("array<string>")))
+        ended = _with(placed, _thread_endings(placed)).withColumn("endings", F.coalesce("endings", F.array().cast("array<string>")))
         ended = materialise(ended, "ended")
-        given = given.unionByName(ended.join(_inherited_from_afar(ended), "msg_id", "left").select(given.columns))
+        given = given.unionByName(_with(ended, _inherited_from_afar(ended)).select(given.columns))
     sorted_ = given.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "turn", "msg_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

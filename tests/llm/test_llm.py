@@ -128,7 +128,10 @@ def test_history_from_far_back(spark, monkeypatch):
     df = spark.createDataFrame(rows, "msg_id bigint, conv_id bigint, turn bigint, body string")
     for most in (5000, 10):
         monkeypatch.setattr(new_text, "MOST_TOGETHER", most)
+        monkeypatch.setattr(new_text, "WINDOW", most)
         assert {(r.msg_id, r.line_no) for r in new_text.old_lines(df).collect()} == {(150, 2), (150, 3), (1099, 2)}
+        unknown = df.select(F.when(F.col("msg_id") != 150, F.col("msg_id")).alias("msg_id"), "conv_id", F.when(F.col("msg_id") == 149, 150).otherwise(F.col("turn")).alias("turn"), "body")
+        assert {(r.msg_id, r.line_no) for r in new_text.old_lines(unknown).collect()} == {(None, 2), (None, 3), (1099, 2)}
 
 
 def test_blocks_are_the_whole_thread(spark, monkeypatch):
