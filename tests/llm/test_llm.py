@@ -126,7 +126,7 @@ def test_history_from_far_back(spark, monkeypatch):
     rows = [(0, 1, 0, old), *((i, 1, i, f"note {i}") for i in range(1, 150)), (150, 1, 150, "Good.\n\n" + old.replace(" will", "\nwill"))]
     rows += [(1000 + k, 2, 0, old.replace("rotor", "stator")) if k == 0 else (1000 + k, 2, 0, f"word {k}.\n\n{old.replace('rotor', 'stator')}" if k == 99 else f"word {k}") for k in range(100)]
     df = spark.createDataFrame(rows, "msg_id bigint, conv_id bigint, turn bigint, body string")
-    for most in (5000, 10):
+    for most in (10, 5000):
         monkeypatch.setattr(new_text, "MOST_TOGETHER", most)
         monkeypatch.setattr(new_text, "WINDOW", most)
         assert {(r.msg_id, r.line_no) for r in new_text.old_lines(df).collect()} == {(150, 2), (150, 3), (1099, 2)}
