@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lettermill.llm.encoding import SUSPECT, _table, as_utf8, likely_codecs
-from lettermill.session import materialise
+from lettermill.session import forget, materialise
 
 #: Turns of a block of a thread that does not come together.
 WINDOW = 1024
@@ -664,6 +664,7 @@ def _marked_lines(chosen: DataFrame) -> DataFrame:
         placed = materialise(source.join(blocks, ["thread", "w"]).withColumn("part", F.pmod(F.xxhash64("msg_id"), F.col("parts"))).drop("parts"), "placed")
         ended = _with(placed, _thread_endings(placed)).withColumn("endings", F.coalesce("endings", F.array().cast("array<string>")))
         ended = materialise(ended, "ended")
+        forget(placed)
         given = given.unionByName(_with(ended, _inherited_from_afar(ended)).select(given.columns))
     sorted_ = given.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "turn", "msg_id")
 
