@@ -60,7 +60,7 @@ _TOWN = re.compile(rf",{_W}(?:(?P<pre>\d{{4,6}}|[A-Z]{{1,2}}\d{{1,2}}[A-Z]?{_W}?
 _POST = re.compile(rf"{_W}\d{{4,6}}(?!\w)")
 _PLAIN = "\\s\\x00-\\x26\\x28-\\x2c\\x2e-\\x40\\x5b-\\x60\\x7b-\\x7e\\u00a0“”„‘–—…«»\\u3000-\\u3002（），"
 #: Words that may be a name: they begin with a capital or with what is not ASCII.
-TOKEN = re.compile(f"(?!’)[A-Z\\x80-\\U0010ffff](?<![{_PLAIN}])[^{_PLAIN}]*")
+TOKEN = re.compile(f"[A-Z\\x80-\\u2018\\u201a-\\U0010ffff](?<![{_PLAIN}])[^{_PLAIN}]*")
 _IN_WORD = re.compile(f"[^{_PLAIN}]")
 # Words around spans, by which context votes.
 _PHONE_YES = re.compile(r"(?:reach|call|ring|phone|tel|tél|telefon\w*|mobile|mob|cell|fax|text me on|text|numéro\b.*|nummer\b.*|numer\b.*|número\b.*|telefone\b.*|teléfono\b.*|номер\b.*|телефон\b.*|☎|📞|電話\S*|番号\S*|^t|^m|at|on|to|is|or|lautet|é|changé)\W*$", re.I)
@@ -77,6 +77,69 @@ _NAME_AFTER = re.compile(r"^(?:[\s>|]*<[^<>\s]+@|[\s>|]*\([^()]*@|[\s>|]*(?:wrot
 _NAME_NO_AFTER = re.compile(r"^(?:-?\s?(?:Straße|Strasse|straße|strasse|Str\.)|\s+(?:Street|Road|Lane|Avenue|Way|Close|Works|Lab|Ltd|GmbH|Inc|Group|handset|phone|tablet|release)\b|@)", re.I)
 _SAYS = re.compile(r"^\s+(?:[>|]\s*)*(?:said|says|asked|asks|thinks|told|wants|knows|meint|sagt|dit|dice|disse|mówi|сказал)\b", re.I)
 _DEVICE_BEFORE = re.compile(r"(?:my|mon|ma|meinem|mi|meu|minha|mojego|моего|from)\s+$", re.I)
+# The patterns above try a long list of words at every character. In ASCII text, words that stand at the end are looked up there, and the patterns
+# decide only what is not such a word; other letters have more than one small letter, so there the patterns alone decide.
+_MARKS = "".join(c for c in map(chr, range(128)) if not (c.isalnum() or c == "_"))
+_PHONE_YES_ENDS = ("reach", "call", "ring", "phone", "tel", "mobile", "mob", "cell", "fax", "text", "text me on", "at", "on", "to", "is", "or", "lautet")
+_NUMBER_NO_ENDS = tuple("ticket batch serial part invoice reference ref series measured release version order room shelf lane port model article item lot parcel case docket account counted bestellung rechnung commande facture pedido factura".split())
+_STREET_YES_ENDS = ("send", "to", "at", "address", "deliver", "office", "point", "adresse", "anschrift", "adres", "in", "from")
+_NAME_YES_ENDS = tuple("reach for with and from by to is add tell copy met sobre avec para de von an cc quoting hat schrieb a sincerely regards best cheers thanks br".split()) + ("falei com",)
+_DEVICE_ENDS = ("my", "mon", "ma", "meinem", "mi", "meu", "minha", "mojego", "from")
+_GREET_ENDS = frozenset(", \n")
+_ID_WORD = re.compile(r"passport|social security|ssn|id|national insurance|nin|tax|steuer|personalausweis|reisepass|pesel|nip|dni|nie|nif|cpf|insee|passeport|pasaporte|passaporte|my number|personal number|badge")
+_NAME_YES_REST = re.compile(r"[\d:]|rozmawia")
+
+
+def _phone_yes(before: str) -> bool:
+    if before.isascii():
+        low = before.rstrip(_MARKS).lower()
+        if low.endswith(_PHONE_YES_ENDS):
+            return True
+        if not ("telefon" in low or "nummer" in low or "numer" in low or low in ("t", "m")):
+            return False
+    return bool(_PHONE_YES.search(before))
+
+
+def _number_no(before: str) -> bool:
+    tail = before.rstrip(_MARKS)[-10:]  # the longest word
+    if tail.isascii():
+        low = tail.lower()
+        if low.endswith(_NUMBER_NO_ENDS):
+            return True
+        if not low.endswith(("no", "nr", "number")):
+            return False
+    return bool(_NUMBER_NO.search(before))
+
+
+def _id_yes(before: str) -> bool:
+    if before.isascii():
+        first = _ID_WORD.search(before.lower())
+        return first is not None and bool(_ID_YES.search(before, first.start()))
+    return bool(_ID_YES.search(before))
+
+
+def _street_yes(before: str) -> bool:
+    if before.isascii() and "\n" not in before and (low := before.rstrip(_MARKS).lower()):
+        return low.endswith(_STREET_YES_ENDS)
+    return bool(_STREET_YES.search(before))
+
+
+def _name_yes(before: str) -> bool:
+    if before.isascii():
+        low = before.lower()
+        if low.rstrip(" \t\n\r\f\v\x1c\x1d\x1e\x1f>|,:*").endswith(_NAME_YES_ENDS):
+            return True
+        if not _NAME_YES_REST.search(low):
+            return False
+    return bool(_NAME_YES.search(before))
+
+
+def _device_before(before: str) -> bool:
+    if not before[-1:].isspace():
+        return False
+    return before.rstrip().lower().endswith(_DEVICE_ENDS) if before.isascii() else bool(_DEVICE_BEFORE.search(before))
+
+
 #: Given names that are words as well.
 _WORDS_TOO = frozenset("will hope mark grace june rose may april august art bill frank faith joy dawn amber ivy olive penny ray rob sue pat don drew chase chance violet lily daisy iris ruby pearl victor max rich jack".split())
 
@@ -90,6 +153,7 @@ _NO_NAME = ENGLISH | FOREIGN | _TITLES | _GREETINGS | frozenset(
     "all team everyone everybody customer customers client colleague colleagues sirs friend friends folks both guys there members member partner user users subscriber support sales billing service services office info help desk admin news newsletter mailer daemon noreply please thanks regards best sincerely re fw fwd good morning monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december "
     "kunde kundin kunden kollegen damen herren alle zusammen freunde todos todas equipo equipe équipe tous toutes clients amigos amigas cliente clientes państwo wszyscy коллеги друзья все".split()
 )
+_FRONT = _TITLES | _GREETINGS
 _FROM_LINE = re.compile(r"[>|\s*]*(?i:from|von|de|от|da|od)\s?:[\s*\"]*(?:[^\W\d_][\w'’-]*\.?,? ){0,3}$")
 _NAME_OVER = re.compile(r"[ \t]*(?:[,!:]|\r?\n|$)")
 _PERSON_AFTER = re.compile(r"[ \t]*(?:[,!:]|\r?\n|$|[\"\s>|*]*[<(\[][^<>()\s]+@|(?:wrote|said|writes|schrieb|a écrit|escribió|escreveu|pisze|написал)\b)")
@@ -102,7 +166,7 @@ class Names:
         self.given, self.family = given, family
         self.words_too = words_too  # what a rare word with lost letters may be as well
         self.memo: dict[str, int] = {}
-        self.never: set[str] = set()  # tokens that are no names whatever stands around them
+        self.seen: dict[str, tuple[str, int, int, bool] | None] = {}  # tokens as they stand: see token(); null for those that are no names whatever stands around them
         self.by_length: dict[int, list[str]] = {}
         for w in given | family:
             self.by_length.setdefault(len(w), []).append(w)
@@ -137,17 +201,35 @@ class Names:
             out = r + WEAK
         if len(self.memo) > 500_000:
             self.memo.clear()
-            self.never.clear()
         self.memo[token] = out
         return out
 
+    def token(self, raw: str) -> tuple[str, int, int, bool]:
+        """The word of a token (empty: none), how many characters it leaves off at the end, its role by what every executor has, and whether it is no name
+        whatever stands around it, unless the body has it among its own."""
+        word, left = raw, 0
+        while word and word[-1] in "'’-":
+            word, left = word[:-1], left + 1
+        if word.endswith(("’s", "'s")):
+            word, left = word[:-2], left + 2
+        if not word or word[0].islower():
+            out = "", 0, 0, True
+        else:
+            known = self.memo.get(word)
+            role = self._role(word) if known is None else known
+            out = word, left, role, not role and len(word) > 1 and (word.isupper() or word.lower() in _NO_NAME)
+        if len(self.seen) > 200_000:
+            self.seen.clear()
+        self.seen[raw] = None if out[3] else out
+        return out
+
 
 _TABLES = [("cp1251", "cp1252"), ("cp437", "cp1252"), ("cp1252", "cp1250"), ("cp1252", "iso8859-2"), ("cp1251", "cp1250"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1250"), ("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("cp1251", "koi8-r"), ("cp1251", "cp866"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1252", "cp850"), ("cp1252", "cp437")]
 
 
 def mapped(body: str) -> tuple[str, list[int] | None]:
     """The body with garbled UTF-8 read again, and where each of its characters begins in the body (null: unchanged)."""
-    if not SUSPECT.search(body):
+    if body.isascii() or not SUSPECT.search(body):
         return body, None
     text, begin = body, None
     for codec in likely_codecs(body):
@@ -183,6 +265,11 @@ def _shape(span: str) -> str:
     return span[:16].translate(_SHAPES)
 
 
+@lru_cache(maxsize=1 << 16)
+def _shape_bucket(head: str) -> int:
+    return _bucket(_shape(head))
+
+
 def _word_before(text: str, start: int) -> str:
     before = text[max(0, start - 20) : start].rsplit(None, 1)
     return before[-1].lower() if before else ""
@@ -219,10 +306,13 @@ def _by_context(text: str, word: str, s: int, e: int, last: tuple[int, int, int]
         return 0
     before = text[max(0, s - 20) : s].rstrip(" \t\r\n>|,").rsplit(None, 1)
     front = before[-1].lower().rstrip(".") if before else ""
-    title, greeting = front in _TITLES, front in _GREETINGS
+    title = greeting = sender = False
+    if front in _FRONT:
+        title, greeting = front in _TITLES, front in _GREETINGS
+    else:
+        line = text.rfind("\n", 0, s) + 1
+        sender = text.find(":", line, min(s, line + 24)) >= 0 and bool(_FROM_LINE.match(text[line:s]))
     after_name = last is not None and last[2] & 1 and text[last[1] : s] == " "
-    line = text.rfind("\n", 0, s) + 1
-    sender = not (title or greeting) and ":" in text[line : min(s, line + 24)] and bool(_FROM_LINE.match(text[line:s]))
     if not (title or greeting or after_name or sender) or _NAME_NO_AFTER.match(text, e):
         return 0
     if title and _TITLE.search(text[max(0, s - 26) : s]):
@@ -242,28 +332,29 @@ def _by_context(text: str, word: str, s: int, e: int, last: tuple[int, int, int]
 def _names(text: str, names: Names) -> Iterator[tuple[int, int, list[int]]]:
     """Runs of name words: (start, end, roles). `Family, Given` is one run; initials stand in the middle or in front."""
     tokens: list[tuple[int, int, int]] = []
-    never = names.never if not names.extra else ()
+    seen, extra = names.seen, names.extra
     for m in TOKEN.finditer(text):
-        raw = word = m.group()
-        if word in never:
+        raw = m[0]
+        known = seen.get(raw, ())
+        if known is None and not extra:
+            continue
+        word, left, role, never = known or names.token(raw)
+        if never and not (extra and word):
             continue
         s, e = m.span()
-        if s and text[s - 1] not in "'’-" and _IN_WORD.match(text, s - 1):
+        if s and (c := text[s - 1]) != " " and c != "\n" and c not in "'’-" and _IN_WORD.match(c):
             continue  # within a word
-        while word and word[-1] in "'’-":
-            word, e = word[:-1], e - 1
-        if word.endswith(("’s", "'s")):
-            word, e = word[:-2], e - 2
-        if not word or word[0].islower():
-            continue
+        e -= left
         initial = len(word) == 1 and text[e : e + 1] == "." and word.isupper()
-        role = 4 if initial else names.role(word)
-        if not role:
-            if len(word) > 1 and (word.isupper() or word.lower() in _NO_NAME):
-                if not names.extra:
-                    names.never.add(raw)
-                continue
-            role = _by_context(text, word, s, e, tokens[-1] if tokens else None)
+        if initial:
+            role = 4
+        elif not role:
+            if extra:
+                role = names.role(word)
+            if not role:
+                if never:
+                    continue
+                role = _by_context(text, word, s, e, tokens[-1] if tokens else None)
         if role:
             tokens.append((s, e + initial, role))
     gap, comma = _GAP, _COMMA
@@ -274,8 +365,11 @@ def _names(text: str, names: Names) -> Iterator[tuple[int, int, list[int]]]:
         turned = False
         while j + 1 < len(tokens):
             s2, e2, r2 = tokens[j + 1]
+            c = text[e]
+            if c not in " \t\u00a0\r\n,":
+                break
             between = text[e:s2]
-            if gap.fullmatch(between) and len(roles) < 4:
+            if c != "," and len(roles) < 4 and (between == " " or gap.fullmatch(between)):
                 if "\n" in between and (text.rfind("\n", 0, s) == -1 and s == 0 or re.fullmatch(r"[>|\s]*", text[text.rfind("\n", 0, s) + 1 : s])):
                     break  # a name that fills its line is not carried on
                 has_family = any(x & 7 == 2 for x in roles) or (len(roles) > 1 and roles[-1] & 7 in (2, 3))
@@ -302,7 +396,9 @@ def _names(text: str, names: Names) -> Iterator[tuple[int, int, list[int]]]:
 #: Type, start, end, votes, and the buckets of the shape and of the word before.
 _SPACE, _DIGIT, _AT = re.compile(r"\s"), re.compile(r"\d"), re.compile(r"@|\bat\b", re.I)
 _WRITTEN, _TLD = re.compile(r"[\[({<]|dot|\s@\s"), re.compile(r"\.[a-z]{2,}$|dot\W*[a-z]{2,}$", re.I)
-_WRAP, _NOT_DIGIT, _TAIL_EXT = re.compile(_W + "+"), re.compile(r"\D"), re.compile(_EXT + "$", re.I)
+_MARKED = r"(?:[^\W\d_]{0,3}[>|][ \t]?)*"
+_WRAP = re.compile(rf"[ \t\u00a0\r\n](?:(?<=\n){_MARKED}|(?<=\r)\n{_MARKED}|(?<=[ \t\u00a0])){_W}*")  # one or more of _W
+_TAIL_EXT = re.compile(_EXT + "$", re.I)
 _DATED = re.compile(r"^(?:\d{4}-\d\d-\d\d|\d\d[./-]\d\d[./-]\d{2,4})$")
 _OWN_LINE, _LINE_OVER = re.compile(r"(?:^|\n)[>|\s]*$"), re.compile(r"[ \t]*(?:\r?\n|$)")
 _ID_STRICT = re.compile(r"^(?:[A-Z]{2}\d{7}|[A-Z]\d{7}[A-Z]|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|\d{3}([- ])\d\d\1\d{4}|\d{6}-\d{4,5}|\d\d/\d{3}/\d{5}|\d{9})$")
@@ -354,19 +450,24 @@ def _plain_emails(text: str, done: int, end: int) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done), end)
 
 
-_HINTS = ("tra\u00dfe", "trasse", "TRA", "tr.", "Box", "BOX", "Postfach", "Apartado", "Caixa", "Skrytka", "Calle", "Avenida", "Plaza", "Rua", "Travessa", "Via", "ul.", "al.", "ulica", "ул.", "Weg", "weg", "latz", "asse", "llee")
-_NUMBER = re.compile(r"\d+")
+_HINTS = ("tra\u00dfe", "tr.", "ul.", "al.", "ulica", "ул.", "weg", "latz", "asse", "llee")
+_HINT = re.compile("TRA|Box|BOX|Postfach|Apartado|Caixa|Skrytka|Calle|Avenida|Plaza|Rua|Travessa|Via|Weg")
+_NUMBER = re.compile(r"\d\d*")
 _FLAT = re.compile(rf"(?:Flat|Apt\.?|Apartment|Unit|Suite|Room|No\.|FLAT|UNIT|APT\.?|SUITE){_W}?\Z")
+#: What may follow the number of a house, the last characters of _FLAT, and where STREET can begin.
+_HOUSE, _UNIT_ENDS = re.compile(r"[A-Za-z]?[, \t\u00a0\r\n]"), "tem.TE \t\u00a0\n>|"
+_STREET_START = re.compile(rf"[\d{_UP}uaу](?<![\w/-].)")
 
 
 def _numbers(text: str) -> tuple[list[re.Match], list[re.Match], list[re.Match]]:
     """Matches of PHONE, ID and STREET, tried only where a number, or the letters before one, can begin them."""
     phones, ids, streets = [], [], []
     end_phone = end_id = end_street = 0
-    whole = any(h in text for h in _HINTS)
+    whole = bool(_HINT.search(text)) or any(h in text for h in _HINTS)
     for m in _NUMBER.finditer(text):
         at = m.start()
-        if at >= end_phone:
+        length = m.end() - at
+        if at >= end_phone and (length > 2 or (at and text[at - 1] in "+(")):
             for low in (at - 1, at) if at and text[at - 1] in "+(" else (at,):
                 if low > 1 and text[low - 1] == "+":  # +(1) ...
                     low -= 1
@@ -376,7 +477,7 @@ def _numbers(text: str) -> tuple[list[re.Match], list[re.Match], list[re.Match]]
                     break
         if at >= end_id:
             low = at
-            if at and (text[at - 1].isupper() or (text[at - 1].isspace() and m.end() - at == 2)):
+            if at and (text[at - 1].isupper() or (length == 2 and text[at - 1].isspace())):
                 low = at - 1
                 while low and at - low < 8 and (text[low - 1].isupper() or text[low - 1] in " >|\n\r\t"):
                     low -= 1
@@ -387,13 +488,20 @@ def _numbers(text: str) -> tuple[list[re.Match], list[re.Match], list[re.Match]]
                     break
                 low += 1
         if not whole and at >= end_street:
-            low = at
-            if f := _FLAT.search(text, max(end_street, at - 16), at):
-                low = f.start()
-            if (p := STREET.match(text, low)) or (low < at and (p := STREET.match(text, at))):
+            p = None
+            if at and text[at - 1] in _UNIT_ENDS and (f := _FLAT.search(text, max(end_street, at - 16), at)):
+                p = STREET.match(text, f.start())
+            if p is None and length < 6 and _HOUSE.match(text, m.end()):
+                p = STREET.match(text, at)
+            if p:
                 streets.append(p)
                 end_street = p.end()
-    return phones, ids, list(STREET.finditer(text)) if whole else streets
+    if whole:
+        for m in _STREET_START.finditer(text):
+            if m.start() >= end_street and (p := STREET.match(text, m.start())):
+                streets.append(p)
+                end_street = p.end()
+    return phones, ids, streets
 
 
 Span = tuple[str, int, int, tuple[int, ...], int, int]
@@ -419,6 +527,11 @@ def settle(proposed: list[Proposal], towns: frozenset[str]) -> list[Span]:
     return out
 
 
+def _flat(text: str) -> str:
+    """The text with line ends, marks of quotes and runs of blanks as one blank."""
+    return _WRAP.sub(" ", text) if "\n" in text or "  " in text or "\t" in text or "\u00a0" in text else text
+
+
 def _ends_there(need: tuple[str, ...], shun: tuple[str, ...], towns: frozenset[str]) -> bool:
     return all(x in towns for x in need) and not any(x in towns for x in shun)
 
@@ -426,13 +539,7 @@ def _ends_there(need: tuple[str, ...], shun: tuple[str, ...], towns: frozenset[s
 def proposals(body: str, names: Names) -> list[Proposal]:
     """Spans proposed for a body. A street has one for each place where it may end, the one that needs most of the towns first."""
     text, begin = mapped(body)
-    at = (lambda i: i) if begin is None else (lambda i: begin[i])
     out: list[tuple] = []
-
-    def around(s: int, e: int) -> tuple[str, str]:
-        return text[max(0, s - 44) : s], text[e : e + 28]
-
-    flat = lambda x: _WRAP.sub(" ", x)
     for s, e in _emails(text):
         span = text[s:e]
         plain = "@" in span and not _SPACE.search(span)
@@ -441,22 +548,22 @@ def proposals(body: str, names: Names) -> list[Proposal]:
     if _DIGIT.search(text):
         phones, ids, streets = _numbers(text)
         for m in phones:
-            s, e = m.start(), _phone_end(text, *m.span())
-            before, after = map(flat, around(s, e))
-            span = flat(text[s:e])
-            digits = len(_NOT_DIGIT.sub("", _TAIL_EXT.sub("", span)))
+            s, e = m.span()
+            if text.find("\n", s, e) >= 0:
+                e = _phone_end(text, s, e)
+            before, after, span = _flat(text[max(0, s - 44) : s]), _flat(text[e : e + 28]), _flat(text[s:e])
+            digits = sum(map(str.isdecimal, _TAIL_EXT.sub("", span) if span.lower() != span.upper() else span))  # an extension has letters
             strict = bool(_PHONE_STRICT.match(span))
             dated = bool(_DATED.match(span))
-            out.append(("PHONE", s, e, (1 if strict else -1, 1 if 7 <= digits <= 15 else -1, 1 if _PHONE_YES.search(before[-24:]) or _OWN_LINE.search(text[max(0, s - 12) : s]) and _LINE_OVER.match(text[e : e + 4]) else 0, -1 if dated or _NUMBER_NO.search(before[-26:]) or _NUMBER_NO_AFTER.match(after) or _ID_YES.search(before[-36:]) or _ID_AFTER.match(after) else 0)))
+            out.append(("PHONE", s, e, (1 if strict else -1, 1 if 7 <= digits <= 15 else -1, 1 if _phone_yes(before[-24:]) or _OWN_LINE.search(text[max(0, s - 12) : s]) and _LINE_OVER.match(text[e : e + 4]) else 0, -1 if dated or _number_no(before[-26:]) or _NUMBER_NO_AFTER.match(after) or _id_yes(before[-36:]) or _ID_AFTER.match(after) else 0)))
         for m in ids:
-            before, after = map(flat, around(*m.span()))
-            span = flat(m.group())
+            s, e = m.span()
+            before, after, span = _flat(text[max(0, s - 44) : s]), _flat(text[e : e + 28]), _flat(m.group())
             strict = bool(_ID_STRICT.match(span))
-            out.append(("ID", *m.span(), (1 if strict else -1, 0, 1 if strict and (_ID_YES.search(before[-36:]) or _ID_AFTER.match(after)) else 0, -1 if _NUMBER_NO.search(before[-26:]) or _NUMBER_NO_AFTER.match(after) or _ISO_DAY.match(span) else 0)))
+            out.append(("ID", s, e, (1 if strict else -1, 0, 1 if strict and (_id_yes(before[-36:]) or _ID_AFTER.match(after)) else 0, -1 if _number_no(before[-26:]) or _NUMBER_NO_AFTER.match(after) or _ISO_DAY.match(span) else 0)))
         for m in streets:
             s, whole = m.span()
-            before, _ = map(flat, around(s, whole))
-            yes, no = 1 if _STREET_YES.search(before) else 0, -1 if _NUMBER_NO.search(text[text.rfind("\n", 0, s) + 1 : s]) else 0
+            yes, no = 1 if _street_yes(_flat(text[max(0, s - 44) : s])) else 0, -1 if _number_no(text[text.rfind("\n", 0, s) + 1 : s]) else 0
             readings: list[tuple[int, tuple[str, ...], tuple[str, ...]]] = [(whole, (), ())]
             if pair := _RUE.search(m.group()):  # where no town has both words, the second begins the next sentence
                 both = (f"{pair.group(1)} {pair.group(3)}".lower(),)
@@ -474,25 +581,35 @@ def proposals(body: str, names: Names) -> list[Proposal]:
                         continue
                 out.append(("STREET", s, e, (1, 0, yes, no), need, shun, ""))
     for s, e, roles in _names(text, names):
-        before, after = text[max(0, s - 48) : s], text[e : e + 32]
+        near, after = text[max(0, s - 26) : s], text[e : e + 32]
         full = len(roles) > 1
-        weak = all(x & WEAK or x == 4 for x in roles)
-        word = text[s:e].lower()
-        near = before[-26:]
+        weak, given = True, False
+        for x in roles:
+            if x < WEAK and x != 4:
+                weak = False
+                given |= x != 2
         device = False
-        if _DEVICE_BEFORE.search(near[-12:]):
+        if _device_before(near[-12:]):
             line = text[text.rfind("\n", 0, s) + 1 : (text.find("\n", e) + len(text) + 1) % (len(text) + 1)]
             device = bool(DEVICE.match(line.strip("> |\r")))
-        too = not full and word in _WORDS_TOO
+        too = not full and text[s:e].lower() in _WORDS_TOO
         yes = full and not weak  # of a whole name each word is the context of the other
         if not yes:
-            line_start = bool(_LINE_START.search(near))
-            yes = bool(_TITLE.search(near) or _GREET.search(near) or _SAYS.match(after) or (_LINE_OVER.match(after) and _SIGNED.search(before)) or (not (too and line_start) and _NAME_YES.search(near)) or (line_start and _NAME_AFTER.search(after)))
-        dated = too and bool(_DAY_BEFORE.search(near) or _DAY_AFTER.match(after))
-        sentence = too and bool(_SENTENCE_START.search(near)) and bool(_SMALL_NEXT.match(after))
-        no = device or dated or sentence or bool(_NAME_NO_AFTER.match(after)) or text[s - 1 : s] in ("@", "/", ".") and not full
-        out.append(("NAME", s, e, (1 if full else 0, 1 if any(x in (1, 3) for x in roles) else -1 if weak and not yes else 0, 1 if yes else 0, -1 if no else 0)))
-    return [(t, at(s), at(e), v, _bucket(_shape(text[s:e])), _bucket(_word_before(text, s)), *(more or ((), (), ""))) for t, s, e, v, *more in out]
+            yes = bool((near[-1:] in _GREET_ENDS and _GREET.search(near)) or _TITLE.search(near) or _SAYS.match(after) or (_LINE_OVER.match(after) and _SIGNED.search(text[max(0, s - 48) : s])))
+            if not yes:
+                line_start = bool(_LINE_START.search(near))
+                yes = bool((not (too and line_start) and _name_yes(near)) or (line_start and _NAME_AFTER.search(after)))
+        no = device or bool(_NAME_NO_AFTER.match(after)) or (not full and text[s - 1 : s] in ("@", "/", "."))
+        if too and not no:
+            dated = bool(_DAY_BEFORE.search(near) or _DAY_AFTER.match(after))
+            no = dated or (bool(_SENTENCE_START.search(near)) and bool(_SMALL_NEXT.match(after)))
+        out.append(("NAME", s, e, (1 if full else 0, 1 if given else -1 if weak and not yes else 0, 1 if yes else 0, -1 if no else 0)))
+    placed = []
+    for t, s, e, v, *more in out:
+        need, shun, town = more or ((), (), "")
+        where = (s, e) if begin is None else (begin[s], begin[e])
+        placed.append((t, *where, v, _shape_bucket(text[s : min(e, s + 16)]), _bucket(_word_before(text, s)), need, shun, town))
+    return placed
 
 
 @lru_cache(maxsize=1 << 12)
@@ -648,31 +765,39 @@ def find_personal(messages: DataFrame, accounts: DataFrame, addresses: DataFrame
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, types, starts, ends = [], [], [], []
             spans = batch.column(1)
             flat = spans.flatten()
             t, s, e, p, shape, word, need, shun, _ = (flat.field(i) for i in range(9))
-            kinds = t.to_pylist()
-            base = np.array([_BASE[x] for x in kinds], np.int64) + 13
-            z = np.array([worth[x] for x in p.to_pylist()]) + weights[base + shape.to_numpy()] + weights[base + BUCKETS + word.to_numpy()] if kinds else np.zeros(0)
-            each = list(zip(kinds, s.to_pylist(), e.to_pylist(), z.tolist(), strict=True))
-            needs, shuns = need.to_pylist(), shun.to_pylist()
-            at = 0
-            for k, n in zip(batch.column(0).to_pylist(), spans.value_lengths().to_pylist(), strict=True):
-                some, street = [], -1
-                for i in range(at, at + n):
-                    if each[i][0] == "STREET":
-                        if each[i][1] == street or not _ends_there(needs[i], shuns[i], towns):
-                            continue
-                        street = each[i][1]
-                    some.append(each[i])
-                for kind, start, end in pick(some):
-                    ids.append(k)
-                    types.append(kind)
-                    starts.append(start)
-                    ends.append(end)
-                at += n
-            columns = [pa.array(ids, pa.int64()), pa.array(types, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
+            kinds, votes = t.dictionary_encode(), p.dictionary_encode()
+            kind, types = kinds.indices.to_numpy(), kinds.dictionary.to_pylist()
+            base = np.array([_BASE[x] for x in types], np.int64)[kind] + 13
+            z = np.array([worth[x] for x in votes.dictionary.to_pylist()], float)[votes.indices.to_numpy()] + weights[base + shape.to_numpy()] + weights[base + BUCKETS + word.to_numpy()]
+            starts, ends = s.to_numpy(), e.to_numpy()
+            of = np.repeat(np.arange(len(spans)), spans.value_lengths().to_numpy())
+            there = z > 0
+            if "STREET" in types:
+                places = np.flatnonzero(kind == types.index("STREET"))
+                last = -1, -1
+                for i, must, never in zip(places.tolist(), need.take(pa.array(places)).to_pylist(), shun.take(pa.array(places)).to_pylist(), strict=True):
+                    if (of[i], starts[i]) == last or not _ends_there(must, never, towns):
+                        there[i] = False
+                    else:
+                        last = of[i], starts[i]
+            held = np.flatnonzero(there)
+            held = held[np.lexsort((starts[held], of[held]))]
+            # Where neighbours overlap, all spans of their body are weighed against each other.
+            body = of[held]
+            torn = np.isin(body, body[1:][(body[1:] == body[:-1]) & (starts[held][1:] < ends[held][:-1])])
+            some: dict[int, list[tuple[str, int, int, float]]] = {}
+            for i in held[torn].tolist():
+                some.setdefault(int(of[i]), []).append((types[kind[i]], int(starts[i]), int(ends[i]), float(z[i])))
+            chosen = [(k, *x) for k, there_of in some.items() for x in pick(there_of)]
+            held = held[~torn]
+            ids = batch.column(0).take(pa.array(np.concatenate([of[held], np.array([k for k, *_ in chosen], np.int64)])))
+            found = pa.concat_arrays([t.take(pa.array(held)).cast(pa.string()), pa.array([x for _, x, _, _ in chosen], pa.string())])
+            starts = np.concatenate([starts[held], np.array([x for _, _, x, _ in chosen], np.int32)])
+            ends = np.concatenate([ends[held], np.array([x for *_, x in chosen], np.int32)])
+            columns = [ids, found, pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["msg_id", "pii_type", "start_pos", "end_pos"])
 
     return proposed.mapInArrow(decide, "msg_id bigint, pii_type string, start_pos int, end_pos int").dropDuplicates()

@@ -229,6 +229,44 @@ def test_towns_of_all_bodies(spark):
     assert personal._towns(spark.createDataFrame([("selby now", 2), ("selby ", 2), ("st ives", 3), ("rare ", 2)], "town string, n bigint")) == {"selby", "st ives"}
 
 
+class Tried:
+    """A pattern that notes what it is tried on."""
+
+    def __init__(self, pattern):
+        self.pattern, self.on = pattern, []
+
+    def search(self, text, *at):
+        self.on.append(text)
+        return self.pattern.search(text, *at)
+
+
+def test_long_patterns_are_tried_seldom(monkeypatch):
+    """The patterns of many words are not tried where the word before a span settles the vote."""
+    tried = {k: Tried(getattr(personal, k)) for k in ("_PHONE_YES", "_NUMBER_NO", "_ID_YES", "_STREET_YES", "_NAME_YES")}
+    for k, v in tried.items():
+        monkeypatch.setattr(personal, k, v)
+    body = "We saw 202 555 0101 again; please call 202 555 0102. Order 9281-806-20 is late, nobody knows why. We saw Rosa again. They went past 12 Copper Way again, or from 14 Copper Way. "
+    found = personal.proposals(body * 3, NAMES)
+    assert {k: len(v.on) for k, v in tried.items()} == dict.fromkeys(tried, 0)
+    assert [(t, votes[2:]) for t, _, _, votes, *_ in found if t == "PHONE"] == [("PHONE", (0, 0)), ("PHONE", (1, 0)), ("PHONE", (0, -1))] * 3
+    assert [votes[2:] for t, _, _, votes, *_ in found if t == "STREET"] == [(0, 0), (1, 0)] * 3
+
+
+def test_words_at_the_end_vote_as_the_patterns():
+    rng = random.Random(5)
+    words = "reach call text me on at t m telefonisch Telefon numer number no nr nr. Ticket Under CASINO batch serial order ticKet caſe factura заказ счет номер numéro ☎ ID ids his ssn passport dni Taxi séc sociale send to point é hat rozmawiam z on 3 4: am 12 2024 10:30 Dear with а a my meu моего From über".split()
+    marks = [" ", "  ", "\t", ": ", ". ", ", ", "# ", " #", "> ", "|", "*", "-", "“", "☎ ", "\u00a0", "_", "", "\x1f", "\n"]
+    pairs = [(personal._phone_yes, personal._PHONE_YES), (personal._number_no, personal._NUMBER_NO), (personal._id_yes, personal._ID_YES), (personal._street_yes, personal._STREET_YES), (personal._name_yes, personal._NAME_YES), (personal._device_before, personal._DEVICE_BEFORE)]
+    said = [0] * len(pairs)
+    for _ in range(20_000):
+        before = "".join(rng.choice([str, str.upper, str.title])(rng.choice(words)) + rng.choice(marks) for _ in range(rng.randint(0, 4)))[-rng.randint(1, 44) :]
+        for i, (vote, pattern) in enumerate(pairs):
+            want = bool(pattern.search(before))
+            assert vote(before) == want, (pattern.pattern, before)
+            said[i] += want
+    assert min(said) > 100
+
+
 def test_em_finds_the_reliable():
     rng = np.random.default_rng(3)
     counts: dict[str, int] = {}
