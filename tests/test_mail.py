@@ -178,6 +178,43 @@ def test_signatures():
     assert line.startswith(b"DKIM-Signature: v=1; a=rsa-sha256") and b"t=1" in line
 
 
+def test_signatures_take_little_time(monkeypatch):
+    """A signature costs less than one power of the full width of its key, and the same without libcrypto, with primes that do
+    not fit, and by the plain power; bodies with many line ends are read once."""
+    import hashlib
+    import time
+
+    from lettermill.plans.mail import _small_key
+
+    def seconds(f):
+        times = []
+        for _ in range(7):
+            began = time.perf_counter()
+            f()
+            times.append(time.perf_counter() - began)
+        return min(times)
+
+    pem = _small_key()
+    n, d = D.private_key(pem)
+    sign = lambda: [D.rsa_sign(pem, b"data %d" % i) for i in range(5)]
+    size, blocks = (n.bit_length() + 7) // 8, [D._DIGEST["sha256"] + hashlib.sha256(b"data %d" % i).digest() for i in range(5)]
+    want = [pow(int.from_bytes(b"\x01".ljust(size - len(b) - 2, b"\xff") + b"\x00" + b, "big"), d, n).to_bytes(size, "big") for b in blocks]
+    assert sign() == want
+    assert seconds(sign) < 0.8 * seconds(lambda: [pow(n // 3 + i, d, n) for i in range(5)])
+    fields = D._key(pem)
+    monkeypatch.setattr(D, "_libcrypto", lambda: None)
+    for changed in (fields, fields[:4] + [fields[4] + 2] + fields[5:], fields[:4] + [n, 1] + fields[6:]):
+        D._signer.cache_clear()
+        monkeypatch.setattr(D, "_key", lambda _, changed=changed: changed)
+        assert sign() == want
+    D._signer.cache_clear()
+
+    body = b"a" + b"\r\n" * 20_000 + b"b\r\r\n\n"
+    assert seconds(lambda: [D.canonical_body(body, how) for how in ("simple", "nofws", "relaxed")]) < 0.5
+    assert D.canonical_body(body, "simple") == body[:-3] + b"\r\n" and D.canonical_body(body, "nofws") == body[:-4] + b"\r\n"
+    assert D.split_message(b"A: b\r\n c\r\n\r\n" + body) == ([(b"A", b" b\r\n c\r\n")], body)
+
+
 def test_many_loops(spark):
     """A thousand loops of two to four, each cut at its least node, with a tail below each."""
     rows, order = [], 0
